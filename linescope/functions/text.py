@@ -104,15 +104,16 @@ def word_ngrams(tokens: Column, max_n: int, min_n: int = 1) -> Column:
     """Space-joined runs of ``min_n``..``max_n`` neighbouring tokens."""
 
 
+    def runs(words: Column, n: int) -> Column:
+        if n == 1:
+            return words
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
     def grams(words: Column) -> Column:
-        parts = []
-        for n in range(min_n, max_n + 1):
-            starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-                F.array().cast("array<int>")
-            )
-            joined = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-            parts.append(words if n == 1 else joined)
-        return F.concat(*parts)
+        return F.concat(*[runs(words, n) for n in range(min_n, max_n + 1)])
 
     return bind(grams, tokens)
 

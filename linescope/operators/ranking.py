@@ -101,28 +101,47 @@ def running_totals(
     df: DataFrame,
     order: str,
     sums: dict[str, str],
-    ties: Sequence[str] = (),
+    tie_key: str,
     part: Sequence[str] = (),
+    seed: object = 42,
     buckets: int = 256,
 ) -> DataFrame:
-    """Add the total of each column over all earlier rows in ``(order, ties)``, per ``part``.
+    """Add the total of each column over all earlier rows in ``order``, per ``part``.
 
-    ``sums`` maps a source column to the name of its running total; the own row is left out.
+    ``sums`` maps a source column to the name of its running total; the own row is left out. Rows
+    of equal ``order`` follow the md5 of ``(seed, tie_key)``. Equal values are summed before the
+    value buckets and cut by hash behind them, so neither a hot partition nor a hot value meets
+    one task.
     """
-    keyed = df.withColumn("_key", F.col(order).cast("double"))
-    cut = value_buckets(keyed, "_key", buckets)
-    counts = cut.groupBy(*part, "_bucket").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
-    offsets = counts.select(
-        *part,
-        "_bucket",
-        *[F.coalesce(F.sum(f"_s_{c}").over(_before(part, "_bucket")), F.lit(0)).alias(f"_o_{c}") for c in sums],
+    hashed = df.withColumn("_hash", seeded_hash(seed, F.col(tie_key))).withColumn("_cell", F.substring("_hash", 1, 2))
+    group = [*part, order]
+    cells = hashed.groupBy(*group, "_cell").agg(*[F.sum(c).alias(f"_c_{c}") for c in sums])
+    values = (
+        cells.groupBy(*group)
+        .agg(*[F.sum(f"_c_{c}").alias(f"_v_{c}") for c in sums])
+        .withColumn("_key", F.col(order).cast("double"))
+    )
+    cut = value_buckets(values, "_key", buckets)
+    bucket_sums = cut.groupBy(*part, "_bucket").agg(*[F.sum(f"_v_{c}").alias(f"_b_{c}") for c in sums])
+    bucket_offsets = bucket_sums.select(
+        *part, "_bucket", *[F.coalesce(F.sum(f"_b_{c}").over(_before(part, "_bucket")), F.lit(0)).alias(f"_o_{c}") for c in sums]
+    )
+    in_bucket = (
+        Window.partitionBy(*part, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    value_offsets = cut.join(bucket_offsets, [*part, "_bucket"]).select(
+        *group, *[(F.col(f"_o_{c}") + F.coalesce(F.sum(f"_v_{c}").over(in_bucket), F.lit(0))).alias(f"_p_{c}") for c in sums]
+    )
+    in_value = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cell_offsets = cells.join(value_offsets, group).select(
+        *group,
+        "_cell",
+        *[(F.col(f"_p_{c}") + F.coalesce(F.sum(f"_c_{c}").over(in_value), F.lit(0))).alias(f"_q_{c}") for c in sums],
     )
-    inside = (
-        Window.partitionBy(*part, "_bucket")
-        .orderBy(order, *ties)
-        .rowsBetween(Window.unboundedPreceding, -1)
+    in_cell = (
+        Window.partitionBy(*group, "_cell").orderBy("_hash", tie_key).rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = cut.join(offsets, [*part, "_bucket"])
+    out = hashed.join(cell_offsets, [*group, "_cell"])
     for c, name in sums.items():
-        out = out.withColumn(name, F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return out.drop("_key", "_bucket", *[f"_o_{c}" for c in sums])
+        out = out.withColumn(name, F.col(f"_q_{c}") + F.coalesce(F.sum(c).over(in_cell), F.lit(0)))
+    return out.drop("_hash", "_cell", *[f"_q_{c}" for c in sums])

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from linescope.plans import code_text  # noqa: F401
+from linescope.plans import code_text, features  # noqa: F401
 from linescope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
