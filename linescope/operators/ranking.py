@@ -97,6 +97,24 @@ def value_rank(
     return _ranked(cut, part, [F.col(order), *[F.col(t) for t in ties]], rank, None).drop("_key")
 
 
+def running_distinct(
+    df: DataFrame, order: str, sums: dict[str, str], part: Sequence[str] = (), buckets: int = 256
+) -> DataFrame:
+    """Totals over all smaller ``order`` values, for a table with one row per ``(part, order)``."""
+    cut = value_buckets(df.withColumn("_key", F.col(order).cast("double")), "_key", buckets)
+    bucket_sums = cut.groupBy(*part, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
+    offsets = bucket_sums.select(
+        *part,
+        "_bucket",
+        *[F.coalesce(F.sum(f"_b_{c}").over(_before(part, "_bucket")), F.lit(0)).alias(f"_o_{c}") for c in sums],
+    )
+    inside = Window.partitionBy(*part, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(offsets, [*part, "_bucket"])
+    for c, name in sums.items():
+        out = out.withColumn(name, F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return out.drop("_key", "_bucket", *[f"_o_{c}" for c in sums])
+
+
 def running_totals(
     df: DataFrame,
     order: str,
@@ -116,21 +134,9 @@ def running_totals(
     hashed = df.withColumn("_hash", seeded_hash(seed, F.col(tie_key))).withColumn("_cell", F.substring("_hash", 1, 2))
     group = [*part, order]
     cells = hashed.groupBy(*group, "_cell").agg(*[F.sum(c).alias(f"_c_{c}") for c in sums])
-    values = (
-        cells.groupBy(*group)
-        .agg(*[F.sum(f"_c_{c}").alias(f"_v_{c}") for c in sums])
-        .withColumn("_key", F.col(order).cast("double"))
-    )
-    cut = value_buckets(values, "_key", buckets)
-    bucket_sums = cut.groupBy(*part, "_bucket").agg(*[F.sum(f"_v_{c}").alias(f"_b_{c}") for c in sums])
-    bucket_offsets = bucket_sums.select(
-        *part, "_bucket", *[F.coalesce(F.sum(f"_b_{c}").over(_before(part, "_bucket")), F.lit(0)).alias(f"_o_{c}") for c in sums]
-    )
-    in_bucket = (
-        Window.partitionBy(*part, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    value_offsets = cut.join(bucket_offsets, [*part, "_bucket"]).select(
-        *group, *[(F.col(f"_o_{c}") + F.coalesce(F.sum(f"_v_{c}").over(in_bucket), F.lit(0))).alias(f"_p_{c}") for c in sums]
+    values = cells.groupBy(*group).agg(*[F.sum(f"_c_{c}").alias(f"_v_{c}") for c in sums])
+    value_offsets = running_distinct(values, order, {f"_v_{c}": f"_p_{c}" for c in sums}, part, buckets).select(
+        *group, *[f"_p_{c}" for c in sums]
     )
     in_value = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cell_offsets = cells.join(value_offsets, group).select(

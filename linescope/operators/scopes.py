@@ -164,3 +164,13 @@ def cut_all_scopes(df: DataFrame, **names: str) -> DataFrame:
         )
 
     return df.select(F.col(key).alias("key"), F.col(label), F.inline(bind(cut, split_lines(F.col(code)))))
+
+
+def project_scope_input(df: DataFrame, label: str = "severity") -> DataFrame:
+    """(key, severity, code, vul_line) from an annotated function table; no annotation is ``""``."""
+    return df.select(
+        F.col("cve_id").alias("key"),
+        label,
+        F.col("func_before").alias("code"),
+        F.coalesce(F.col("delete_lines").cast("string"), F.lit("")).alias("vul_line"),
+    )

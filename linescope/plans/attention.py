@@ -49,7 +49,7 @@ def statements(spark, sf):
         p = i + 1
         zero = (p > F.col("n")) | ((F.col("func_id") + F.col("stmt_id") + p) % 23 == 0)
         value = (F.col("func_id") * 31 + F.col("stmt_id") * 7 + p * 17 + F.col("layer") * 13) % 97 + 1
-        return F.when(zero, F.lit(0.0)).otherwise(value / F.lit(1000.0))
+        return F.when(zero, F.lit(0.0)).otherwise(value / F.lit(997.0))
 
     return layered.select("func_id", "layer", "stmt_id", "start", "tokens", F.transform("tokens", weight).alias("weights"))
 
@@ -66,7 +66,7 @@ nexts as (select func_id, stmt_id, n, lead(head) over w as after_token,
 att as (
   select t.func_id, l.layer, t.stmt_id, t.pos, t.token,
     case when (t.func_id + t.stmt_id + t.pos) % 23 = 0 then 0e0
-         else ((t.func_id * 31 + t.stmt_id * 7 + t.pos * 17 + l.layer * 13) % 97 + 1) / 1000e0 end as w
+         else ((t.func_id * 31 + t.stmt_id * 7 + t.pos * 17 + l.layer * 13) % 97 + 1) / 997e0 end as w
   from xt t cross join (select 10 as layer union all select 11) l
   union all
   select func_id, layer, stmt_id, n + 1, after_token, 0e0 from nexts
@@ -74,13 +74,14 @@ att as (
 att11 as (select * from att where layer = 11)"""
 
 # First run of non-zero weights.
-RUNS = STATEMENTS + """,
-firsts as (select func_id, stmt_id, min(pos) as f from att11 where w <> 0 group by func_id, stmt_id),
-zeros as (select a.func_id, a.stmt_id, min(a.pos) as z from att11 a join firsts f on f.func_id = a.func_id and f.stmt_id = a.stmt_id
+RUN_PARTS = """run_firsts as (select func_id, stmt_id, min(pos) as f from att11 where w <> 0 group by func_id, stmt_id),
+zeros as (select a.func_id, a.stmt_id, min(a.pos) as z from att11 a
+          join run_firsts f on f.func_id = a.func_id and f.stmt_id = a.stmt_id
           where a.w = 0 and a.pos > f.f group by a.func_id, a.stmt_id),
-run as (select a.* from att11 a join firsts f on f.func_id = a.func_id and f.stmt_id = a.stmt_id
+run as (select a.* from att11 a join run_firsts f on f.func_id = a.func_id and f.stmt_id = a.stmt_id
         left join zeros z on z.func_id = a.func_id and z.stmt_id = a.stmt_id
         where a.pos >= f.f and a.pos < coalesce(z.z, 1000000000))"""
+RUNS = STATEMENTS + ", " + RUN_PARTS
 
 WORDS = STATEMENTS + f""",
 firsts as (select func_id, stmt_id, min(pos) as f, max(pos) as last_pos from att11 where w <> 0 group by func_id, stmt_id),
@@ -173,29 +174,14 @@ def a06(spark, sf):
     return rows.groupBy("func_id").agg(F.count(F.lit(1)).alias("statements"))
 
 
-@query("a07_token_weight_lookup", f"""with {PIECE_WEIGHTS}
+@query("a07_token_weight_lookup", f"""with {PIECE_WEIGHTS}, {RUN_PARTS}
 select t.token, t.n, round(coalesce(w.weight, 0e0), 6) as global_weight from (
-  select regexp_replace(token, '^{T.SPACE_MARK}', '') as token, count(*) as n from xt group by 1) t
+  select regexp_replace(token, '^{T.SPACE_MARK}', '') as token, count(*) as n from run group by 1) t
 left join tw w on w.token = t.token""")
 def a07(spark, sf):
-    own = A.weight_rows(A.layer_mean(statements(spark, sf)).withColumn("tokens", F.slice("tokens", F.lit(1), F.size("tokens"))))
-    inside = own.where(F.col("weight").isNotNull())
-    docs = I.documents(spark, sf)
-    del inside, docs
-    return _lookup_counts(spark, sf)
-
-
-def _lookup_counts(spark, sf):
-    # The trailing element of a slice belongs to the next statement and is not counted twice.
-    rows = A.layer_mean(statements(spark, sf))
-    own = F.when(rows["_more"], F.size("tokens") - 1).otherwise(F.size("tokens")) if "_more" in rows.columns else None
-    del own
-    spans = A.statement_spans(rows)
-    counts = (
-        spans.select(F.explode(F.transform("span_tokens", A.bare_token)).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    spans = A.statement_spans(A.layer_mean(statements(spark, sf)))
+    tokens = spans.select(F.explode(F.transform("span_tokens", A.bare_token)).alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return A.lookup(counts, weights(spark, sf)).withColumn("global_weight", F.round("global_weight", 6))
 
 
@@ -204,3 +190,219 @@ def a08(spark, sf):
     path = session.fresh_path(spark, "token-weights")
     D.write_token_weights(weights(spark, sf), path)
     return D.read_token_weights(spark, path).select("token", F.round("weight", 6).alias("weight"))
+
+
+@query("e01_layer_mean", f"""with {STATEMENTS},
+m as (select func_id, stmt_id, pos, sum(w) / 2e0 as w from att group by func_id, stmt_id, pos)
+select func_id, cast(stmt_id as int) as stmt_id, count(*) as n, round(sum(w), 6) as total, round(max(w), 6) as largest
+from m group by func_id, stmt_id""")
+def e01(spark, sf):
+    rows = A.weight_rows(A.layer_mean(statements(spark, sf), layers=(10, 11)))
+    return rows.groupBy("func_id", "stmt_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest")
+    )
+
+
+@query("e02_statement_spans", f"""with {RUNS}
+select r.func_id, cast(r.stmt_id as int) as stmt_id, cast(min(r.pos) + min(n.start) - 1 as int) as span_start,
+  cast(count(*) as int) as n, string_agg(r.token, ' ' order by r.pos) as tokens, round(sum(r.w), 6) as total
+from run r join nexts n on n.func_id = r.func_id and n.stmt_id = r.stmt_id group by r.func_id, r.stmt_id""")
+def e02(spark, sf):
+    total = F.aggregate("span_weights", F.lit(0.0), lambda a, x: a + x)
+    return A.statement_spans(A.layer_mean(statements(spark, sf))).select(
+        "func_id",
+        "stmt_id",
+        "span_start",
+        F.size("span_tokens").alias("n"),
+        F.array_join("span_tokens", " ").alias("tokens"),
+        F.round(total, 6).alias("total"),
+    )
+
+
+_WORD_COLS = "func_id, cast(stmt_id as int) as stmt_id, word_no, word, round(weight, 6) as weight"
+
+
+@query("e03_words", f"with {WORDS} select {_WORD_COLS} from words")
+def e03(spark, sf):
+    return rounded(A.words(A.layer_mean(statements(spark, sf))), 6)
+
+
+@query("e03_words_legacy_tail", f"""with {WORDS},
+row_end as (select func_id, stmt_id, max(pos) as n from att11 group by func_id, stmt_id)
+select w.func_id, cast(w.stmt_id as int) as stmt_id, w.word_no, w.word, round(w.weight, 6) as weight
+from words w join row_end r on r.func_id = w.func_id and r.stmt_id = w.stmt_id where w.last_pos < r.n""")
+def e03_legacy(spark, sf):
+    return rounded(A.words(A.layer_mean(statements(spark, sf)), legacy_tail=True), 6)
+
+
+_CAMEL_INPUT = I.LINES + """,
+cw as (select key, line_no, generate_subscripts(string_split(line, ' '), 1) as word_no, unnest(string_split(line, ' ')) as w from x0),
+words as (select w || translate(substr(nw, 1, 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || substr(nw, 2)
+            || '_' || key || translate(nw, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as word, 1e0 as weight
+          from (select *, lead(w) over (partition by key, line_no order by word_no) as nw from cw) where nw is not null)"""
+
+
+@query("e04_camel_split", f"""with {_CAMEL_INPUT}, pieces as (select {_PIECES} as piece from words)
+select piece, count(*) as n from pieces group by piece""")
+def e04(spark, sf):
+    docs = I.documents(spark, sf)
+    line_words = F.transform(T.split_lines(F.col("code"), "newline"), lambda x: F.split(x, " ", -1))
+    rows = docs.select("key", F.explode(line_words).alias("ws"))
+    pairs = F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("a"), F.slice("ws", F.lit(2), F.size("ws")).alias("b"))
+    joined = rows.select("key", F.inline(pairs).alias("a", "b"))
+    def capital(c):
+        return F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+    head, tail = capital(F.substring("b", 1, 1)), F.substr("b", F.lit(2))
+    word = F.concat("a", head, tail, F.lit("_"), F.col("key").cast("string"), capital(F.col("b")))
+    pieces = joined.select(F.explode(T.camel_pieces(word)).alias("piece"))
+    return pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e05_token_weights", f"with {PIECE_WEIGHTS} select token, round(weight, 6) as weight, frequency from tw")
+def e05(spark, sf):
+    return rounded(weights(spark, sf), 6)
+
+
+@query("e06_low_rated_tokens", f"with {PIECE_WEIGHTS} select token from tw order by round(weight, 9), token limit {A.LOW_RATED}")
+def e06(spark, sf):
+    return A.low_rated_tokens(rounded(weights(spark, sf)))
+
+
+STATEMENT_WEIGHTS = PIECE_WEIGHTS + ", " + RUN_PARTS + f""",
+bare as (select func_id, stmt_id, pos, regexp_replace(token, '^{T.SPACE_MARK}', '') as token, w from run),
+sw as (select b.func_id, b.stmt_id, count(*) as n, avg(0.7e0 * b.w + (1e0 - 0.7e0) * coalesce(t.weight, 0e0)) as weight,
+         replace(string_agg(b.token, ' ' order by b.pos), '{T.SPACE_MARK}', '') as text
+       from bare b left join tw t on t.token = b.token group by b.func_id, b.stmt_id)"""
+
+
+def weighted_statements(spark, sf):
+    rows = A.layer_mean(statements(spark, sf))
+    return A.statement_weights(rows, A.token_weights(A.words(rows)))
+
+
+@query("e07_statement_weights", f"""with {STATEMENT_WEIGHTS}
+select func_id, cast(stmt_id as int) as stmt_id, cast(n as int) as n, text, round(weight, 6) as weight from sw""")
+def e07(spark, sf):
+    return weighted_statements(spark, sf).select(
+        "func_id",
+        "stmt_id",
+        F.size("tokens").alias("n"),
+        A.statement_text(F.col("tokens")).alias("text"),
+        F.round("weight", 6).alias("weight"),
+    )
+
+
+@query("e08_statement_listing", f"""with {STATEMENT_WEIGHTS}
+select func_id, cast(stmt_id as int) as stmt_id, '[' || string_agg(case when contains(token, '''') and not contains(token, '"')
+    then '"' || replace(token, chr(92), chr(92) || chr(92)) || '"'
+    else '''' || replace(replace(token, chr(92), chr(92) || chr(92)), '''', chr(92) || '''') || '''' end, ', ' order by pos) || ']' as value
+from bare group by func_id, stmt_id""")
+def e08(spark, sf):
+    listing = D.statement_listing(weighted_statements(spark, sf))
+    return listing.withColumn("value", F.get(F.split("value", "\n"), F.lit(0)))
+
+
+@query("e08_statement_listing_files")
+def e08_files(spark, sf):
+    path = session.fresh_path(spark, "statement-listing")
+    D.write_listing(weighted_statements(spark, sf), path)
+    return spark.read.text(path).groupBy("folder").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("e09_statement_ranking", f"""with {STATEMENT_WEIGHTS}
+select func_id, cast(stmt_id as int) as stmt_id, text, round(weight, 6) as weight from sw where text <> '}}'""")
+def e09(spark, sf):
+    return rounded(A.statement_ranking(weighted_statements(spark, sf)), 6)
+
+
+_KEYWORDS = ", ".join(f"'{k}'" for k in A.CPP_KEYWORDS)
+
+
+@query("e10_keyword_profile", f"""with {PIECE_WEIGHTS}
+select frequency, round(avg(weight), 6) as weight, min(token) as name, count(*) as repeats, frequency * 150 as x
+from tw where token in ({_KEYWORDS}) group by frequency""")
+def e10(spark, sf):
+    return rounded(A.keyword_profile(weights(spark, sf)), 6)
+
+
+@query("e11_marked_merge", f"""with {PIECE_WEIGHTS}
+select token, round(sum(frequency * weight) / sum(frequency), 6) as weight, cast(sum(frequency) as bigint) as frequency
+from tw where contains(token, '{T.SPACE_MARK}') group by token""")
+def e11(spark, sf):
+    return rounded(A.merge_marked(weights(spark, sf)), 6)
+
+
+@query("e11_marked_merge_raw_tokens", f"""with {STATEMENTS}
+select token, round(avg(w), 6) as weight, count(*) as frequency from att11
+where contains(token, '{T.SPACE_MARK}') and w <> 0 group by token""")
+def e11_raw(spark, sf):
+    rows = A.weight_rows(A.layer_mean(statements(spark, sf))).where(F.col("weight") != 0.0)
+    raw = rows.groupBy("token").agg(F.avg("weight").alias("weight"), F.count(F.lit(1)).alias("frequency"))
+    return rounded(A.merge_marked(raw), 6)
+
+
+@query("e12_cloud_counts", f"""with {PIECE_WEIGHTS}
+select token, substr(token, 2) as text, greatest(cast(trunc(log2(round(weight, 9) * 100000e0)) as int), 0) as copies
+from tw where frequency > 100""")
+def e12(spark, sf):
+    return A.cloud_counts(rounded(weights(spark, sf)))
+
+
+_SIMPLIFY = STATEMENT_WEIGHTS + f""",
+low as (select token from tw order by round(weight, 9), token limit {A.LOW_RATED}),
+sizes as (select func_id, cast(sum(n) as bigint) as size from sw group by func_id),
+drops as (select func_id, stmt_id, n, sum(n) over (partition by func_id order by round(weight, 9), md5(concat_ws(':', '42', stmt_id))
+            rows between unbounded preceding and current row) as gone from sw),
+stmts as (select d.func_id, d.stmt_id from drops d join sizes s on s.func_id = d.func_id where s.size - d.gone < ceil(0.6e0 * s.size)),
+toks as (select func_id, stmt_id, row_number() over (partition by func_id, stmt_id order by pos) as pos, token from bare),
+rated as (select k.*, row_number() over (partition by k.func_id order by
+              md5(concat_ws(':', '42', concat_ws(':', k.func_id, k.stmt_id, k.pos)))) as random_rank,
+            row_number() over (partition by k.func_id order by coalesce(t.frequency, 0),
+              md5(concat_ws(':', '42', concat_ws(':', k.func_id, k.stmt_id, k.pos)))) as freq_rank
+          from toks k left join tw t on t.token = k.token)"""
+_KEPT = """ select func_id, cast(stmt_id as int) as stmt_id, count(*) as kept, cast(sum(pos) as bigint) as places,
+  min(token) as first_token from remaining group by func_id, stmt_id"""
+
+
+def _simplified(spark, sf, strategy):
+    rows = A.layer_mean(statements(spark, sf))
+    # Both tables feed several branches, so they are written once.
+    tokens = session.materialise(A.token_weights(A.words(rows)), "token-table")
+    ranked = session.materialise(rounded(A.statement_weights(rows, tokens)), "statement-weights")
+    tokens = rounded(tokens)
+    kept = S.simplify(ranked, tokens, strategy, 0.6)
+    return kept.groupBy("func_id", "stmt_id").agg(
+        F.count(F.lit(1)).alias("kept"), F.sum("pos").alias("places"), F.min("token").alias("first_token")
+    )
+
+
+@query("e13_simplify_statement", f"""with {_SIMPLIFY}, remaining as (
+  select t.* from toks t join stmts s on s.func_id = t.func_id and s.stmt_id = t.stmt_id) {_KEPT}""")
+def e13_statement(spark, sf):
+    return _simplified(spark, sf, "statement")
+
+
+@query("e13_simplify_token", f"""with {_SIMPLIFY}, remaining as (
+  select * from toks where token not in (select token from low)) {_KEPT}""")
+def e13_token(spark, sf):
+    return _simplified(spark, sf, "token")
+
+
+@query("e13_simplify_slim", f"""with {_SIMPLIFY}, remaining as (
+  select t.* from toks t join stmts s on s.func_id = t.func_id and s.stmt_id = t.stmt_id
+  where token not in (select token from low)) {_KEPT}""")
+def e13_slim(spark, sf):
+    return _simplified(spark, sf, "slim")
+
+
+@query("e13_simplify_random", f"""with {_SIMPLIFY}, remaining as (
+  select r.* from rated r join sizes s on s.func_id = r.func_id where r.random_rank <= ceil(0.6e0 * s.size)) {_KEPT}""")
+def e13_random(spark, sf):
+    return _simplified(spark, sf, "random")
+
+
+@query("e13_simplify_frequency", f"""with {_SIMPLIFY}, remaining as (
+  select r.* from rated r join sizes s on s.func_id = r.func_id where r.freq_rank > s.size - ceil(0.6e0 * s.size)) {_KEPT}""")
+def e13_frequency(spark, sf):
+    return _simplified(spark, sf, "frequency")
