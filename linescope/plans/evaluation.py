@@ -284,7 +284,7 @@ def g04(spark, sf):
 
 _TASKS = ", ".join(f"'{t}'" for t in stats.TASKS)
 SIDES = f"""sides as (select [{_TASKS}][l_linenumber] as scenario, case l_returnflag when 'A' then 'A' else 'B' end as side,
-  l_orderkey * 10 + l_linenumber as key, l_discount * 10e0 - l_tax as value from lineitem where l_returnflag in ('A', 'R'))"""
+  concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as key, l_discount * 10e0 - l_tax as value from lineitem where l_returnflag in ('A', 'R'))"""
 
 
 def sides(spark, sf):
@@ -295,7 +295,7 @@ def sides(spark, sf):
         .select(
             task.alias("scenario"),
             F.when(F.col("l_returnflag") == "A", "A").otherwise("B").alias("side"),
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"),
             (F.col("l_discount") * 10.0 - F.col("l_tax")).alias("value"),
         )
     )

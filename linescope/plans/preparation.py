@@ -154,5 +154,6 @@ def b12_rows(spark, sf):
     lines = df.select("key", F.posexplode(T.split_lines(F.col("func_before"), "newline")).alias("at", "line")).select(
         "key", (F.col("at") + 1).cast("bigint").alias("line_no")
     )
-    vul = df.select("key", F.explode(scopes.parse_line_numbers(F.col("vul_line"))).cast("bigint").alias("line_no"))
+    vul = df.select("key", F.explode(scopes.parse_line_numbers(F.col("vul_line"))).alias("line_no"))
+    vul = vul.withColumn("line_no", F.col("line_no").cast("bigint"))
     return S.minus_rows(lines, vul, ["key", "line_no"])
