@@ -66,14 +66,16 @@ def classify(neighbours: DataFrame, weights: str = "uniform") -> DataFrame:
     """
     if weights not in ("uniform", "distance"):
         raise ValueError("weights must be 'uniform' or 'distance'")
-    votes = neighbours
+    zero = F.col("distance") == 0.0
     if weights == "distance":
-        exact = neighbours.groupBy("key").agg((F.min("distance") == 0.0).alias("exact"))
-        weight = F.when(F.col("exact"), (F.col("distance") == 0.0).cast("double")).otherwise(
-            F.lit(1.0) / F.nullif(F.col("distance"), F.lit(0.0))
-        )
-        votes = votes.join(exact, "key").withColumn("w", weight)
+        near = F.when(~zero, F.lit(1.0) / F.nullif(F.col("distance"), F.lit(0.0)))
+        exact = F.when(zero, 1).otherwise(0)
     else:
-        votes = votes.withColumn("w", F.lit(1.0))
-    summed = votes.groupBy("key", "label").agg(F.round(F.sum("w"), DIGITS).alias("w"))
-    return summed.groupBy("key").agg(F.max_by("label", F.struct(F.col("w"), -F.col("label"))).alias("prediction"))
+        near, exact = F.lit(1.0), F.lit(0)
+    votes = neighbours.groupBy("key", "label").agg(
+        F.sum(exact).alias("exact"), F.round(F.coalesce(F.sum(near), F.lit(0.0)), DIGITS).alias("near")
+    )
+    strength = F.struct(
+        F.col("exact"), F.when(F.col("exact") > 0, 0.0).otherwise(F.col("near")).alias("near"), -F.col("label")
+    )
+    return votes.groupBy("key").agg(F.max_by("label", strength).alias("prediction"))

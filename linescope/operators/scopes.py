@@ -158,12 +158,14 @@ def cut_all_scopes(df: DataFrame, **names: str) -> DataFrame:
     vul, label = names.get("vul_line", "vul_line"), names.get("label", "severity")
 
     def cut(lines: Column) -> Column:
-        kept = {s: scope_lines(s, lines, F.col(vul), F.col(key)) for s in SCOPES}
+        kept = {s: scope_lines(s, lines, F.col(vul), F.col("key")) for s in SCOPES}
         return F.array(
             *[F.struct(F.lit(s).alias("scope"), clean_lines(rows).alias("code")) for s, rows in kept.items()]
         )
 
-    return df.select(F.col(key).alias("key"), F.col(label), F.inline(bind(cut, split_lines(F.col(code)))))
+    base = df if key == "key" else df.withColumnRenamed(key, "key")
+    rows = base.select("key", label, bind(cut, split_lines(F.col(code))).alias("_cut"))
+    return rows.select("key", label, F.inline("_cut"))
 
 
 def project_scope_input(df: DataFrame, label: str = "severity") -> DataFrame:
