@@ -31,6 +31,11 @@ def corpus_frequency(df: DataFrame, terms: Column) -> DataFrame:
     return df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def document_frequency(df: DataFrame, terms: Column) -> DataFrame:
+    """(term, df) with one row per document: repeats go inside the row, so only ``term`` shuffles."""
+    return df.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def top_vocabulary(counts: DataFrame, limit: int = MAX_FEATURES) -> DataFrame:
     """(term, freq, term_id): the ``limit`` most frequent terms, ids in term order.
 
@@ -42,15 +47,21 @@ def top_vocabulary(counts: DataFrame, limit: int = MAX_FEATURES) -> DataFrame:
     return top.withColumn("term_id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1).cast("int"))
 
 
-def df_vocabulary(counts: DataFrame, docs: DataFrame | None = None, min_share: float = 0.0, min_count: int = 1) -> DataFrame:
+def frequent_terms(frequency: DataFrame, docs: DataFrame | None = None, min_share: float = 0.0, min_count: int = 1) -> DataFrame:
     """(term, df): terms found in at least ``min_count`` documents or that share of ``docs``."""
-    out = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_count)
+    out = frequency.where(F.col("df") >= min_count)
     if docs is not None and min_share > 0:
         n = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
         out = out.where(F.col("df") >= F.lit(min_share) * n)
     return out
 
 
+def df_vocabulary(counts: DataFrame, docs: DataFrame | None = None, min_share: float = 0.0, min_count: int = 1) -> DataFrame:
+    """The same from counts that are needed anyway."""
+    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return frequent_terms(frequency, docs, min_share, min_count)
+
+
 def with_term_ids(vocab: DataFrame, offset: int = 0) -> DataFrame:
     """Ids 0.. in term order for a vocabulary of any size."""
     return value_rank(vocab, "term", rank="term_id").withColumn("term_id", F.col("term_id") + offset)
@@ -125,9 +136,19 @@ def configured_features(df: DataFrame, config: int, key: str = "key", code: str
     return weigh(counts, vocab, setting.idf)
 
 
+def char_terms(min_n: int, max_n: int, code: str = "code") -> Column:
+    """Character n-grams of the whole folded text."""
+    return T.char_ngrams(T.fold_text(F.col(code)), min_n, max_n)
+
+
+def char_vocabulary(df: DataFrame, min_n: int = 3, max_n: int = 6, min_count: int = 10, code: str = "code") -> DataFrame:
+    """(term, df) of character n-grams found in at least ``min_count`` documents."""
+    return frequent_terms(document_frequency(df, char_terms(min_n, max_n, code)), min_count=min_count)
+
+
 def char_counts(df: DataFrame, min_n: int, max_n: int, key: str = "key", code: str = "code") -> DataFrame:
     """Character n-gram counts per document over the whole folded text."""
-    return term_counts(df, T.char_ngrams(T.fold_text(F.col(code)), min_n, max_n), key)
+    return term_counts(df, char_terms(min_n, max_n, code), key)
 
 
 def subword_vocabulary(char_vocab: DataFrame) -> DataFrame:
@@ -153,7 +174,7 @@ def subword_features(df: DataFrame, key: str = "key", code: str = "code", fit_on
     train = df if fit_on is None else fit_on
     words = term_counts(df, T.code_tokens(F.col(code)), key)
     train_words = words if fit_on is None else term_counts(train, T.code_tokens(F.col(code)), key)
-    sub = subword_vocabulary(df_vocabulary(char_counts(train, 3, 6, key, code), min_count=10))
+    sub = subword_vocabulary(char_vocabulary(train, code=code))
     word_vocab = minus_terms(top_vocabulary(train_words).select("term"), sub)
     word_rows = use_vocabulary(words, word_vocab, MAX_FEATURES).select("key", F.lit("word").alias("block"), "term", "tf")
     # Lengths 2..6 are exactly the lengths a kept sub-word can have.

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linescope.operators.ranking import hash_rank
+from linescope.operators.ranking import hash_rank, value_rank
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -87,10 +87,8 @@ def class_distribution(df: DataFrame, label: str = "severity", part: str = "part
 
 def fit_labels(df: DataFrame, label: str = "severity") -> DataFrame:
     """Sorted distinct labels with ids 0..k-1, one row per class."""
-    order = Window.partitionBy(F.lit(0)).orderBy(label)
-    return df.select(label).where(F.col(label).isNotNull()).distinct().withColumn(
-        "label_id", (F.row_number().over(order) - 1).cast("int")
-    )
+    classes = df.select(label).where(F.col(label).isNotNull()).distinct()
+    return value_rank(classes, label, rank="label_id").withColumn("label_id", F.col("label_id").cast("int"))
 
 
 def encode_labels(df: DataFrame, labels: DataFrame, label: str = "severity") -> DataFrame:

@@ -19,15 +19,9 @@ def statements(spark, sf):
     Weights follow from the ids; every 23rd is zero, which makes gaps inside statements.
     """
 
-    def pieces(word):
-        count = F.floor((F.length(word) - 1) / 4).cast("int")
-        return F.transform(
-            F.sequence(F.lit(0), count),
-            lambda n: F.concat(F.when(n == 0, T.SPACE_MARK).otherwise(""), F.substr(word, n * 4 + 1, F.lit(4))),
-        )
-
     def line_tokens(line):
-        return F.flatten(F.transform(F.filter(F.split(line, " "), lambda w: w != ""), pieces))
+        marked = F.regexp_replace(line, "(^| )(?=[^ ])", T.SPACE_MARK)
+        return F.regexp_extract_all(marked, F.lit(f"{T.SPACE_MARK}?[^ {T.SPACE_MARK}]{{1,4}}"), F.lit(0))
 
     docs = I.documents(spark, sf).select(
         F.col("key").alias("func_id"),

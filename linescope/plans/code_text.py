@@ -35,7 +35,7 @@ def c02(spark, sf):
     ).select("key", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line_key")
 
 
-_ALIGN = f"""with recursive {I.LINES},
+_ALIGN = f"""with {I.LINES},
 versions as (
   select key, line_no, line, ({I.CHANGED}) as changed from x0),
 keyed as (
@@ -51,16 +51,12 @@ wanted as (
         union all
         select key, 'add', line_no, regexp_replace(regexp_replace(regexp_replace(
           line || ' NEW /* new */', '//[^\\n]*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g'), '{_SPACE}', '', 'g') from versions where changed)),
-steps as (select w.key, w.side, w.seq, coalesce(p.spots, []) as spots
-          from wanted w left join places p on p.key = w.key and p.side = w.side and p.k = w.k),
-walk as (
-  select key, side, cast(0 as bigint) as seq, cast(0 as bigint) as at_line, false as hit from (select distinct key, side from wanted)
-  union all
-  select s.key, s.side, s.seq,
-         cast(coalesce(list_min(list_filter(s.spots, lambda p: p > w.at_line)), w.at_line) as bigint),
-         len(list_filter(s.spots, lambda p: p > w.at_line)) > 0
-  from walk w join steps s on s.key = w.key and s.side = w.side and s.seq = w.seq + 1),
-joined as (select key, side, string_agg(cast(at_line as varchar), ' ' order by seq) as found from walk where hit group by key, side)
+steps as (select w.key, w.side, list(coalesce(p.spots, []) order by w.seq) as all_spots
+          from wanted w left join places p on p.key = w.key and p.side = w.side and p.k = w.k group by w.key, w.side),
+joined as (select key, side, array_to_string(list_reduce(all_spots, lambda hits, spots:
+    case when len(list_filter(spots, lambda p: p > coalesce(hits[-1], 0))) > 0
+         then list_append(hits, list_min(list_filter(spots, lambda p: p > coalesce(hits[-1], 0)))) else hits end,
+    cast([] as bigint[])), ' ') as found from steps)
 select d.doc_id as key, coalesce(a.found, '') as add_lines, coalesce(r.found, '') as delete_lines
 from documents d left join joined a on a.key = d.doc_id and a.side = 'add'
 left join joined r on r.key = d.doc_id and r.side = 'delete'"""

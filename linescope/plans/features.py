@@ -79,7 +79,7 @@ df as (select term, count(distinct key) as df from grams group by term)
 select term, df from df where df >= 0.001e0 * (select count(*) from documents)""")
 def d05(spark, sf):
     docs = I.documents(spark, sf)
-    return X.df_vocabulary(X.term_counts(docs, T.chunk_tokens(F.col("code"))), docs, X.MIN_SHARE)
+    return X.frequent_terms(X.document_frequency(docs, T.chunk_tokens(F.col("code"))), docs, X.MIN_SHARE)
 
 
 def _weights_sql(max_n: int, idf: bool) -> str:
@@ -183,7 +183,7 @@ sub as (select distinct regexp_replace(term, '^\\s+|\\s+$', '', 'g') as term fro
 
 @query("d08_char_ngrams", f"with {_CHAR_VOCAB} select term, df from char_vocab")
 def d08(spark, sf):
-    return X.df_vocabulary(X.char_counts(I.documents(spark, sf), 3, 6), min_count=10)
+    return X.char_vocabulary(I.documents(spark, sf))
 
 
 _SUBWORDS = _SUB + ", " + _char_sql(2, 6, "short_counts") + ", " + TOP + """,
