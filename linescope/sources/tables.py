@@ -28,15 +28,24 @@ def read_functions(spark: SparkSession, path: str, schema: StructType | None = N
 
 
 # Options that keep line ends, quotes, blanks and empty strings of code cells as they are.
-_CSV = {"header": "true", "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": ""}
+_CSV = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": '""',
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def read_code_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV whose cells hold multi-line code.
+    """CSV whose cells hold multi-line code; an empty cell is NULL.
 
     Such files cannot be split; convert them to Parquet once and work on that.
     """
-    return spark.read.schema(schema).options(**{**_CSV, "emptyValue": ""}).option("multiLine", "true").option("enforceSchema", "false").csv(path)
+    options = {**_CSV, "emptyValue": "", "multiLine": "true", "enforceSchema": "false"}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def write_code_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
