@@ -1,15 +1,73 @@
-"""Normal tail probability for the few rows of a test result."""
+"""Tail probabilities for the few rows of a test result."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# Sample sizes up to which the distribution of a statistic without ties is counted exactly.
+EXACT_RANK_SUM = 8
+EXACT_RANK_SUM_PAIRS = 20_000
+EXACT_SIGNED = 50
+
+
+def _normal(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2.0))
+
+
+def _rank_sum_tail(u: int, n_a: int, n_b: int) -> float:
+    """P(U >= u) without ties, by counting arrangements."""
+    small, large = sorted((n_a, n_b))
+    ways = np.zeros((small + 1, n_a * n_b + 1))
+    ways[0, 0] = 1.0
+    # Choose which of the ranks 1..n belong to the smaller side; k chosen ranks sum to s + k(k+1)/2.
+    for rank in range(1, small + large + 1):
+        for k in range(min(rank, small), 0, -1):
+            shift = rank - k
+            if shift <= n_a * n_b:
+                ways[k, shift:] += ways[k - 1, : n_a * n_b + 1 - shift]
+    return float(ways[small, u:].sum() / ways[small].sum())
+
+
+def _signed_tail(w: int, n: int) -> float:
+    """Two-sided probability of the smaller rank sum ``w`` without ties and zeros."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1.0
+    for rank in range(1, n + 1):
+        moved = ways[:-rank].copy()
+        ways[rank:] += moved
+    return min(1.0, float(2.0 * ways[: w + 1].sum() / ways.sum()))
+
 
 @F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """P(Z > z) of the standard normal distribution."""
-    return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))
+    return z.map(lambda v: None if pd.isna(v) else _normal(v))
+
+
+@F.pandas_udf(DoubleType())
+def rank_sum_tail(z: pd.Series, u: pd.Series, n_a: pd.Series, n_b: pd.Series, ties: pd.Series) -> pd.Series:
+    """P(U >= u): exact for a small sample without ties, else the normal tail of ``z``."""
+
+    def tail(zv: float, uv: float, a: float, b: float, t: float) -> float | None:
+        if t == 0 and min(a, b) <= EXACT_RANK_SUM and 0 < a * b <= EXACT_RANK_SUM_PAIRS:
+            return _rank_sum_tail(int(uv), int(a), int(b))
+        return None if pd.isna(zv) else _normal(zv)
+
+    return pd.Series([tail(*row) for row in zip(z, u, n_a, n_b, ties, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def signed_rank_p(z: pd.Series, w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
+    """Two-sided p: exact for few differences without ties and zeros, else from ``z``."""
+
+    def p(zv: float, wv: float, nv: float, t: float, zero: float) -> float | None:
+        if t == 0 and zero == 0 and 0 < nv <= EXACT_SIGNED:
+            return _signed_tail(int(wv), int(nv))
+        return None if pd.isna(zv) else 2.0 * _normal(abs(zv))
+
+    return pd.Series([p(*row) for row in zip(z, w, n, ties, zeros, strict=True)], dtype="float64")

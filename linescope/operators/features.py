@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from linescope.functions import text as T
 from linescope.operators.ranking import value_rank
+from linescope.session import materialise
 
 MAX_FEATURES = 10_000
 
@@ -190,8 +191,10 @@ def concat_blocks(blocks: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     Ids follow term order inside a block and block order overall.
     """
     out, shift = None, F.lit(0).cast("bigint")
-    for rows, vocab in blocks:
-        ids = with_term_ids(vocab.select("term"))
+    for rows, terms in blocks:
+        # Read by the ids, their cut points and the offset of the next block.
+        vocab = materialise(terms.select("term"), "vocabulary")
+        ids = with_term_ids(vocab)
         part = rows.join(ids, "term").select("key", (F.col("term_id") + shift).alias("feature_id"), "value")
         out = part if out is None else out.unionByName(part)
         shift = shift + vocab.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linescope.session import materialise
+
 HEX_DIGITS = 3  # 4096 hash buckets
 
 
@@ -100,7 +102,11 @@ def value_rank(
 def running_distinct(
     df: DataFrame, order: str, sums: dict[str, str], part: Sequence[str] = (), buckets: int = 256
 ) -> DataFrame:
-    """Totals over all smaller ``order`` values, for a table with one row per ``(part, order)``."""
+    """Totals over all smaller ``order`` values, for a table with one row per ``(part, order)``.
+
+    The table is written once: the cut points and both branches read it.
+    """
+    df = materialise(df, "values")
     cut = value_buckets(df.withColumn("_key", F.col(order).cast("double")), "_key", buckets)
     bucket_sums = cut.groupBy(*part, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
     offsets = bucket_sums.select(

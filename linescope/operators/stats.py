@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linescope.functions.tails import normal_tail
+from linescope.functions.tails import rank_sum_tail, signed_rank_p
 from linescope.operators.ranking import hash_rank, running_distinct, value_rank
 
 # The compared tasks.
@@ -56,9 +56,10 @@ def cohen_d(df: DataFrame) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, override_alt: str | None = None) -> DataFrame:
-    """(scenario, alternative, u, z, p) of the Mann-Whitney test, normal approximation.
+    """(scenario, alternative, u, z, p) of the Mann-Whitney test.
 
-    ``u`` belongs to side A. The alternative is ``greater`` where the mean of A is smaller, else
+    ``p`` comes from the normal approximation with tie and continuity correction; a side of at most
+    eight values without ties is counted exactly. ``u`` belongs to side A. The alternative is ``greater`` where the mean of A is smaller, else
     ``less``.
     """
     counted = df.groupBy("scenario", "value").agg(
@@ -85,8 +86,8 @@ def mann_whitney(df: DataFrame, override_alt: str | None = None) -> DataFrame:
         .otherwise(F.greatest(F.col("u"), other))
     )
     deviation = F.sqrt(product / 12.0 * (F.col("n") + 1.0 - F.col("ties") / (F.col("n") * (F.col("n") - 1.0))))
-    rows = rows.withColumn("z", (tested - product / 2.0 - 0.5) / deviation)
-    p = normal_tail(F.col("z"))
+    rows = rows.withColumn("tested", tested).withColumn("z", (F.col("tested") - product / 2.0 - 0.5) / deviation)
+    p = rank_sum_tail("z", "tested", "na", "nb", "ties")
     p = F.when(F.col("alternative") == "two-sided", F.least(2.0 * p, F.lit(1.0))).otherwise(p)
     return rows.withColumn("p", p).select("scenario", "alternative", "u", "z", "p")
 
@@ -97,26 +98,33 @@ def paired(df: DataFrame, seed: object = 42) -> DataFrame:
     The larger side is sampled in md5 order; a side that is not larger keeps its key order.
     """
     sizes = group_moments(df).select("scenario", "n_a", "n_b")
-    ranked = value_rank(df, "key", part=["scenario", "side"], rank="_plain")
-    ranked = hash_rank(ranked, "key", seed, part=["scenario", "side"], rank="_sampled")
     own = F.when(_is("A"), F.col("n_a")).otherwise(F.col("n_b"))
     other = F.when(_is("A"), F.col("n_b")).otherwise(F.col("n_a"))
-    at = F.when(own > other, F.col("_sampled")).otherwise(F.col("_plain"))
-    rows = ranked.join(sizes, "scenario").select("scenario", "side", "value", at.alias("at"), F.least("n_a", "n_b").alias("n"))
-    rows = rows.where(F.col("at") < F.col("n"))
+    sized = df.join(sizes, "scenario").withColumn("_larger", own > other)
+    part = ["scenario", "side"]
+    sampled = hash_rank(sized.where("_larger"), "key", seed, part=part, rank="at")
+    plain = value_rank(sized.where("not _larger"), "key", part=part, rank="at")
+    rows = sampled.unionByName(plain).where(F.col("at") < F.least("n_a", "n_b"))
     return rows.groupBy("scenario", "at").agg(
         F.max(F.when(_is("A"), F.col("value"))).alias("a"), F.max(F.when(_is("B"), F.col("value"))).alias("b")
     )
 
 
 def wilcoxon(df: DataFrame, seed: object = 42) -> DataFrame:
-    """(scenario, n, w, z, p) of the signed-rank test, two-sided, zero differences dropped."""
+    """(scenario, n, w, z, p) of the signed-rank test, two-sided, zero differences dropped.
+
+    Up to fifty differences without ties and zeros are counted exactly.
+    """
     d = F.col("a") - F.col("b")
-    differences = paired(df, seed).select("scenario", d.alias("d")).where(F.col("d") != 0)
+    differences = paired(df, seed).select("scenario", d.alias("d"))
+    zero = F.col("size") == 0
+    # Zero differences have the smallest size, so giving them no weight leaves the ranks above them whole.
     counted = differences.groupBy("scenario", F.abs("d").alias("size")).agg(
-        F.sum((F.col("d") > 0).cast("bigint")).alias("up"), F.sum((F.col("d") < 0).cast("bigint")).alias("down")
+        F.sum((F.col("d") > 0).cast("bigint")).alias("up"),
+        F.sum((F.col("d") < 0).cast("bigint")).alias("down"),
+        F.sum((F.col("d") == 0).cast("bigint")).alias("zeros"),
     )
-    counted = counted.withColumn("t", F.col("up") + F.col("down"))
+    counted = counted.withColumn("t", F.when(zero, F.lit(0).cast("bigint")).otherwise(F.col("up") + F.col("down")))
     placed = running_distinct(counted, "size", {"t": "before"}, part=["scenario"])
     t = F.col("t").cast("double")
     rank = F.col("before") + (t + 1.0) / 2.0
@@ -125,12 +133,14 @@ def wilcoxon(df: DataFrame, seed: object = 42) -> DataFrame:
         F.sum(F.col("up") * rank).alias("r_up"),
         F.sum(F.col("down") * rank).alias("r_down"),
         F.sum(t * t * t - t).alias("ties"),
+        F.sum("zeros").alias("zeros"),
     )
     n = F.col("n").cast("double")
     w = F.least("r_up", "r_down")
     deviation = F.sqrt((n * (n + 1.0) * (2.0 * n + 1.0) - 0.5 * F.col("ties")) / 24.0)
-    rows = sums.select("scenario", "n", w.alias("w"), ((w - n * (n + 1.0) / 4.0) / deviation).alias("z"))
-    return rows.withColumn("p", 2.0 * normal_tail(F.abs("z")))
+    z = (w - n * (n + 1.0) / 4.0) / F.nullif(deviation, F.lit(0.0))
+    rows = sums.select("scenario", "n", w.alias("w"), z.alias("z"), "ties", "zeros")
+    return rows.withColumn("p", signed_rank_p("z", "w", "n", "ties", "zeros")).drop("ties", "zeros")
 
 
 def compare(df: DataFrame, a: str = "A", b: str = "B", extra_tasks: tuple[str, ...] = (), override_alt: str | None = None) -> DataFrame:

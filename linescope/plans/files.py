@@ -94,7 +94,7 @@ def a10(spark, sf):
     df = evaluation.wide(spark, sf)
     name = F.concat(F.lit("code_hc_word_"), F.col("fold").cast("string"), F.lit("_results"))
     other = F.lit("skipped_name")
-    df.withColumn("source", name).repartition("source").write.partitionBy("source").option("header", "true").csv(path)
+    df.withColumn("source", name).write.partitionBy("source").option("header", "true").csv(path)
     df.withColumn("source", other).write.mode("append").partitionBy("source").option("header", "true").csv(path)
     out = S.read_multitask_files(spark, path, df.schema)
     keep = [c for c in out.columns if c not in ("time_pred", *R.METRICS)]
@@ -112,7 +112,7 @@ def a11(spark, sf):
         ((F.col("o_orderkey") * 13 % 101) / F.lit(101.0)).alias("mcc"),
         F.concat_ws("_", F.lit("code_hc_word_cvss2"), task, (F.col("o_custkey") % 10).cast("string"), F.lit("results")).alias("source"),
     )
-    df.repartition("source").write.partitionBy("source").option("header", "true").csv(path)
+    df.write.partitionBy("source").option("header", "true").csv(path)
     out = S.read_sequential_files(spark, path, df.drop("source").schema)
     return out.withColumn("mcc", F.round("mcc", 6))
 

@@ -113,5 +113,6 @@ def statement_listing(statements: DataFrame) -> DataFrame:
 def write_listing(statements: DataFrame, path: str, folders: int = 64) -> None:
     """Statement listing as text, the functions spread over a fixed number of folders."""
     rows = statement_listing(statements).withColumn("folder", F.pmod(F.xxhash64("func_id"), F.lit(folders)))
-    ordered = rows.repartition("folder", "func_id").sortWithinPartitions("folder", "func_id", "stmt_id")
+    # Range partitions cut inside a function too, so a very large one is written by many tasks.
+    ordered = rows.repartitionByRange("folder", "func_id", "stmt_id").sortWithinPartitions("folder", "func_id", "stmt_id")
     ordered.select("folder", "value").write.partitionBy("folder").text(path)

@@ -372,6 +372,26 @@ def test_mann_whitney(spark):
     assert stats.mann_whitney(two_sides(spark, a, b), "two-sided").first()["p"] <= 1.0
 
 
+def test_small_samples_are_counted_exactly(spark):
+    from itertools import combinations, product
+
+    a, b = [1.5, 4.0, 9.0], [2.0, 3.0, 5.0, 7.0]
+    got = stats.mann_whitney(two_sides(spark, a, b), "greater").first()
+    u = sum(x > y for x in a for y in b)
+    alls = [sum(x > y for x in pick for y in set(range(7)) - set(pick)) for pick in combinations(range(7), 3)]
+    assert got["u"] == u and got["p"] == pytest.approx(sum(v >= u for v in alls) / len(alls))
+    got = stats.wilcoxon(two_sides(spark, [5, 1, 9, 4], [4, 3, 5, 12])).first()
+    sums = [sum(r for r, s in zip((1, 2, 3, 4), signs, strict=True) if s) for signs in product((0, 1), repeat=4)]
+    # differences 1, -2, 4, -8: positive ranks 1 + 3
+    assert got["w"] == 4 and got["p"] == pytest.approx(min(1.0, 2 * sum(v <= 4 for v in sums) / 16))
+
+
+def test_word_vectors_keep_the_vocabulary_bound(spark):
+    df = spark.createDataFrame([(i, ["a", "b", "c", f"w{i % 7}"]) for i in range(60)], "key long, t array<string>")
+    model = E.train_word_vectors(df, F.col("t"), vector_size=4, min_count=0, epochs=1, partitions=2, max_vocab=5)
+    assert rows(E.vector_table(model), "term") == [("a",), ("b",), ("c",), ("w0",), ("w1",), ("w2",), ("w3",)][:3]
+
+
 def test_wilcoxon_equal_sizes(spark):
     rnd = random.Random(6)
     a, b = [rnd.randint(0, 9) for _ in range(30)], [rnd.randint(0, 9) for _ in range(30)]
