@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linescope.functions.rows import exploded, inlined
 from linescope.functions.text import SPACE_MARK, bind, camel_pieces
 
 LAST_LAYER = 11
@@ -103,13 +104,13 @@ def layer_mean(df: DataFrame, layers: Sequence[int] = (LAST_LAYER,)) -> DataFram
             low.alias("start"), F.transform(places, token_at).alias("tokens"), F.transform(places, mean_at).alias("weights")
         )
 
-    return rows.select("func_id", "stmt_id", F.inline(F.array(bind(merge, present))))
+    return inlined(rows, ["func_id", "stmt_id"], F.array(bind(merge, present)), "start")
 
 
 def weight_rows(df: DataFrame) -> DataFrame:
     """(func_id, stmt_id, pos, token, weight), one row per slice element."""
     zipped = F.arrays_zip("tokens", "weights")
-    return df.select("func_id", "stmt_id", "start", F.posexplode(zipped).alias("at", "z")).select(
+    return exploded(df, ["func_id", "stmt_id", "start"], zipped, "z", "at").select(
         "func_id",
         "stmt_id",
         (F.col("start") + F.col("at")).alias("pos"),
@@ -138,16 +139,13 @@ def first_run(tokens: Column, weights: Column) -> Column:
 
 def statement_spans(df: DataFrame) -> DataFrame:
     """Add ``span_start``, ``span_tokens``, ``span_weights``: the first non-zero run of a statement."""
-    return (
-        df.withColumn("_run", first_run(F.col("tokens"), F.col("weights")))
-        .where(F.col("_run").isNotNull())
-        .select(
-            "func_id",
-            "stmt_id",
-            (F.col("start") + F.col("_run.offset") - 1).alias("span_start"),
-            F.col("_run.tokens").alias("span_tokens"),
-            F.col("_run.weights").alias("span_weights"),
-        )
+    run = first_run(F.col("tokens"), F.col("weights"))
+    return exploded(df, ["func_id", "stmt_id", "start"], F.array(run), "run").select(
+        "func_id",
+        "stmt_id",
+        (F.col("start") + F.col("run.offset") - 1).alias("span_start"),
+        F.col("run.tokens").alias("span_tokens"),
+        F.col("run.weights").alias("span_weights"),
     )
 
 
@@ -207,14 +205,14 @@ def word_array(tokens: Column, weights: Column, legacy_tail: bool = False) -> Co
 def words(df: DataFrame, legacy_tail: bool = False) -> DataFrame:
     """(func_id, stmt_id, word_no, word, weight)."""
     found = word_array(F.col("tokens"), F.col("weights"), legacy_tail)
-    return df.select("func_id", "stmt_id", F.posexplode(found).alias("at", "w")).select(
+    return exploded(df, ["func_id", "stmt_id"], found, "w", "at").select(
         "func_id", "stmt_id", (F.col("at") + 1).alias("word_no"), F.col("w.word").alias("word"), F.col("w.weight").alias("weight")
     )
 
 
 def token_weights(word_rows: DataFrame) -> DataFrame:
     """(token, weight, frequency): every piece of a word carries the word's weight."""
-    pieces = word_rows.select(F.explode(camel_pieces(F.col("word"))).alias("token"), "weight")
+    pieces = exploded(word_rows, ["weight"], camel_pieces(F.col("word")), "token")
     return pieces.groupBy("token").agg(F.avg("weight").alias("weight"), F.count(F.lit(1)).alias("frequency"))
 
 
@@ -246,9 +244,8 @@ def statement_weights(df: DataFrame, weights: DataFrame, local_share: float = LO
     the token list stays on the statement row.
     """
     spans = statement_spans(df).withColumn("tokens", F.transform("span_tokens", bare_token))
-    once = spans.select("func_id", "stmt_id", F.explode("tokens").alias("token")).groupBy("func_id", "stmt_id", "token").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    tokens = exploded(spans, ["func_id", "stmt_id"], F.col("tokens"), "token")
+    once = tokens.groupBy("func_id", "stmt_id", "token").agg(F.count(F.lit(1)).alias("n"))
     summed = (
         lookup(once, weights)
         .groupBy("func_id", "stmt_id")

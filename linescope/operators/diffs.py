@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linescope.functions.rows import exploded
 from linescope.functions.text import bind, line_key, split_lines
 
 HUNK = "^@@ -(\\d+)(?:,\\d+)? \\+(\\d+)"
@@ -59,7 +60,7 @@ def hunks(df: DataFrame, key: str = "key", diff: str = "diff_func") -> DataFrame
     """One row per hunk header: its place in the diff and the two start lines."""
     lines = split_lines(F.col(diff), "newline")
     return (
-        df.select(F.col(key).alias("key"), F.posexplode(lines).alias("pos", "line"))
+        exploded(df, [F.col(key).alias("key")], lines, "line", "pos")
         .where(F.col("line").startswith("@@"))
         .select(
             "key",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linescope.functions import text as T
+from linescope.functions.rows import exploded
 from linescope.operators.ranking import value_rank
 from linescope.session import materialise
 
@@ -21,7 +22,7 @@ MAX_FEATURES = 10_000
 def term_counts(df: DataFrame, terms: Column, key: str = "key") -> DataFrame:
     """(key, term, tf) from an array of terms per row."""
     return (
-        df.select(F.col(key).alias("key"), F.explode(terms).alias("term"))
+        exploded(df, [F.col(key).alias("key")], terms, "term")
         .groupBy("key", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -29,12 +30,12 @@ def term_counts(df: DataFrame, terms: Column, key: str = "key") -> DataFrame:
 
 def corpus_frequency(df: DataFrame, terms: Column) -> DataFrame:
     """(term, freq) over the whole corpus."""
-    return df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    return exploded(df, [], terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def document_frequency(df: DataFrame, terms: Column) -> DataFrame:
     """(term, df) with one row per document: repeats go inside the row, so only ``term`` shuffles."""
-    return df.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return exploded(df, [], F.array_distinct(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def top_vocabulary(counts: DataFrame, limit: int = MAX_FEATURES) -> DataFrame:
@@ -204,7 +205,7 @@ def concat_blocks(blocks: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
 def most_common(df: DataFrame, tokens: Column, key: str = "key") -> DataFrame:
     """Most common element per row, first seen on ties."""
     counted = (
-        df.select(F.col(key).alias("key"), F.posexplode(tokens).alias("pos", "term"))
+        exploded(df, [F.col(key).alias("key")], tokens, "term", "pos")
         .groupBy("key", "term")
         .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
     )

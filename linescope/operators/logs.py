@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linescope.functions.rows import exploded
 from linescope.functions.text import bind
 
 # Markers and expected structure of a log.
@@ -81,7 +82,7 @@ def log_runs(logs: DataFrame) -> DataFrame:
 
 def log_epochs(logs: DataFrame) -> DataFrame:
     """(log_id, partition, run, epoch, seconds, val_seconds, best), one row per epoch."""
-    return log_runs(logs).select("log_id", "partition", "run", F.explode("epochs").alias("e")).select(
+    return exploded(log_runs(logs), ["log_id", "partition", "run"], F.col("epochs"), "e").select(
         "log_id", "partition", "run", "e.epoch", "e.seconds", "e.val_seconds", "e.best"
     )
 
@@ -104,7 +105,7 @@ def log_violations(logs: DataFrame) -> DataFrame:
         "final evaluation": (F.col("final.lines") != 1) | (F.size("final.numbers") != 1),
     }
     broken = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
-    return log_runs(logs).select("log_id", "partition", "run", F.explode(broken).alias("violation"))
+    return exploded(log_runs(logs), ["log_id", "partition", "run"], broken, "violation")
 
 
 def run_timing(logs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linescope.functions.rows import inlined
 from linescope.functions.text import bind, clean_lines, split_lines
 from linescope.operators.ranking import seeded_hash
 
@@ -103,7 +104,7 @@ def scope_lines(
     ``surrounding_only``, ``random_context``.
     """
 
-    def cut(lines: Column, vul: Column) -> Column:
+    def cut(lines: Column, vul: Column, vul_text: Column) -> Column:
         if scope == "whole":
             return lines
         if scope == "code":
@@ -122,7 +123,7 @@ def scope_lines(
 
     if scope not in {*SCOPES, "code"}:
         raise ValueError(f"unknown scope {scope!r}")
-    return bind(cut, lines, parse_line_numbers(vul_text))
+    return bind(lambda ls, text: bind(lambda vul: cut(ls, vul, text), parse_line_numbers(text)), lines, vul_text)
 
 
 SCOPES = [
@@ -157,15 +158,15 @@ def cut_all_scopes(df: DataFrame, **names: str) -> DataFrame:
     key, code = names.get("key", "key"), names.get("code", "func_before")
     vul, label = names.get("vul_line", "vul_line"), names.get("label", "severity")
 
-    def cut(lines: Column) -> Column:
-        kept = {s: scope_lines(s, lines, F.col(vul), F.col("key")) for s in SCOPES}
+    def cut(lines: Column, vul_text: Column) -> Column:
+        kept = {s: scope_lines(s, lines, vul_text, F.col("key")) for s in SCOPES}
         return F.array(
             *[F.struct(F.lit(s).alias("scope"), clean_lines(rows).alias("code")) for s, rows in kept.items()]
         )
 
     base = df if key == "key" else df.withColumnRenamed(key, "key")
-    rows = base.select("key", label, bind(cut, split_lines(F.col(code))).alias("_cut"))
-    return rows.select("key", label, F.inline("_cut"))
+    rows = base.select("key", label, bind(cut, split_lines(F.col(code)), F.col(vul)).alias("_cut"))
+    return inlined(rows, ["key", label], F.col("_cut"), "scope")
 
 
 def project_scope_input(df: DataFrame, label: str = "severity") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linescope.functions.rows import exploded
 from linescope.operators.attention import low_rated_tokens
 from linescope.operators.ranking import hash_rank, running_totals
 
@@ -41,7 +42,7 @@ def drop_tokens(statements: DataFrame, low: DataFrame) -> DataFrame:
 
 def token_rows(statements: DataFrame) -> DataFrame:
     """(func_id, stmt_id, pos, token), pos 1-based inside the statement."""
-    return statements.select("func_id", "stmt_id", F.posexplode("tokens").alias("at", "token")).select(
+    return exploded(statements, ["func_id", "stmt_id"], F.col("tokens"), "token", "at").select(
         "func_id", "stmt_id", (F.col("at") + 1).alias("pos"), "token"
     )
 

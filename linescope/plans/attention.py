@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linescope import session
 from linescope.functions import text as T
+from linescope.functions.rows import exploded
 from linescope.operators import attention as A
 from linescope.operators import simplify as S
 from linescope.plans import inputs as I
@@ -30,7 +31,7 @@ def statements(spark, sf):
             lambda s: F.size(s["t"]) > 0,
         ).alias("lines"),
     )
-    rows = docs.select("func_id", "lines", F.posexplode("lines").alias("at", "line")).select(
+    rows = exploded(docs, ["func_id", "lines"], F.col("lines"), "line", "at").select(
         "func_id",
         F.col("line.no").alias("stmt_id"),
         F.aggregate(F.slice("lines", F.lit(1), F.col("at")), F.lit(1), lambda a, s: a + F.size(s["t"])).alias("start"),
@@ -174,7 +175,7 @@ select t.token, t.n, round(coalesce(w.weight, 0e0), 6) as global_weight from (
 left join tw w on w.token = t.token""")
 def a07(spark, sf):
     spans = A.statement_spans(A.layer_mean(statements(spark, sf)))
-    tokens = spans.select(F.explode(F.transform("span_tokens", A.bare_token)).alias("token"))
+    tokens = exploded(spans, [], F.transform("span_tokens", A.bare_token), "token")
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return A.lookup(counts, weights(spark, sf)).withColumn("global_weight", F.round("global_weight", 6))
 
@@ -241,15 +242,15 @@ select piece, count(*) as n from pieces group by piece""")
 def e04(spark, sf):
     docs = I.documents(spark, sf)
     line_words = F.transform(T.split_lines(F.col("code"), "newline"), lambda x: F.split(x, " ", -1))
-    rows = docs.select("key", F.explode(line_words).alias("ws"))
+    rows = exploded(docs, ["key"], line_words, "ws")
     pairs = F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("a"), F.slice("ws", F.lit(2), F.size("ws")).alias("b"))
-    joined = rows.select("key", F.inline(pairs).alias("a", "b"))
+    joined = rows.select("key", F.inline_outer(pairs).alias("a", "b")).where(F.col("a").isNotNull())
     def capital(c):
         return F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
     head, tail = capital(F.substring("b", 1, 1)), F.substr("b", F.lit(2))
     word = F.concat("a", head, tail, F.lit("_"), F.col("key").cast("string"), capital(F.col("b")))
-    pieces = joined.select(F.explode(T.camel_pieces(word)).alias("piece"))
+    pieces = exploded(joined, [], T.camel_pieces(word), "piece")
     return pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linescope.functions import text as T
+from linescope.functions.rows import exploded
 from linescope.operators import diffs, scopes
 from linescope.plans import inputs as I
 from linescope.plans.registry import query
@@ -30,9 +31,7 @@ def c01(spark, sf):
 select key, line_no, regexp_replace({_NO_COMMENT}, '{_SPACE}', '', 'g') as line_key from x2""")
 def c02(spark, sf):
     lines = T.split_lines(F.col("code"), "newline")
-    return I.commented(spark, sf).select(
-        "key", F.posexplode(F.transform(lines, T.line_key)).alias("pos", "line_key")
-    ).select("key", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line_key")
+    return exploded(I.commented(spark, sf), ["key"], F.transform(lines, T.line_key), "line_key", "pos").select("key", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line_key")
 
 
 _ALIGN = f"""with {I.LINES},
@@ -77,9 +76,7 @@ def c04(spark, sf):
 select key, line_no, {_CLEAN} as line from x2""")
 def c05(spark, sf):
     lines = T.split_lines(F.col("code"), "newline")
-    return I.commented(spark, sf).select(
-        "key", F.posexplode(F.transform(lines, T.clean_line)).alias("pos", "line")
-    ).select("key", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+    return exploded(I.commented(spark, sf), ["key"], F.transform(lines, T.clean_line), "line", "pos").select("key", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
 @query("c06_scope_whole", f"""with {I.COMMENTED}

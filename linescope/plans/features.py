@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linescope import session
 from linescope.functions import text as T
+from linescope.functions.rows import exploded, inlined
 from linescope.functions.vectors import parse_vector
 from linescope.operators import embeddings as E
 from linescope.operators import features as X
@@ -53,7 +54,7 @@ def d03(spark, sf):
     sized = F.array(
         *[F.struct(F.lit(n).alias("n"), T.word_ngrams(F.col("toks"), n, n).alias("terms")) for n in range(1, 5)]
     )
-    rows = docs.select("key", F.inline(sized)).select("key", "n", F.explode("terms").alias("term"))
+    rows = exploded(inlined(docs, ["key"], sized, "n"), ["key", "n"], F.col("terms"), "term")
     once = rows.groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     return once.groupBy("key", "n").agg(
         F.sum("tf").alias("grams"),
@@ -278,7 +279,7 @@ def d14(spark, sf):
     doubles = F.transform(F.col("embedding").cast("array<double>"), lambda x: x.cast("string"))
     printed = F.concat(F.lit("["), F.array_join(doubles, ", "), F.lit("]"))
     df = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), printed.alias("codebert"))
-    return df.select("key", F.posexplode(parse_vector(F.col("codebert"))).alias("dim", "value")).select(
+    return exploded(df, ["key"], parse_vector(F.col("codebert")), "value", "dim").select(
         "key", "dim", F.round("value", 6).alias("value")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linescope import session
 from linescope.functions import text as T
+from linescope.functions.rows import exploded
 from linescope.operators import features as X
 from linescope.operators import scopes
 from linescope.operators import splits as S
@@ -142,18 +143,21 @@ def b11(spark, sf):
 p as (select distinct unnest(regexp_extract_all(html, '[a-zA-Z0-9]+')) as term from pages)
 select term from w where term not in (select term from p)""")
 def b12(spark, sf):
-    word = lambda c: F.explode(F.regexp_extract_all(F.col(c), F.lit(T.CODE_WORD), F.lit(0))).alias("term")
-    words = I.table(spark, sf, "documents").select(word("text")).distinct()
-    return X.minus_terms(words, I.table(spark, sf, "pages").select(word("html")).distinct())
+
+    def words(name, column):
+        found = F.regexp_extract_all(F.col(column), F.lit(T.CODE_WORD), F.lit(0))
+        return exploded(I.table(spark, sf, name), [], F.array_distinct(found), "term").distinct()
+
+    return X.minus_terms(words("documents", "text"), words("pages", "html"))
 
 
 @query("b12_row_difference", f"""with {I.VUL} select x.key, x.line_no from x0 x
   left join vul v on v.key = x.key and v.line_no = x.line_no where v.key is null""")
 def b12_rows(spark, sf):
     df = I.annotated(spark, sf)
-    lines = df.select("key", F.posexplode(T.split_lines(F.col("func_before"), "newline")).alias("at", "line")).select(
+    lines = exploded(df, ["key"], T.split_lines(F.col("func_before"), "newline"), "line", "at").select(
         "key", (F.col("at") + 1).cast("bigint").alias("line_no")
     )
-    vul = df.select("key", F.explode(scopes.parse_line_numbers(F.col("vul_line"))).alias("line_no"))
+    vul = exploded(df, ["key"], scopes.parse_line_numbers(F.col("vul_line")), "line_no")
     vul = vul.withColumn("line_no", F.col("line_no").cast("bigint"))
     return S.minus_rows(lines, vul, ["key", "line_no"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linescope.functions.rows import inlined
 from linescope.functions.text import bind
 from linescope.functions.vectors import parse_vector
 from linescope.operators.attention import ranking_lines, trim_row
@@ -49,24 +50,21 @@ def dump_weights(files: DataFrame) -> DataFrame:
     layer = F.regexp_extract("path", "/layer_([0-9]+)$", 1)
     lines = F.transform(F.split("value", "\n", -1), F.trim)
     kept = _until_blank(lines, F.transform(lines, lambda x: x == ""))
-    rows = files.where(func != "").select(
-        func.cast("bigint").alias("func_id"),
-        layer.cast("int").alias("layer"),
-        F.posexplode(kept).alias("at", "line"),
-    )
-    bare = F.replace(F.replace("line", F.lit("tensor("), F.lit("")), F.lit(", device='cuda:0')"), F.lit(""))
-    return rows.select(
-        "func_id", "layer", (F.col("at") + 1).alias("stmt_id"), parse_vector(bare).alias("weights")
-    ).where(F.col("weights").isNotNull())
+
+    def parsed(line: Column, at: Column) -> Column:
+        bare = F.replace(F.replace(line, F.lit("tensor("), F.lit("")), F.lit(", device='cuda:0')"), F.lit(""))
+        return F.struct((at + 1).alias("stmt_id"), parse_vector(bare).alias("weights"))
+
+    named = files.where(func != "")
+    ids = [func.cast("bigint").alias("func_id"), layer.cast("int").alias("layer")]
+    return inlined(named, ids, F.transform(kept, parsed), "weights")
 
 
 def statement_table(files: DataFrame) -> DataFrame:
     """Statement table of a dump; statements without any weight are skipped."""
     joined = dump_weights(files).join(dump_tokens(files), "func_id")
     row = trim_row(F.col("tokens"), F.col("weights"))
-    return joined.select("func_id", "layer", "stmt_id", row.alias("r")).where(F.col("r").isNotNull()).select(
-        "func_id", "layer", "stmt_id", "r.*"
-    )
+    return inlined(joined, ["func_id", "layer", "stmt_id"], F.array(row), "start")
 
 
 def token_weight_lines(weights: DataFrame) -> DataFrame:
