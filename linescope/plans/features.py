@@ -278,8 +278,8 @@ from (select vec_id, embedding, unnest(range(len(embedding))) as d from embeddin
 def d14(spark, sf):
     doubles = F.transform(F.col("embedding").cast("array<double>"), lambda x: x.cast("string"))
     printed = F.concat(F.lit("["), F.array_join(doubles, ", "), F.lit("]"))
-    df = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), printed.alias("codebert"))
-    return exploded(df, ["key"], parse_vector(F.col("codebert")), "value", "dim").select(
+    df = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), printed.alias("printed"))
+    return exploded(df, ["key"], parse_vector(F.col("printed")), "value", "dim").select(
         "key", "dim", F.round("value", 6).alias("value")
     )
 

@@ -24,16 +24,17 @@ def local_session(cores: int | str = 8, app: str = "linescope", shuffle_partitio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    A machine-local folder is made only for a local master that names none.
+    A machine-local folder is made only for a local master where neither is set.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="linescope-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="linescope-"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 

@@ -459,6 +459,28 @@ def test_classifiers_fit(spark):
 
 
 def test_shared_folder_comes_from_the_session(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = session.fresh_path(spark, "x")
-    assert path.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+    assert named is None or path.startswith(named.rstrip("/"))
     assert session.fresh_path(spark, "x") != path
+
+
+def test_shared_folder_without_a_named_one():
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext, self.conf = Context(master), {}
+
+    local = Session("local[2]")
+    assert session.shared_dir(local) == session.shared_dir(local)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session("yarn"))
