@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linescope.llm import minhash
+from linescope.llm import context_tree, lines, minhash, quality_rules
 from linescope.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -13,3 +14,21 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op1_minhash_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = lines.without_boilerplate(docs, removed="n_removed")
+    return out.select("doc_id", "text", "n_removed", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return context_tree.score(table(spark, sf_dir, "documents"), held_out=held)
