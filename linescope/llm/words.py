@@ -61,13 +61,15 @@ def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(
+    column: pa.Array, size: int = SLICE_BYTES, most_rows: int = 1 << 16
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) pieces of about ``size`` bytes; a row is never cut."""
     data, at = _plain(column)
     first, rows = 0, len(at) - 1
     while first < rows:
         end = int(np.searchsorted(at, at[first] + size, "right")) - 1
-        end = min(max(end, first + 1), rows)
+        end = min(max(end, first + 1), rows, first + most_rows)
         yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
         first = end
 
