@@ -5,9 +5,12 @@ Two permutations of a universe of 2**32 shingle ids make every coordinate: ``sig
 
 1. Each text becomes its set fingerprint, band keys and a one-bit sketch of the coordinates. Equal sets are one node.
 2. Every node is compared with the smallest node of each of its buckets, on the full sets.
-3. Buckets that still hold several components compare the nodes of different components, where sizes and sketches
-   allow a link, again on the full sets.
-4. Components are contracted in the shared folder.
+3. Buckets that still hold several components draw more pivots, in rounds: large groups of near copies close here with
+   a number of comparisons in proportion to their nodes.
+4. What lies outside the largest component of a bucket is compared with all of the bucket, again on the full sets: as
+   pairs where sizes and sketches allow a link, or in blocks of bounded size where a bucket has many. No link among the
+   candidates is lost.
+5. Components are contracted in the shared folder.
 
 No pairs of a group are listed, equal texts meet only in a combinable aggregate, and every join key may be hot: the
 joins are left to adaptive skew splitting.
@@ -18,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +37,14 @@ BLOCK = 1 << 14
 SKETCH_BITS = BANDS * ROWS
 #: Lower-bit agreements of a pair at similarity s have mean (1 + s) / 2; five deviations are left below it.
 DEVIATIONS = 5.0
+#: Pivots that a bucket with several components draws in a round, and rounds.
+PIVOTS = 8
+ROUNDS = 1
+#: Buckets with up to this many comparisons left list them as pairs; larger ones are compared in blocks of nodes.
+SMALL = 256
+BLOCK_NODES = 512
+#: Shared shingles that a block holds at once.
+BLOCK_HITS = 1 << 21
 
 _U32 = np.uint32
 
@@ -213,17 +225,16 @@ def near_duplicates(
     links = materialise(_linked(first, sets, percent), "links")
     once = components(links)
 
-    # What the pivots have not joined: nodes of different components in one bucket.
-    placed = shared.join(once, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_buckets = (
-        placed.groupBy("bucket")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo != hi")
-        .select("bucket")
-    )
-    rest = materialise(placed.join(open_buckets, "bucket", "left_semi"), "rest")
-    more = materialise(_linked(_cross(rest, percent, bands * rows), sets, percent), "links")
-    final = components(links.union(more))
+    # What the first pivots have not joined: more pivots, then all nodes of different components in one bucket.
+    for salt in range(ROUNDS):
+        rest = materialise(_open(shared, once), "rest")
+        links = links.union(materialise(_linked(_to_pivots(rest, salt, percent, bands * rows), sets, percent), "links"))
+        once = components(links)
+    rest = materialise(_open(shared, once).join(heads.select("node", "bands"), "node"), "rest")
+    small = F.col("n_all") * F.col("n_minor") <= SMALL
+    more = _linked(_cross(rest.where(small), percent, bands * rows), sets, percent)
+    blocks = _by_blocks(rest.where(~small), sets, percent)
+    final = components(links.union(materialise(more.union(blocks), "links")))
 
     named = groups.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -238,23 +249,130 @@ def near_duplicates(
     )
 
 
-def _cross(rest: DataFrame, percent: int, coordinates: int) -> DataFrame:
-    """Distinct pairs of one bucket and different components that sizes and sketches leave possible."""
-    s = percent / 100
+def _open(shared: DataFrame, placed: DataFrame) -> DataFrame:
+    """Bucket rows of buckets that hold several components; ``minor``: not of the bucket's largest component."""
+    rows = shared.join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    several = counts.groupBy("bucket").agg(
+        F.max(F.struct("c", "component")).alias("largest"), F.sum("c").alias("n_all")
+    ).where("n_all > largest.c")
+    minor = F.col("component") != F.col("largest.component")
+    n_minor = F.col("n_all") - F.col("largest.c")
+    return rows.join(several, "bucket").withColumns({"minor": minor, "n_minor": n_minor}).drop("largest")
+
+
+def _possible(a: dict[str, Column], b: dict[str, Column], percent: int, coordinates: int) -> Column:
+    """Different components whose sizes and sketches allow the similarity."""
     used = min(192, coordinates)
-    p = (1 + s) / 2
+    p = (1 + percent / 100) / 2
     least = int(used * p - DEVIATIONS * (used * p * (1 - p)) ** 0.5)
+    differ = sum((F.bit_count(a[f"s{i}"].bitwiseXOR(b[f"s{i}"])) for i in range(3)), F.lit(0))
+    return (
+        (a["component"] != b["component"])
+        & (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent)
+        & (differ <= used - least)
+    )
+
+
+_FIELDS = ("node", "n", "s0", "s1", "s2", "component")
+
+
+def _to_pivots(rest: DataFrame, salt: int, percent: int, coordinates: int) -> DataFrame:
+    """Distinct pairs of a node and one of the ``PIVOTS`` pivots that each of its buckets draws by hash."""
+    drawn = [
+        F.min(F.struct(F.xxhash64(F.lit(salt * PIVOTS + i), "node").alias("h"), *_FIELDS)).alias(f"p{i}")
+        for i in range(PIVOTS)
+    ]
+    pivots = rest.groupBy("bucket").agg(*drawn)
+    both = rest.where("minor").join(pivots, "bucket")
+    own = {c: F.col(c) for c in _FIELDS}
+    fits = F.filter(
+        F.array_distinct(F.array(*[F.struct(*[F.col(f"p{i}")[c].alias(c) for c in _FIELDS]) for i in range(PIVOTS)])),
+        lambda x: _possible(own, {c: x[c] for c in _FIELDS}, percent, coordinates),
+    )
+    pairs = both.select("node", F.explode(F.transform(fits, lambda x: x["node"])).alias("pivot"))
+    return pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+
+
+def _cross(rest: DataFrame, percent: int, coordinates: int) -> DataFrame:
+    """The pairs of one bucket and different components that sizes and sketches leave possible, each once."""
 
     def side(name: str) -> DataFrame:
-        return rest.select("bucket", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "s0", "s1", "s2", "component")])
-
-    a, b = side("a"), side("b")
-    differ: Column = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(3)), F.lit(0))
-    fits = (
-        (F.col("component_a") != F.col("component_b"))
-        & (F.col("node_a") < F.col("node_b"))
-        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        & (differ <= used - least)
+        return rest.select("bucket", *[F.col(c).alias(f"{c}_{name}") for c in (*_FIELDS, "bands", "minor")])
+
+    # One side is outside the largest component; pairs of two such nodes come in one order.
+    a, b = side("a").where("minor_a"), side("b")
+    left, right = ({c: d[f"{c}_{n}"] for c in _FIELDS} for d, n in ((a, "a"), (b, "b")))
+    fits = (~b["minor_b"] | (left["node"] < right["node"])) & _possible(left, right, percent, coordinates)
+    # A pair that shares several buckets counts in the first.
+    shared = F.zip_with(a["bands_a"], b["bands_b"], lambda x, y: x == y)
+    first = F.get(a["bands_a"], (F.array_position(shared, F.lit(True)) - 1).cast("int")) == a["bucket"]
+    joined = a.join(b, (a["bucket"] == b["bucket"]) & fits & first)
+    return joined.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row of ``right``, counts of shared values as rows of ``right`` by rows of ``left``), in pieces."""
+    held = np.concatenate(left)
+    owner = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    first = 0
+    while first < len(right):
+        size, end, parts = 0, first, []
+        while end < len(right) and (size < BLOCK_HITS or end == first):
+            lo, hi = np.searchsorted(held, right[end], "left"), np.searchsorted(held, right[end], "right")
+            n = hi - lo
+            total = int(n.sum())
+            at = np.arange(total) + np.repeat(lo - np.cumsum(n) + n, n)
+            parts.append(owner[at] + (end - first) * len(left))
+            size, end = size + total, end + 1
+        counts = np.bincount(np.concatenate(parts), minlength=(end - first) * len(left))
+        yield first, counts.reshape(end - first, len(left))
+        first = end
+
+
+def _block_links(percent: int):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        outside, every = block[block["left"]], block[~block["left"]]
+        a, b, seen = [], [], set()
+        if len(outside) and len(every):
+            nodes, others = outside["node"].to_numpy(), every["node"].to_numpy()
+            parts, other_parts = outside["component"].to_numpy(), every["component"].to_numpy()
+            sizes = np.array([len(x) for x in outside["members"]])
+            other_sizes = np.array([len(x) for x in every["members"]])
+            for first, shared in _shared_counts(list(outside["members"]), list(every["members"])):
+                total = other_sizes[first : first + len(shared), None] + sizes[None, :]
+                for j, i in zip(*np.nonzero(shared * 100 >= (total - shared) * percent), strict=True):
+                    # One link for a node and a component is enough.
+                    mark = (bytes(nodes[i]), bytes(other_parts[first + j]))
+                    if parts[i] != other_parts[first + j] and mark not in seen:
+                        seen.add(mark)
+                        a.append(bytes(nodes[i]))
+                        b.append(bytes(others[first + j]))
+        return pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def _by_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes outside a bucket's largest component and all of the bucket.
+
+    Both sides are dealt into blocks of about ``BLOCK_NODES`` nodes, and a task compares one pair of blocks at a time.
+    """
+    held = rest.select("bucket", "node", "component", "minor", "n_all", "n_minor").join(sets, "node")
+    held = held.withColumns(
+        {
+            "of_all": F.ceil(F.col("n_all") / BLOCK_NODES).cast("int"),
+            "of_minor": F.ceil(F.col("n_minor") / BLOCK_NODES).cast("int"),
+            "h": F.xxhash64("bucket", "node"),
+        }
+    )
+    keep = ["bucket", "node", "component", "members"]
+    outside = held.where("minor").select(
+        *keep, F.lit(True).alias("left"), F.pmod("h", "of_minor").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("j")
+    )
+    every = held.select(
+        *keep, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("of_minor") - 1)).alias("i"), F.pmod("h", "of_all").cast("int").alias("j")
     )
-    joined = a.join(b, (a["bucket"] == b["bucket"]) & fits)
-    return joined.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return outside.union(every).groupBy("bucket", "i", "j").applyInPandas(_block_links(percent), "a binary, b binary")
