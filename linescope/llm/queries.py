@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import context_tree, decontaminate, lines, minhash, neighbour_quality, quality_rules
+from linescope.llm import (
+    context_tree,
+    decontaminate,
+    html_text,
+    lines,
+    minhash,
+    neighbour_quality,
+    quality_rules,
+    url_filter,
+)
 from linescope.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -45,3 +54,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = neighbour_quality.score(docs, labels, ~held)
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: The rules of the contract.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query("op8_url_filters")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A page is labelled by the quality of the document that the last number of its path names.
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    named = pages.withColumn("doc", F.expr("try_cast(regexp_extract(url, '([0-9]+)[^0-9/?#]*/?(?:[?#].*)?$', 1) as bigint)"))
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("doc")).agg(F.avg("quality").alias("label"))
+    return url_filter.verdicts(named.join(labels, "doc", "left"), URL_RULES)
