@@ -12,6 +12,7 @@ from linescope.llm import (
     lines,
     minhash,
     neighbour_quality,
+    pieces,
     quality_rules,
     url_filter,
 )
@@ -78,3 +79,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = pages.withColumn("doc", F.expr("try_cast(regexp_extract(url, '([0-9]+)[^0-9/?#]*/?(?:[?#].*)?$', 1) as bigint)"))
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("doc")).agg(F.avg("quality").alias("label"))
     return url_filter.verdicts(named.join(labels, "doc", "left"), URL_RULES)
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
