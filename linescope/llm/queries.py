@@ -14,6 +14,7 @@ from linescope.llm import (
     neighbour_quality,
     pieces,
     quality_rules,
+    secrets,
     url_filter,
 )
 from linescope.llm.registry import ORACLES, QUERIES, query, table
@@ -84,3 +85,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sentencepiece")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+@query("op7_secret_scans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
