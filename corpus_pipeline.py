@@ -1,12 +1,47 @@
-"""Training-corpus pipeline: each stage reads what the one before it kept."""
+"""Training-corpus pipeline: each stage reads what the one before it kept.
+
+Quality rules drop rejected documents, line dedup takes boilerplate lines out of the texts, near-dedup leaves one
+document of each group, decontamination drops documents that hold a benchmark item, and the rest is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from linescope.llm import decontaminate, lines, minhash, pieces, quality_rules
 from linescope.session import fresh_path
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.kept_rows(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = lines.without_boilerplate(docs)
+    # The length column follows the text.
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs, size=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("sentencepiece", encoding),
+]
 
 #: Seeds, sketches and trained pieces are outside what SQL expresses; tests compare the run with brute force.
 ORACLE_SQL = None

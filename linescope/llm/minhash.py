@@ -192,12 +192,45 @@ def near_duplicates(
     Texts are linked at 100 * shared >= ``percent`` * united of their distinct ``size``-word shingles. The component is
     the smallest key that links reach. A text without words (null, empty, white space) has no shingles, is linked with
     nothing and keeps its own key. Repeated rows give repeated results; equal keys with different texts are different
-    documents. A null key is a member like any other, but never names a component that has another key. Other
-    columns are ignored, whatever their names. Every shingle of a text counts, however long it is.
+    documents. A null key is a member like any other, but never names a component that has another key. An empty table
+    gives no rows. Other columns are ignored, whatever their names. Every shingle of a text counts, however long it is.
 
     Candidates come from ``bands`` bands of ``rows`` coordinates: a pair at similarity s is missed with probability
     (1 - s**rows)**bands.
     """
+    out = _placed(docs, key, text, size, percent, bands, rows)
+    component = F.coalesce("component_id", "key")
+    return out.select(
+        F.col("key").alias(key),
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"),
+    )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one document of every component, that with the smallest key (null last).
+
+    Rows without words stay. Other cases are treated as in :func:`near_duplicates`; repeated rows leave one.
+    """
+    placed = materialise(_placed(docs, key, text, size, percent, BANDS, ROWS).where("component is not null"), "placed")
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_key")).alias("x"))
+    chosen = first.select(F.col("x.key").alias("k"), F.col("x.text_key").alias("t")).withColumn("one", F.lit(True))
+    whole = F.col(f"`{text}`").cast("string")
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{key}`").alias("key"),
+        F.xxhash64(whole).alias("text_key"),
+        F.coalesce(whole.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)).alias("worded"),
+    )
+    joined = held.where("worded").join(chosen, (F.col("text_key") == F.col("t")) & F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    kept = joined.groupBy("text_key", "key").agg(F.first("row").alias("row")).select("row")
+    out = kept.union(held.where("not worded").select("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def _placed(docs: DataFrame, key: str, text: str, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(key, n, text_key, component, component_id) per row; the component is null for texts without words."""
     if bands * rows > 192:
         raise ValueError("the sketch holds 192 coordinates")
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -238,15 +271,9 @@ def near_duplicates(
 
     named = groups.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    places = named.join(lows, "component").select("node", "component_id")
-    out = signed.select("key", "n", "node").join(places, "node", "left")
-    component = F.coalesce("component_id", "key")
-    return out.select(
-        F.col("key").alias(key),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"),
-    )
+    places = named.join(lows, "component").select("node", "component", "component_id")
+    out = signed.select("key", "n", "node", "text_key").join(places, "node", "left")
+    return out.select("key", "n", "text_key", "component", "component_id")
 
 
 def _open(shared: DataFrame, placed: DataFrame) -> DataFrame:
