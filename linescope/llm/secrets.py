@@ -113,7 +113,7 @@ def weak_labels(found: DataFrame) -> DataFrame:
     """``found`` with ``label`` by form and context: 1 for digests and keys that a credential's name is assigned, 0 for
     plain numbers and words, null where neither is sure."""
     value = F.col("value")
-    named = F.concat_ws(" ", "name", "before", "prefix").rlike(f"{NAMES}[^A-Za-z]*{ASSIGNED}")
+    named = F.concat_ws(" ", "name", "before", "prefix").rlike(f"{NAMES}[A-Za-z_]*[^A-Za-z]*{ASSIGNED}")
     dense = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     plain = value.rlike("^[0-9]+$") | ~value.rlike("[0-9]")
     return found.withColumn("label", F.when(named & dense, 1.0).when(plain & ~named, 0.0))

@@ -119,7 +119,7 @@ def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(size):
         held = rest > j
         part = np.zeros(n, np.uint64)
-        part[: n - j] = h[j:]
+        part[: max(n - j, 0)] = h[j:]
         total += np.where(held, mix(part + _U((j + 1) * int(_BASE) % (1 << 64))), _U(0))
     kept = (rest >= size) | ((np.repeat(counts, counts) < size) & (np.arange(n) == np.repeat(first[:-1], counts)))
     made = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))

@@ -1,0 +1,195 @@
+from collections import defaultdict
+from html.parser import HTMLParser
+
+import pytest
+
+from linescope.llm import html_text, secrets, url_filter
+from linescope.llm.queries import QUERIES, URL_RULES
+
+PAGES = "page_id bigint, url string, html string"
+
+
+class Article(HTMLParser):
+    """Blocks of the article element, by the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.on, self.parts, self.out = False, [], []
+
+    def cut(self):
+        text = " ".join("".join(self.parts).split())
+        self.parts = []
+        if text:
+            self.out.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.on = True
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag in ("p", "h1"):
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.cut()
+        if tag == "article":
+            self.on = False
+
+    def handle_data(self, data):
+        if self.on:
+            self.parts.append(data)
+
+
+def test_query_equals_a_standard_parser(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r["page_id"]: r for r in QUERIES["op4_html_extraction"](spark, sf).collect()}
+    assert len(got) == len(pages)
+    for page in pages:
+        parser = Article()
+        parser.feed(page["html"])
+        want = "\n".join(parser.out)
+        assert got[page["page_id"]]["text"] == want and got[page["page_id"]]["n_chars"] == len(want)
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<nav>menu</nav><article><h1>A &amp; B</h1><p>one<br>two<p>three &lt;x&gt;</article><footer>f</footer>", ["A & B", "one two", "three <x>"]),
+        ("<main><p>text <b>bold</b> end</p><div class='comments'><p>me too</p></div></main>", ["text bold end"]),
+        ("<article><p>a</p><aside>side</aside><form>f<input></form><script>if (a<b) x('</p>')</script><p>b</p></article>", ["a", "b"]),
+        ("<article><p>a<!-- no > here --><p>b<div id=cookie-notice>ok</div></article><p>out", ["a", "b"]),
+        ("<article><p>1 < 2 and a<b</article>", ["1 < 2 and a"]),
+        ("<article><p>open", ["open"]),
+        ("<article><p>cut off <a hre", ["cut off"]),
+        ("<article><p>&nbsp; x &#233; &bogus; </p></article>", ["x é &bogus;"]),
+        ("<article><table><tr><td>1</td><td>2</td></tr></table><ul><li>3</ul></article>", ["1", "2", "3"]),
+        ("", []),
+    ],
+)
+def test_blocks(html, want):
+    assert [t for r, t in html_text.blocks(html) if r == html_text.ARTICLE] == want
+
+
+def test_host_suffix_array_on_pages_without_article(spark, monkeypatch):
+    notice = "this site uses very many cookies for you"
+    rows = [(i, "https://a.org/x", f"<div>{notice}</div><div>{notice} p{i} q{i} r{i} s{i} t{i} u{i}</div><div>short</div>") for i in range(6)]
+    rows += [(10, "https://b.org/", f"<div>{notice}</div>"), (11, "https://a.org/y", rows[0][2]), (12, None, None), (13, "x", "<nav>n</nav>")]
+    rows += [(None, "https://a.org/z", "<p>alone"), rows[1]]
+    docs = spark.createDataFrame(rows, PAGES).selectExpr("*", "'x' as host", "1 as key", "2 as loose", "3 as print")
+    got = sorted(((r["page_id"], r["text"]) for r in html_text.extract(docs).collect()), key=str)
+    want = [(i, f"p{i} q{i} r{i} s{i} t{i} u{i}") for i in range(6) if i != 1]
+    assert [(k, t) for k, t in got if k is not None and k < 6 and k != 1] == want
+    by = dict(got)
+    assert by[10] == notice and by[12] == by[13] == "" and by[None] == "alone" and by[11] == by[0]
+    assert len(got) == len(rows)
+    assert html_text.extract(docs.where("false")).count() == 0
+
+
+def test_runs_covered_equal_all_repeated_substrings():
+    pages = ["a b c d e f g h", "x a b c d e f y", "p q r s t u"]
+    windows = defaultdict(set)
+    for i, t in enumerate(pages):
+        for w in html_text._windows(t.split(" ")):
+            windows[w].add(i)
+    repeated = {w for w, where in windows.items() if len(where) > 1}
+    assert [html_text.unique_runs([t], repeated) for t in pages] == [["g h"], ["x y"], ["p q r s t u"]]
+
+
+# URLs -------------------------------------------------------------------------------------
+
+
+def plain_url(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end])
+    path = rest[end:]
+    return host, path[: min([i for i in (path.find(c) for c in "?#") if i >= 0], default=len(path))]
+
+
+def plain_rule(host, path):
+    fits = [(len(h + p), v, h + p) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, None)
+
+
+URLS = [
+    "http://A.Example.ORG/es/1", "http://x.example.org/en/12", "http://x.example.org/en/2", "https://example.org", "http://b.com/fr/", "http://b.com/de/x?y#z",
+    "http://bcom/de/x", "no scheme/de/", None, "", "x://?q", "http://ÄB.org/a/b/c/d/e/f", "http://h.net/1#a://b", "a://b://c/d",
+]
+
+
+def test_urls_and_rules(spark):
+    docs = spark.createDataFrame([(i, u, None) for i, u in enumerate(URLS)], "page_id long, url string, label double")
+    got = {r["page_id"]: r for r in url_filter.verdicts(docs.selectExpr("*", "1 as host", "2 as path", "3 as k", "4 as n"), URL_RULES).collect()}
+    for i, u in enumerate(URLS):
+        host, path = plain_url(u)
+        verdict, rule = plain_rule(host, path)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert got[i]["verdict"] == (verdict or "allow")
+    assert url_filter.verdicts(docs.where("false"), URL_RULES).count() == 0
+
+
+def test_query_follows_rules(spark, sf):
+    urls = dict(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect())
+    rows = QUERIES["op8_url_filters"](spark, sf).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        host, path = plain_url(urls[r["page_id"]])
+        verdict, rule = plain_rule(host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ("allow", "block")
+        assert verdict in (None, r["verdict"])
+
+
+def test_templates_generalise_and_bad_ones_are_blocked(spark):
+    rows = [(i, f"http://h.net/spam/{i}", 0.0) for i in range(30)] + [(100 + i, f"http://h.net/good/{i}.html", 1.0) for i in range(60)]
+    rows += [(200 + i, f"http://h.net/users/{chr(97 + i)}ob/page", 1.0) for i in range(20)] + [(300, "http://h.net/spam/999", None), (301, "http://o.net/spam/1", None)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, label double")
+    got = {r["page_id"]: r for r in url_filter.verdicts(docs, []).collect()}
+    assert got[3]["template"] == got[300]["template"] == "/spam/*" and got[105]["template"] == "/good/*.html"
+    assert got[205]["template"] == "/users/*/page"
+    assert got[3]["verdict"] == got[300]["verdict"] == "block"
+    assert got[105]["verdict"] == got[205]["verdict"] == got[301]["verdict"] == "allow"
+
+
+def test_alike_siblings_share_their_purity(spark):
+    rows = [(i, f"http://h.net/a/{i}", float(i % 3 > 0)) for i in range(30)] + [(50 + i, f"http://h.net/b/{i}", float(i % 3 > 0)) for i in range(3)]
+    got = {r["page_id"]: r["purity"] for r in url_filter.verdicts(spark.createDataFrame(rows, "page_id long, url string, label double"), []).collect()}
+    assert 0.6 < got[0] < 0.75 and 0.6 < got[50] < 0.75
+
+
+# Secrets ----------------------------------------------------------------------------------
+
+KEY = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+
+
+def test_forest_separates_keys_from_numbers(spark):
+    rows = QUERIES["op7_secret_scans"](spark, "/root/testdata/sf0.01").collect()
+    docs = dict(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    assert rows
+    for r in rows:
+        word = docs[r["doc_id"]].split()[r["place"]]
+        assert r["secret"] == (r["length"] == 40 and 'oken = "' in docs[r["doc_id"]] or "OKEN" in docs[r["doc_id"]] and r["length"] == 40), word
+
+
+def test_labels_by_a_caller_decide(spark):
+    text = "build {} token = \"{}\" end"
+    docs = spark.createDataFrame([(i, text.format(KEY[::-1][i:] + KEY[:i], KEY[i:] + KEY[:i]), "s") for i in range(20)], "doc_id long, text string, source string")
+    found = secrets.features(secrets.candidates(docs, "doc_id", "text", "source"), secrets.dictionary(docs, "text"))
+    taught = found.withColumn("label", (found["place"] == 1).cast("double"))
+    got = secrets.scan(docs, labelled=taught).collect()
+    assert len(got) == 40 and all(r["secret"] == (r["place"] == 1) for r in got)
+
+
+def test_secrets_of_odd_rows(spark, odd, none):
+    assert secrets.scan(odd).where("secret").count() == 0
+    assert secrets.scan(none).count() == 0
+    docs = spark.createDataFrame([(None, f"password: {KEY}", None), (1, f"password: {KEY}", "p"), (2, None, "p")], "doc_id long, text string, source string")
+    got = secrets.scan(docs).collect()
+    assert len(got) == 2 and all(r["probability"] == 1.0 and r["secret"] for r in got)
+
+
+def test_no_python_in_the_scan(spark, sf):
+    plan = QUERIES["op7_secret_scans"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
