@@ -256,18 +256,18 @@ def _placed(docs: DataFrame, key: str, text: str, size: int, percent: int, bands
     nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     sets = materialise(_sets(docs, text, signed, nodes, size), "sets")
     links = materialise(_linked(first, sets, percent), "links")
-    once = components(links)
+    once = materialise(components(links), "components")
 
     # What the first pivots have not joined: more pivots, then all nodes of different components in one bucket.
     for salt in range(ROUNDS):
         rest = materialise(_open(shared, once), "rest")
-        links = links.union(materialise(_linked(_to_pivots(rest, salt, percent, bands * rows), sets, percent), "links"))
-        once = components(links)
+        links = materialise(_linked(_to_pivots(rest, salt, percent, bands * rows), sets, percent), "links")
+        once = materialise(components(_stars(once).union(links)), "components")
     rest = materialise(_open(shared, once).join(heads.select("node", "bands"), "node"), "rest")
     small = F.col("n_all") * F.col("n_minor") <= SMALL
     more = _linked(_cross(rest.where(small), percent, bands * rows), sets, percent)
     blocks = _by_blocks(rest.where(~small), sets, percent)
-    final = components(links.union(materialise(more.union(blocks), "links")))
+    final = components(_stars(once).union(materialise(more.union(blocks), "links")))
 
     named = groups.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -276,6 +276,11 @@ def _placed(docs: DataFrame, key: str, text: str, size: int, percent: int, bands
     return out.select("key", "n", "text_key", "component", "component_id")
 
 
+def _stars(placed: DataFrame) -> DataFrame:
+    """Components found so far as edges: contraction goes on from them."""
+    return placed.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _open(shared: DataFrame, placed: DataFrame) -> DataFrame:
     """Bucket rows of buckets that hold several components; ``minor``: not of the bucket's largest component."""
     rows = shared.join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
