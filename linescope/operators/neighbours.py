@@ -1,62 +1,78 @@
 """Exact k nearest neighbours.
 
-Train and test rows are cut into blocks of bounded size by key hash and every pair of blocks is one
-task. A task emits only the k nearest train rows of each of its test rows, so pairs are never
-materialised and nothing is broadcast.
+The labelled train rows are bounded and sent to every worker once; test rows stream through and never move. A batch is
+compared with all train rows by blocked difference tensors.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2048
+#: Train rows that may be broadcast; more are refused.
+TRAIN_ROWS = 200_000
+#: Numbers in one difference tensor.
+BLOCK = 1 << 22
 DIGITS = 9
 
 
-def _blocks(df: DataFrame, rows: int) -> int:
-    return max(1, math.ceil(df.count() / rows))
+def _distances(points: np.ndarray, rows: np.ndarray, norm: int) -> np.ndarray:
+    gap = rows[:, None, :] - points[None, :, :]
+    far = np.abs(gap).sum(axis=2) if norm == 1 else np.sqrt((gap * gap).sum(axis=2))
+    return np.round(far, DIGITS)
 
 
-def nearest(train: DataFrame, test: DataFrame, k: int, norm: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _closest(far: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` smallest, earlier places first on ties."""
+    if k < len(far):
+        near = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1])
+    else:
+        near = np.arange(len(far))
+    return near[np.argsort(far[near], kind="stable")][:k]
+
+
+def nearest(
+    train: DataFrame, test: DataFrame, k: int, norm: int = 2, train_rows: int = TRAIN_ROWS, block: int = BLOCK
+) -> DataFrame:
     """(key, neighbour, label, distance, place) for train ``(key, label, vector)``, test ``(key, vector)``.
 
-    Distances are compared at nine digits, ties go to the smaller train key.
+    Distances are compared at nine digits, ties go to the smaller train key. More than ``train_rows`` train rows raise
+    an error. Keys may have any type; without train rows nothing is near.
     """
-    n_train, n_test = _blocks(train, block_rows), _blocks(test, block_rows)
-    left = train.select("key", F.col("label").cast("int").alias("label"), F.col("vector").cast("array<double>").alias("vector"))
-    left = left.withColumn("t", F.pmod(F.xxhash64("key"), F.lit(n_train))).withColumn(
-        "q", F.explode(F.sequence(F.lit(0), F.lit(n_test - 1)))
-    )
-    right = test.select("key", F.col("vector").cast("array<double>").alias("vector"))
-    right = right.withColumn("q", F.pmod(F.xxhash64("key"), F.lit(n_test)).cast("int")).withColumn(
-        "t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_train - 1).cast("bigint")))
-    )
+    held = train.select("key", F.col("label").cast("int").alias("label"), F.col("vector").cast("array<double>").alias("vector"))
+    known = held.orderBy("key").limit(train_rows + 1).toPandas()
+    if len(known) > train_rows:
+        raise ValueError(f"more than {train_rows} train rows")
+    points = np.stack(known["vector"].to_list()) if len(known) else np.zeros((0, 0))
+    sent = train.sparkSession.sparkContext.broadcast((points, known["key"].to_numpy(), known["label"].to_numpy()))
 
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = ["key", "neighbour", "label", "distance"]
-        if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in columns}).astype({"key": "int64", "neighbour": "int64", "label": "int32", "distance": "float64"})
-        a = a.sort_values("key")
-        points, keys, labels = np.stack(a["vector"].to_list()), a["key"].to_numpy(), a["label"].to_numpy()
-        parts = []
-        for key, vector in zip(b["key"], b["vector"], strict=True):
-            gap = points - np.asarray(vector)
-            far = np.abs(gap).sum(axis=1) if norm == 1 else np.sqrt((gap * gap).sum(axis=1))
-            far = np.round(far, DIGITS)
-            best = np.argsort(far, kind="stable")[:k]
-            parts.append(pd.DataFrame({"key": key, "neighbour": keys[best], "label": labels[best], "distance": far[best]}))
-        return pd.concat(parts)
-
-    near = left.groupBy("q", "t").cogroup(right.groupBy("q", "t")).applyInPandas(
-        block, "key bigint, neighbour bigint, label int, distance double"
-    )
-    order = Window.partitionBy("key").orderBy("distance", "neighbour")
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places, names, labels = sent.value
+        step = max(1, block // max(1, places.size))
+        for batch in batches:
+            for first in range(0, len(batch) if len(places) else 0, step):
+                part = batch.iloc[first : first + step]
+                far = _distances(places, np.stack(part["vector"].to_list()), norm)
+                best = [_closest(row, k) for row in far]
+                size = len(best[0])
+                flat = np.concatenate(best)
+                yield pd.DataFrame(
+                    {
+                        "key": np.repeat(part["key"].to_numpy(), size),
+                        "neighbour": names[flat],
+                        "label": labels[flat],
+                        "distance": np.concatenate([row[b] for row, b in zip(far, best, strict=True)]),
+                        "place": np.tile(np.arange(1, size + 1), len(part)),
+                    }
+                )
+
+    rows = test.select("key", F.col("vector").cast("array<double>").alias("vector"))
+    key, neighbour = (d.schema["key"].dataType.simpleString() for d in (test, train))
+    return rows.mapInPandas(run, f"key {key}, neighbour {neighbour}, label int, distance double, place int")
 
 
 def classify(neighbours: DataFrame, weights: str = "uniform") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from linescope.session import materialise
 
 HEX_DIGITS = 3  # 4096 hash buckets
+SAMPLED = 4096  # strings that cut points are taken from
 
 
 def seeded_hash(seed: object, *cols: Column) -> Column:
@@ -75,10 +76,25 @@ def value_buckets(df: DataFrame, col: str, buckets: int = 256) -> DataFrame:
     return Bucketizer(splits=splits, inputCol=col, outputCol="_bucket", handleInvalid="keep").transform(df)
 
 
-def string_order(col: Column) -> Column:
-    """Number that never disagrees with the byte order of a string (its first six bytes)."""
-    head = F.rpad(F.hex(F.substring(F.encode(col, "utf-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+def string_buckets(df: DataFrame, col: str, buckets: int = 256) -> DataFrame:
+    """Add ``_bucket``, an order-preserving cut of a text column into roughly equal parts.
+
+    The cut points are quantiles of the ``SAMPLED`` strings with the smallest hashes. They only balance the buckets:
+    any cut points give the same ranks.
+    """
+    drawn = df.select(F.col(col).alias("s")).where(F.col(col).isNotNull()).orderBy(F.xxhash64(col)).limit(SAMPLED)
+    found = sorted({r["s"] for r in drawn.collect()}, key=lambda s: s.encode())
+    cuts = [found[i * len(found) // buckets] for i in range(1, buckets)] if len(found) >= buckets else found
+    steps = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[i : i + steps] for i in range(0, len(cuts), steps)]
+    if not groups:
+        return df.withColumn("_bucket", F.lit(0))
+    # The first of every group is compared first, then only the group found.
+    value = F.col(col)
+    at = sum((F.coalesce(value >= g[0], F.lit(False)).cast("int") for g in groups), F.lit(0))
+    table = F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups])
+    inside = F.size(F.filter(F.get(table, at - 1), lambda c: c <= value))
+    return df.withColumn("_bucket", F.when(at == 0, 0).otherwise((at - 1) * steps + inside))
 
 
 def value_rank(
@@ -94,8 +110,10 @@ def value_rank(
     Meant for tables with few equal ``order`` values; count a repeated value first.
     """
     is_text = dict(df.dtypes)[order] == "string"
-    keyed = df.withColumn("_key", string_order(F.col(order)) if is_text else F.col(order).cast("double"))
-    cut = value_buckets(keyed, "_key", buckets)
+    if is_text:
+        cut = string_buckets(df, order, buckets)
+    else:
+        cut = value_buckets(df.withColumn("_key", F.col(order).cast("double")), "_key", buckets)
     return _ranked(cut, part, [F.col(order), *[F.col(t) for t in ties]], rank, None).drop("_key")
 
 

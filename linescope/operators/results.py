@@ -21,6 +21,7 @@ GRID = {
 }
 ACTIVE = ["svm", "lr"]
 
+# Metric names, and the overall columns that hold them.
 METRICS = ["acc", "rec", "prec", "f1", "gmean", "mcc", "auc"]
 OVERALL = {
     "accuracy": "acc",
@@ -52,10 +53,14 @@ def average_results(df: DataFrame, keys: Sequence[str] = RESULT_KEYS) -> DataFra
 def best_results(
     df: DataFrame, group: Sequence[str] = ("problem", "granularity", "scope"), metric: str = "val_mcc", keys: Sequence[str] = RESULT_KEYS
 ) -> DataFrame:
-    """Row of the largest metric per group, the smallest keys on ties."""
+    """Row of the largest metric per group, the smallest keys on ties; rows without the metric never win.
+
+    A group in which no row has the metric has no best row.
+    """
+    measured = df.where(F.col(metric).isNotNull() & ~F.isnan(metric))
     rest = [c for c in df.columns if c not in group]
     order = F.struct((-F.col(metric)).alias("m"), *[k for k in keys if k not in group])
-    return df.groupBy(*group).agg(F.min_by(F.struct(*rest), order).alias("_best")).select(*group, "_best.*")
+    return measured.groupBy(*group).agg(F.min_by(F.struct(*rest), order).alias("_best")).select(*group, "_best.*")
 
 
 def best_parameters(df: DataFrame, metric: str = "val_mcc") -> DataFrame:

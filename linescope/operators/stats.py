@@ -1,6 +1,6 @@
 """Comparing two groups of results: rank tests and effect size.
 
-Input is long: ``(scenario, side, key, value)`` with side ``A`` or ``B``. Values are counted before
+Input is long: ``(scenario, side, key, value)`` with side ``A`` or ``B``; rows without a value are left out. Values are counted before
 they are ranked, and ranks run over value buckets, so one scenario may hold any number of rows.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linescope.functions.tails import rank_sum_tail, signed_rank_p
+from linescope.functions.tails import normal_tail, rank_sum_tail, signed_rank_p
 from linescope.operators.ranking import hash_rank, running_distinct, value_rank
 
 # The compared tasks.
@@ -24,10 +24,19 @@ TASKS = [
 ]
 
 
+def _check(method: str) -> None:
+    if method not in ("asymptotic", "exact"):
+        raise ValueError(f"unknown method {method!r}")
+
+
 def _is(side: str) -> Column:
     return F.col("side") == side
 
 
+def _measured(df: DataFrame) -> DataFrame:
+    return df.where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
 def with_overall(df: DataFrame) -> DataFrame:
     """Every row once under its scenario and once under ``overall``."""
     return df.withColumn("scenario", F.explode(F.array(F.col("scenario"), F.lit("overall"))))
@@ -55,13 +64,15 @@ def cohen_d(df: DataFrame) -> DataFrame:
     return m.select("scenario", (F.abs(F.col("mean_a") - F.col("mean_b")) / pooled).alias("cohen_d"))
 
 
-def mann_whitney(df: DataFrame, override_alt: str | None = None) -> DataFrame:
+def mann_whitney(df: DataFrame, override_alt: str | None = None, method: str = "asymptotic") -> DataFrame:
     """(scenario, alternative, u, z, p) of the Mann-Whitney test.
 
-    ``p`` comes from the normal approximation with tie and continuity correction; a side of at most
-    eight values without ties is counted exactly. ``u`` belongs to side A. The alternative is ``greater`` where the mean of A is smaller, else
-    ``less``.
+    ``p`` comes from the normal approximation with tie and continuity correction; with ``method="exact"`` the
+    arrangements of scenarios without ties are counted. ``u`` belongs to side A. The alternative is ``greater`` where the
+    mean of A is smaller, else ``less``.
     """
+    _check(method)
+    df = _measured(df)
     counted = df.groupBy("scenario", "value").agg(
         F.sum(_is("A").cast("bigint")).alias("a"), F.sum(_is("B").cast("bigint")).alias("b")
     )
@@ -87,7 +98,7 @@ def mann_whitney(df: DataFrame, override_alt: str | None = None) -> DataFrame:
     )
     deviation = F.sqrt(product / 12.0 * (F.col("n") + 1.0 - F.col("ties") / (F.col("n") * (F.col("n") - 1.0))))
     rows = rows.withColumn("tested", tested).withColumn("z", (F.col("tested") - product / 2.0 - 0.5) / deviation)
-    p = rank_sum_tail("z", "tested", "na", "nb", "ties")
+    p = normal_tail("z") if method == "asymptotic" else rank_sum_tail("z", "tested", "na", "nb", "ties")
     p = F.when(F.col("alternative") == "two-sided", F.least(2.0 * p, F.lit(1.0))).otherwise(p)
     return rows.withColumn("p", p).select("scenario", "alternative", "u", "z", "p")
 
@@ -97,6 +108,7 @@ def paired(df: DataFrame, seed: object = 42) -> DataFrame:
 
     The larger side is sampled in md5 order; a side that is not larger keeps its key order.
     """
+    df = _measured(df)
     sizes = group_moments(df).select("scenario", "n_a", "n_b")
     own = F.when(_is("A"), F.col("n_a")).otherwise(F.col("n_b"))
     other = F.when(_is("A"), F.col("n_b")).otherwise(F.col("n_a"))
@@ -110,11 +122,12 @@ def paired(df: DataFrame, seed: object = 42) -> DataFrame:
     )
 
 
-def wilcoxon(df: DataFrame, seed: object = 42) -> DataFrame:
+def wilcoxon(df: DataFrame, seed: object = 42, method: str = "asymptotic") -> DataFrame:
     """(scenario, n, w, z, p) of the signed-rank test, two-sided, zero differences dropped.
 
-    Up to fifty differences without ties and zeros are counted exactly.
+    ``p`` is the normal approximation; with ``method="exact"`` scenarios without ties and zeros are counted.
     """
+    _check(method)
     d = F.col("a") - F.col("b")
     differences = paired(df, seed).select("scenario", d.alias("d"))
     zero = F.col("size") == 0
@@ -140,7 +153,8 @@ def wilcoxon(df: DataFrame, seed: object = 42) -> DataFrame:
     deviation = F.sqrt((n * (n + 1.0) * (2.0 * n + 1.0) - 0.5 * F.col("ties")) / 24.0)
     z = (w - n * (n + 1.0) / 4.0) / F.nullif(deviation, F.lit(0.0))
     rows = sums.select("scenario", "n", w.alias("w"), z.alias("z"), "ties", "zeros")
-    return rows.withColumn("p", signed_rank_p("z", "w", "n", "ties", "zeros")).drop("ties", "zeros")
+    p = 2.0 * normal_tail(F.abs("z")) if method == "asymptotic" else signed_rank_p("z", "w", "n", "ties", "zeros")
+    return rows.withColumn("p", p).drop("ties", "zeros")
 
 
 def compare(df: DataFrame, a: str = "A", b: str = "B", extra_tasks: tuple[str, ...] = (), override_alt: str | None = None) -> DataFrame:

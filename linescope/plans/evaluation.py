@@ -97,16 +97,16 @@ def f11_binary(spark, sf):
     return rounded(M.averaged_report(two, binary=True))
 
 
-@query("f12_logits", f"""with logits as (select vec_id, label as y_true, embedding[1:10] as l from embeddings),
+@query("f12_logits", f"""with logits as (select vec_id, label as y_true, embedding as l from embeddings),
 pred as (select y_true, cast(list_position(l, list_max(l)) - 1 as int) as y_pred from logits), {_scores_sql('pred')}
 select round(mf, 6) as macro_f1, round(mcc, 6) as mcc from scored""")
 def f12(spark, sf):
-    df = I.table(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 10).alias("logits"))
+    df = I.table(spark, sf, "embeddings").select("label", F.col("embedding").alias("logits"))
     return rounded(M.logits_report(df, "logits", "label"))
 
 
 RESULTS = """results as (select l_returnflag as problem, 'method' as granularity, 'whole' as scope, 'bow' as feature,
-  l_linestatus as classifier, cast(l_linenumber as varchar) as parameters, l_discount - 0.02e0 as val_mcc, l_tax as val_f1,
+  l_linestatus as classifier, cast(l_linenumber as varchar) as parameters, case when l_linenumber = 7 then null else l_discount - 0.02e0 end as val_mcc, l_tax as val_f1,
   l_quantity as train_time from lineitem)"""
 
 
@@ -118,7 +118,7 @@ def results(spark, sf):
         F.lit("bow").alias("feature"),
         F.col("l_linestatus").alias("classifier"),
         F.col("l_linenumber").cast("string").alias("parameters"),
-        (F.col("l_discount") - F.lit(0.02)).alias("val_mcc"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_discount") - F.lit(0.02)).alias("val_mcc"),
         F.col("l_tax").alias("val_f1"),
         F.col("l_quantity").alias("train_time"),
     )
@@ -136,7 +136,7 @@ def f13(spark, sf):
 
 
 @query("f14_best_results", f"""with {_AVG}, ranked as (select *, row_number() over (partition by problem, granularity, scope
-  order by val_mcc desc, feature, classifier, parameters) as rn from averaged)
+  order by val_mcc desc, feature, classifier, parameters) as rn from averaged where val_mcc is not null)
 select {_KEYS}, {_ROUND} from ranked where rn = 1""")
 def f14(spark, sf):
     return rounded(R.best_results(R.average_results(results(spark, sf))), *R.RESULT_KEYS)
@@ -284,19 +284,19 @@ def g04(spark, sf):
 
 _TASKS = ", ".join(f"'{t}'" for t in stats.TASKS)
 SIDES = f"""sides as (select [{_TASKS}][l_linenumber] as scenario, case l_returnflag when 'A' then 'A' else 'B' end as side,
-  concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as key, l_discount * 10e0 - l_tax as value from lineitem where l_returnflag in ('A', 'R'))"""
+  concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as key, l_discount * 10e0 - l_tax as value from lineitem where l_quantity <> 9)"""
 
 
 def sides(spark, sf):
     task = F.get(F.array(*[F.lit(t) for t in stats.TASKS]), F.col("l_linenumber") - 1)
     return (
         I.table(spark, sf, "lineitem")
-        .where(F.col("l_returnflag").isin("A", "R"))
         .select(
             task.alias("scenario"),
             F.when(F.col("l_returnflag") == "A", "A").otherwise("B").alias("side"),
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"),
-            (F.col("l_discount") * 10.0 - F.col("l_tax")).alias("value"),
+            # A missing value on either side leaves the test.
+            F.when(F.col("l_quantity") != 9, F.col("l_discount") * 10.0 - F.col("l_tax")).alias("value"),
         )
     )
 

@@ -94,7 +94,10 @@ def a10(spark, sf):
     df = evaluation.wide(spark, sf)
     name = F.concat(F.lit("code_hc_word_"), F.col("fold").cast("string"), F.lit("_results"))
     other = F.lit("skipped_name")
-    df.withColumn("source", name).write.partitionBy("source").option("header", "true").csv(path)
+    # A third of the runs stand in files with the columns turned round.
+    df.where("run % 3 <> 0").withColumn("source", name).write.partitionBy("source").option("header", "true").csv(path)
+    turned = df.select(*reversed(df.columns))
+    turned.where("run % 3 = 0").withColumn("source", name).write.mode("append").partitionBy("source").option("header", "true").csv(path)
     df.withColumn("source", other).write.mode("append").partitionBy("source").option("header", "true").csv(path)
     out = S.read_multitask_files(spark, path, df.schema)
     keep = [c for c in out.columns if c not in ("time_pred", *R.METRICS)]
@@ -112,7 +115,9 @@ def a11(spark, sf):
         ((F.col("o_orderkey") * 13 % 101) / F.lit(101.0)).alias("mcc"),
         F.concat_ws("_", F.lit("code_hc_word_cvss2"), task, (F.col("o_custkey") % 10).cast("string"), F.lit("results")).alias("source"),
     )
-    df.write.partitionBy("source").option("header", "true").csv(path)
+    df.where("run % 3 <> 0").write.partitionBy("source").option("header", "true").csv(path)
+    turned = df.where("run % 3 = 0").select("mcc", "run", "source")
+    turned.write.mode("append").partitionBy("source").option("header", "true").csv(path)
     out = S.read_sequential_files(spark, path, df.drop("source").schema)
     return out.withColumn("mcc", F.round("mcc", 6))
 
@@ -123,7 +128,7 @@ def a12(spark, sf):
     df = evaluation.results(spark, sf)
     for name, rows in (
         ("results_open", df.where(F.col("classifier") == "O")),
-        ("results_closed", df.where(F.col("classifier") != "O")),
+        ("results_closed", df.where(F.col("classifier") != "O").select(*reversed(df.columns))),
         ("avg_results", R.average_results(df)),
     ):
         rows.write.option("header", "true").csv(f"{path}/{name}")

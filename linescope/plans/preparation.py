@@ -104,7 +104,8 @@ def b08(spark, sf):
     df = _langs(spark, sf)
     labels = S.fit_labels(df, "lang")
     coded = S.encode_labels(df, labels, "lang").drop("lang")
-    hot = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i == F.col("label_id"), 1.0).otherwise(0.0))
+    # One place per row of the label table.
+    hot = F.transform(F.sequence(F.lit(0), F.lit(labels.count() - 1)), lambda i: F.when(i == F.col("label_id"), 1.0).otherwise(0.0))
     return S.decode_one_hot(coded.select("key", hot.alias("one_hot")), labels, "one_hot", "lang").select("key", "lang")
 
 

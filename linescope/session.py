@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+INPUT_PARTITIONS = "spark.linescope.inputPartitions"
+
+
 def local_session(cores: int | str = 8, app: str = "linescope", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the local bench; a cluster brings its own."""
     return (
@@ -19,6 +22,7 @@ def local_session(cores: int | str = 8, app: str = "linescope", shuffle_partitio
         .config("spark.sql.autoBroadcastJoinThreshold", "-1")
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32m")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(INPUT_PARTITIONS, str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -57,12 +61,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-partition by ``cols`` when the scan gives fewer splits than the session has cores.
+    """``df`` as it is scanned, or hash-partitioned where the session asks for it.
 
-    A large table already has more splits than cores and is returned as is, so no text is
-    shuffled there.
+    ``spark.linescope.inputPartitions`` is for tables in one unsplittable file, as on a test machine. Unset, as on a
+    cluster, no text is shuffled; the size of the table decides nothing.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *cols)
+    wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted), *cols) if wanted else df

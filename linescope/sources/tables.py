@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -75,14 +78,38 @@ def write_lines(df: DataFrame, path: str, label: str = "severity", text: str = "
 # --- result files ------------------------------------------------------------------------
 
 
+def _by_header(spark: SparkSession, path: str, schema: StructType, recursive: bool = False) -> DataFrame:
+    """CSV files below ``path`` with every column found by the header of its own file, and ``_file``.
+
+    Files are grouped by their header; columns that a file does not have are NULL, others are left out.
+    """
+    lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
+    firsts = lines.where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")
+    )
+    heads = firsts.groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()
+    wanted = {f.name: f for f in schema.fields}
+    files: dict[str, list[str]] = {}
+    for row in heads:
+        files.setdefault(row["head"], []).append(unquote(row["file"]))
+    out = spark.createDataFrame([], StructType([*schema.fields, StructField("_file", StringType())]))
+    for head, paths in sorted(files.items()):
+        names = next(csv.reader([head]))
+        own = StructType([wanted.get(n, StructField(n, StringType())) for n in names])
+        rows = spark.read.schema(own).option("header", "true").csv(paths)
+        known = [F.col(f"`{n}`") for n in names if n in wanted]
+        out = out.unionByName(rows.select(*known, F.col("_metadata.file_path").alias("_file")), allowMissingColumns=True)
+    return out
+
+
 def append_results(rows: DataFrame, path: str) -> None:
     """Add result rows to a result folder; every part carries the header."""
     rows.write.mode("append").option("header", "true").csv(path)
 
 
 def read_results(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All result sets below ``path`` whose name begins with ``r``."""
-    return spark.read.schema(schema).option("header", "true").csv(f"{path}/r*")
+    """All result sets below ``path`` whose name begins with ``r``, columns by name."""
+    return _by_header(spark, f"{path}/r*", schema).drop("_file")
 
 
 def source_name(path: Column) -> Column:
@@ -98,8 +125,8 @@ def source_name(path: Column) -> Column:
 
 
 def _read_named(spark: SparkSession, path: str, schema: StructType, parts: int) -> DataFrame:
-    files = spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true").csv(path)
-    named = files.withColumn("_parts", F.split(source_name(F.col("_metadata.file_path")), "_"))
+    files = _by_header(spark, path, schema, recursive=True)
+    named = files.withColumn("_parts", F.split(source_name(F.col("_file")), "_")).drop("_file")
     return named.where(F.size("_parts") == parts)
 
 

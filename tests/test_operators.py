@@ -372,24 +372,53 @@ def test_mann_whitney(spark):
     assert stats.mann_whitney(two_sides(spark, a, b), "two-sided").first()["p"] <= 1.0
 
 
-def test_small_samples_are_counted_exactly(spark):
+def test_exact_method_counts_arrangements(spark):
     from itertools import combinations, product
 
     a, b = [1.5, 4.0, 9.0], [2.0, 3.0, 5.0, 7.0]
-    got = stats.mann_whitney(two_sides(spark, a, b), "greater").first()
+    got = stats.mann_whitney(two_sides(spark, a, b), "greater", method="exact").first()
     u = sum(x > y for x in a for y in b)
     alls = [sum(x > y for x in pick for y in set(range(7)) - set(pick)) for pick in combinations(range(7), 3)]
     assert got["u"] == u and got["p"] == pytest.approx(sum(v >= u for v in alls) / len(alls))
-    got = stats.wilcoxon(two_sides(spark, [5, 1, 9, 4], [4, 3, 5, 12])).first()
+    got = stats.wilcoxon(two_sides(spark, [5, 1, 9, 4], [4, 3, 5, 12]), method="exact").first()
     sums = [sum(r for r, s in zip((1, 2, 3, 4), signs, strict=True) if s) for signs in product((0, 1), repeat=4)]
     # differences 1, -2, 4, -8: positive ranks 1 + 3
     assert got["w"] == 4 and got["p"] == pytest.approx(min(1.0, 2 * sum(v <= 4 for v in sums) / 16))
 
 
-def test_word_vectors_keep_the_vocabulary_bound(spark):
-    df = spark.createDataFrame([(i, ["a", "b", "c", f"w{i % 7}"]) for i in range(60)], "key long, t array<string>")
-    model = E.train_word_vectors(df, F.col("t"), vector_size=4, min_count=0, epochs=1, partitions=2, max_vocab=5)
-    assert rows(E.vector_table(model), "term") == [("a",), ("b",), ("c",), ("w0",), ("w1",), ("w2",), ("w3",)][:3]
+def test_missing_values_leave_the_rank_tests(spark):
+    plain = two_sides(spark, [1.0, 4.0, 6.0], [2.0, 3.0, 5.0])
+    holes = plain.unionByName(spark.createDataFrame([("s", side, 900 + i, v) for i, (side, v) in enumerate(
+        [("A", None), ("B", None), ("A", float("nan"))])], plain.schema))
+    scenario = plain.first()["scenario"]
+    holes = holes.withColumn("scenario", F.lit(scenario))
+    assert stats.mann_whitney(holes).collect() == stats.mann_whitney(plain).collect()
+    assert stats.wilcoxon(holes).collect() == stats.wilcoxon(plain).collect()
+
+
+def test_best_result_needs_its_metric(spark):
+    schema = "problem string, granularity string, scope string, feature string, classifier string, parameters string, val_mcc double"
+    df = spark.createDataFrame([("p", "g", "s", "f", "c", str(i), v) for i, v in enumerate([None, 0.5, float("nan"), 0.1])], schema)
+    assert [r["parameters"] for r in R.best_results(df).collect()] == ["1"]
+
+
+def test_result_files_are_read_by_name(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.25, 0.75)], "run long, val double, test double")
+    df.write.option("header", "true").csv(str(tmp_path / "r1"))
+    df.select("test", "run", "val").withColumn("other", F.lit("x")).write.option("header", "true").csv(str(tmp_path / "r2"))
+    df.select("run", "test").write.option("header", "true").csv(str(tmp_path / "r3"))
+    got = [(r["val"], r["run"], r["test"]) for r in S.read_results(spark, str(tmp_path), df.schema).collect()]
+    assert sorted(got, key=str) == sorted([(0.25, 1, 0.75), (0.25, 1, 0.75), (None, 1, 0.75)], key=str)
+
+
+def test_text_keys_spread_over_buckets(spark):
+    from linescope.operators import ranking
+
+    df = spark.range(5000).selectExpr("concat('CVE-20', lpad(cast(id * 7919 % 100000 as string), 6, '0')) as key")
+    cut = ranking.string_buckets(df, "key")
+    assert cut.groupBy("_bucket").count().count() > 200
+    keys = sorted(r["key"] for r in df.collect())
+    assert [r["key"] for r in ranking.value_rank(df, "key").orderBy("rank").collect()] == keys
 
 
 def test_wilcoxon_equal_sizes(spark):
@@ -437,7 +466,7 @@ def test_neighbours_equal_brute_force(spark, norm, weights):
     test = [(1000 + i, [float(x) for x in rng.integers(0, 4, 3)]) for i in range(25)]
     a = spark.createDataFrame(train, "key long, label int, vector array<double>")
     b = spark.createDataFrame(test, "key long, vector array<double>")
-    got = {r["key"]: r["prediction"] for r in N.classify(N.nearest(a, b, 5, norm, block_rows=17), weights).collect()}
+    got = {r["key"]: r["prediction"] for r in N.classify(N.nearest(a, b, 5, norm, block=400), weights).collect()}
     for key, v in test:
         far = [(round(float(np.linalg.norm(np.array(v) - np.array(t[2]), ord=norm)), 9), t[0], t[1]) for t in train]
         near = sorted(far)[:5]
@@ -448,6 +477,17 @@ def test_neighbours_equal_brute_force(spark, norm, weights):
         assert got[key] == max(sorted(votes), key=lambda c: votes[c])
 
 
+def test_neighbours_take_text_keys_and_bound_the_train_rows(spark):
+    a = spark.createDataFrame([("x", 1, [0.0]), ("y", 2, [5.0])], "key string, label int, vector array<double>")
+    b = spark.createDataFrame([("q", [1.0])], "key string, vector array<double>")
+    near = N.nearest(a, b, 1)
+    assert rows(near, "key", "neighbour", "label", "distance", "place") == [("q", "x", 1, 1.0, 1)]
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    assert N.nearest(a.where("false"), b, 1).count() == 0
+    with pytest.raises(ValueError, match="train rows"):
+        N.nearest(a, b, 1, train_rows=1)
+
+
 def test_classifiers_fit(spark):
     rng = np.random.default_rng(1)
     data = [(i, i % 3, [float(i % 3 == j) * 3 + float(rng.random()) for j in range(3)]) for i in range(90)]
