@@ -129,11 +129,13 @@ def score(
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = dict(source.dtypes)["key"]
     marked = labels.where(learn & F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("double").alias("y"))
-    taught = source.join(marked, "key").select("y", "text", F.xxhash64("text").alias("t0"), F.xxhash64(F.lit(1), "text").alias("t1"))
+    # Only hashes of the texts meet the labels; the texts of the chosen are found again where they stand.
+    hashed = source.withColumns({"t0": F.xxhash64("text"), "t1": F.xxhash64(F.lit(1), "text")})
+    taught = hashed.select("key", "t0", "t1").join(marked, "key")
     means = taught.groupBy("t0", "t1").agg(F.avg("y").alias("y"))
-    # The bound of the sample: the smallest hashes of distinct texts. Hashes first, texts for the chosen only.
+    # The bound of the sample: the smallest hashes of distinct texts.
     chosen = materialise(means.orderBy("t0", "t1").limit(labelled), "labelled")
-    texts = taught.select("t0", "t1", "text").join(F.broadcast(chosen), ["t0", "t1"]).dropDuplicates(["t0", "t1"])
+    texts = hashed.select("t0", "t1", "text").join(F.broadcast(chosen), ["t0", "t1"]).dropDuplicates(["t0", "t1"])
 
     held = source.select("text").mapInArrow(_frequencies, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
     n = dict(zip(held["c"], held["n"], strict=True))
