@@ -1,7 +1,7 @@
 """Terms, vocabularies and weights as long tables ``(key, term, ...)``.
 
-``key`` names one document. Counts are taken per (key, term) with map-side combine, so neither a
-long document nor a frequent term ends up in one task.
+``key`` names one document, which is one row. Its terms are counted inside the row, so counts need no shuffle; only
+``term`` moves, where documents are counted.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linescope.functions import text as T
-from linescope.functions.rows import exploded
+from linescope.functions.rows import exploded, inlined
+from linescope.functions.text import bind
 from linescope.operators.ranking import value_rank
 from linescope.session import materialise
 
@@ -20,12 +21,26 @@ MAX_FEATURES = 10_000
 
 
 def term_counts(df: DataFrame, terms: Column, key: str = "key") -> DataFrame:
-    """(key, term, tf) from an array of terms per row."""
-    return (
-        exploded(df, [F.col(key).alias("key")], terms, "term")
-        .groupBy("key", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """(key, term, tf) from an array of terms per row: runs of the sorted terms, a projection."""
+
+    def runs(ordered: Column) -> Column:
+        places = F.filter(
+            F.transform(ordered, lambda _, i: i),
+            lambda i: (i == 0) | (F.get(ordered, F.greatest(i - 1, F.lit(0))) != F.get(ordered, i)),
+        )
+        return bind(
+            lambda at: F.transform(
+                at,
+                lambda place, k: F.struct(
+                    F.get(ordered, place).alias("term"),
+                    (F.coalesce(F.get(at, k + 1), F.size(ordered)) - place).cast("bigint").alias("tf"),
+                ),
+            ),
+            places,
+        )
+
+    held = F.array_sort(F.array_compact(terms))
+    return inlined(df, [F.col(key).alias("key")], bind(runs, held), "term")
 
 
 def corpus_frequency(df: DataFrame, terms: Column) -> DataFrame:
@@ -72,10 +87,10 @@ def with_term_ids(vocab: DataFrame, offset: int = 0) -> DataFrame:
 def use_vocabulary(counts: DataFrame, vocab: DataFrame, limit: int | None = None) -> DataFrame:
     """Keep terms of a fitted vocabulary and add its columns.
 
-    A vocabulary with a known ``limit`` is broadcast; any other join is left to the optimizer,
-    which broadcasts by measured size only.
+    A vocabulary of at most ``limit`` terms is broadcast, and cut there; any other join is left to the optimizer, which
+    broadcasts by measured size only.
     """
-    side = F.broadcast(vocab) if limit is not None and limit <= MAX_FEATURES else vocab
+    side = F.broadcast(vocab.limit(limit)) if limit is not None and limit <= MAX_FEATURES else vocab
     return counts.join(side, "term")
 
 

@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linescope.session import small_side
+
 RESULT_KEYS = ["problem", "granularity", "scope", "feature", "classifier", "parameters"]
 
 # Parameter lists per classifier, and the classifiers run by default.
@@ -69,7 +71,7 @@ def best_parameters(df: DataFrame, metric: str = "val_mcc") -> DataFrame:
     winner = means.groupBy("classifier").agg(
         F.min_by("parameters", F.struct((-F.col("_mean")).alias("m"), F.col("parameters"))).alias("parameters")
     )
-    return df.join(winner, ["classifier", "parameters"], "left_semi")
+    return df.join(small_side(winner, "winners"), ["classifier", "parameters"], "left_semi")
 
 
 def multitask_to_long(df: DataFrame, avg: bool = True, ids: Sequence[str] = ("run", "set", "fold")) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linescope.operators.ranking import hash_rank, value_rank
+from linescope.session import small_side
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -56,7 +57,7 @@ def stratified_split(
         "_n_valid", F.col("_held") - F.ceil(F.lit(test_of_held) * F.col("_held"))
     )
     counts = _quota(counts, label, "_rest", "_n_valid", "_valid").select(label, "_train", "_valid")
-    ranked = hash_rank(df, key, seed, part=[label], rank="_rank").join(counts, label)
+    ranked = hash_rank(df, key, seed, part=[label], rank="_rank").join(small_side(counts, "quotas"), label)
     part = (
         F.when(F.col("_rank") < F.col("_train"), "train")
         .when(F.col("_rank") < F.col("_train") + F.col("_valid"), "valid")
@@ -93,7 +94,7 @@ def fit_labels(df: DataFrame, label: str = "severity") -> DataFrame:
 
 def encode_labels(df: DataFrame, labels: DataFrame, label: str = "severity") -> DataFrame:
     """Add ``label_id``; a label not seen at fit time raises."""
-    joined = df.join(labels, label, "left")
+    joined = df.join(small_side(labels, "labels"), label, "left")
     unseen = F.raise_error(F.concat(F.lit("unseen label "), F.coalesce(F.col(label).cast("string"), F.lit("NULL"))))
     return joined.withColumn("label_id", F.coalesce(F.col("label_id"), unseen.cast("int")))
 
@@ -101,7 +102,7 @@ def encode_labels(df: DataFrame, labels: DataFrame, label: str = "severity") ->
 def decode_one_hot(df: DataFrame, labels: DataFrame, vector: str, label: str = "severity") -> DataFrame:
     """Label of the largest entry of a one-hot or score vector."""
     position = (F.array_position(F.col(vector), F.array_max(F.col(vector))) - 1).cast("int")
-    return df.withColumn("label_id", position).join(labels, "label_id")
+    return df.withColumn("label_id", position).join(small_side(labels, "labels"), "label_id")
 
 
 def minus_rows(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

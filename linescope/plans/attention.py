@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from linescope import session
 from linescope.functions import text as T
-from linescope.functions.rows import exploded
+from linescope.functions.rows import exploded, inlined
+from linescope.functions.text import bind
 from linescope.operators import attention as A
 from linescope.operators import simplify as S
 from linescope.plans import inputs as I
@@ -31,13 +32,27 @@ def statements(spark, sf):
             lambda s: F.size(s["t"]) > 0,
         ).alias("lines"),
     )
-    rows = exploded(docs, ["func_id", "lines"], F.col("lines"), "line", "at").select(
-        "func_id",
-        F.col("line.no").alias("stmt_id"),
-        F.aggregate(F.slice("lines", F.lit(1), F.col("at")), F.lit(1), lambda a, s: a + F.size(s["t"])).alias("start"),
-        F.size("line.t").alias("n"),
-        F.concat("line.t", F.slice(F.coalesce(F.get("lines", F.col("at") + 1)["t"], F.array().cast("array<string>")), 1, 1)).alias("tokens"),
-    )
+
+    def placed(lines, starts):
+        """Each line with the place of its first token and the first token of the next line."""
+        return F.transform(
+            lines,
+            lambda s, i: F.struct(
+                s["no"].alias("stmt_id"),
+                (F.get(starts, i) + 1).alias("start"),
+                F.size(s["t"]).alias("n"),
+                F.concat(s["t"], F.slice(F.coalesce(F.get(lines, i + 1)["t"], F.array().cast("array<string>")), 1, 1)).alias("tokens"),
+            ),
+        )
+
+    def numbered(lines):
+        """The line of every token of the text; its changes are the starts, in one pass."""
+        return bind(
+            lambda own: bind(placed, lines, F.filter(F.transform(own, lambda _, i: i), lambda i: (i == 0) | (F.get(own, F.greatest(i - 1, F.lit(0))) != F.get(own, i)))),
+            F.flatten(F.transform(lines, lambda s, i: F.transform(s["t"], lambda _: i))),
+        )
+
+    rows = inlined(docs, ["func_id"], bind(numbered, F.col("lines")), "stmt_id")
     layered = rows.withColumn("layer", F.explode(F.array(F.lit(10), F.lit(11))))
 
     def weight(_, i):

@@ -17,7 +17,9 @@ from linescope.sources import tables as S
 
 @query("a01_function_table", f"with {I.FUNCTIONS} select key, severity, func_before from functions")
 def a01(spark, sf):
-    return I.functions(spark, sf).select("key", "severity", "func_before")
+    path = session.fresh_path(spark, "functions")
+    I.functions(spark, sf).write.parquet(path)
+    return S.read_functions(spark, path).select("key", "severity", "func_before")
 
 
 @query("a02_multiline_csv", f"with {I.COMMENTED} select key, string_agg(line, chr(10) order by line_no) as code from x2 group by key")
@@ -64,10 +66,10 @@ def a03_one(spark, sf):
 
 
 @query("a04_single_line_export", f"""with {I.FUNCTIONS}
-select trim(cast(severity as varchar)) || '<CODESPLIT>' || trim(replace(func_before, chr(10), ' ')) as value from functions""")
+select coalesce(cast(nullif(severity, {I.UNLABELLED}) as varchar), 'nan') || '<CODESPLIT>' || trim(replace(func_before, chr(10), ' ')) as value from functions""")
 def a04(spark, sf):
     path = session.fresh_path(spark, "lines")
-    S.write_lines(I.functions(spark, sf), path)
+    S.write_lines(I.functions(spark, sf).withColumn("severity", F.nullif("severity", F.lit(I.UNLABELLED))), path)
     return spark.read.text(path)
 
 

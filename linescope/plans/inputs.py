@@ -22,18 +22,23 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spread(docs, "key")
 
 
+UNLABELLED = 4
+
+
 def functions(spark: SparkSession, sf: str) -> DataFrame:
-    """(key, func_before, severity): labelled texts."""
+    """(key, func_before, severity): all texts; ``UNLABELLED`` is the class of those without a label."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("func_before"))
     labels = table(spark, sf, "labels").select(
         F.col("doc_id").alias("key"), (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("severity")
     )
-    return docs.join(labels, "key")
+    return docs.join(labels, "key", "left").select(
+        "key", "func_before", F.coalesce("severity", F.lit(UNLABELLED)).alias("severity")
+    )
 
 
-FUNCTIONS = """functions as (
-  select d.doc_id as key, d.text as func_before, cast(l.quality*2+l.toxic as int) as severity
-  from documents d join labels l on d.doc_id = l.doc_id)"""
+FUNCTIONS = f"""functions as (
+  select d.doc_id as key, d.text as func_before, cast(coalesce(l.quality*2+l.toxic, {UNLABELLED}) as int) as severity
+  from documents d left join labels l on d.doc_id = l.doc_id)"""
 
 LINES = """x0 as (
   select doc_id as key, generate_subscripts(string_split(text, chr(10)), 1) as line_no,

@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
+#: Rows of a table that may be broadcast after they were counted.
+SMALL_ROWS = 10_000
 INPUT_PARTITIONS = "spark.linescope.inputPartitions"
 
 
@@ -60,6 +63,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and marked for broadcast if it has at most ``SMALL_ROWS`` rows; a join is planned freely beyond.
+
+    For tables with a row per class, group or parameter, against which many rows meet few keys.
+    """
+    held = materialise(df, name)
+    return broadcast(held) if held.count() <= SMALL_ROWS else held
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """``df`` as it is scanned, or hash-partitioned where the session asks for it.
 
