@@ -31,11 +31,13 @@ DEPTH = 5
 SHALLOW = 3
 #: Grams that one partition of the tree holds on average.
 PART_GRAMS = 400_000
-#: Tables up to this many entries (12 bytes each) are sent to every worker; larger ones are joined.
-BROADCAST_ENTRIES = 12_000_000
+#: Tables up to this many entries (16 bytes each) are sent to every worker; larger ones are joined.
+BROADCAST_ENTRIES = 8_000_000
+#: Entries that pass through the driver at a time.
+CHUNK = 1_000_000
 #: Distinct keys that a task gathers before it hands them on.
-GATHER = 2_000_000
-SLICE = 1 << 22
+GATHER = 1_000_000
+SLICE = 1 << 21
 END = 0xFF  # no byte of UTF-8
 
 WORD, GRAM = 0, 1
@@ -277,23 +279,41 @@ def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
 # Scoring ---------------------------------------------------------------------------------
 
 
-def _arrays(spark, table: DataFrame, value: str):
-    """The table as two sorted arrays on every worker."""
-    held = table.select("k", value).toPandas()
-    order = np.argsort(held["k"].to_numpy())
-    return spark.sparkContext.broadcast((held["k"].to_numpy()[order], held[value].to_numpy(np.float64)[order]))
+def _arrays(table: DataFrame, value: str, entries: int):
+    """(cuts, broadcasts): the table on every worker as sorted arrays, one for each range of keys.
 
-
-def _looked_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    if not len(table[0]):
-        return np.zeros(len(keys))
-    place = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    return np.where(table[0][place] == keys, table[1][place], 0.0)
+    The ranges hold about ``CHUNK`` entries, so the driver sees no more than that at a time.
+    """
+    spark = table.sparkSession
+    parts = max(1, -(-entries // CHUNK))
+    cuts = sorted({int(c) for c in table.approxQuantile("k", [i / parts for i in range(1, parts)], 0.002)}) if parts > 1 else []
+    k = F.col("k")
+    sent = []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        held = table.where((k >= low if low is not None else F.lit(True)) & (k < high if high is not None else F.lit(True)))
+        rows = held.orderBy("k").select("k", value).toArrow()
+        sent.append(spark.sparkContext.broadcast((rows["k"].to_numpy(), rows[value].to_numpy())))
+        del rows
+    return np.array(cuts, np.int64), sent
+
+
+def _looked_up(keys: np.ndarray, table) -> np.ndarray:
+    """Values of sorted keys, 0 for unknown ones."""
+    cuts, sent = table
+    edges = [0, *np.searchsorted(keys, cuts), len(keys)]
+    out = np.zeros(len(keys))
+    for part, low, high in zip(sent, edges[:-1], edges[1:], strict=True):
+        known, values = part.value
+        if low < high and len(known):
+            wanted = keys[low:high]
+            place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            out[low:high] = np.where(known[place] == wanted, values[place], 0.0)
+    return out
 
 
 def _pieces(batch: pa.RecordBatch, depth: int):
     """(first row, end row, word keys, words' rows, grams, grams' rows, tokens) of each slice."""
-    for first, end, data, at in slices(batch.column(batch.num_columns - 1), SLICE):
+    for first, end, data, at in slices(batch.column(batch.num_columns - 1)):
         found = words(data, at)
         out, cuts = stream(found)
         count = np.diff(found.first)
@@ -315,7 +335,6 @@ def score(
     are learned and scored as often as they occur. Without training rows every decision has probability 1/2. An empty
     table gives no rows. Other columns are ignored, whatever their names; texts count whole.
     """
-    spark = docs.sparkSession
     away = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     source = docs.select(F.col(key).alias("key"), away.alias("held"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = dict(source.dtypes)["key"]
@@ -330,8 +349,10 @@ def score(
     n_all, n_distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     scores = materialise(gram_scores(counts.where(F.col("kind") == GRAM).select("k", "n"), depth), "gram-scores")
     space = np.log10(n_all + n_distinct + 1)
-    if max(n_distinct, scores.count()) <= broadcast_entries:
-        made = _scored_by_arrays(spark, source, kind, tokens, scores, depth, space)
+    n_grams = scores.count()
+    if max(n_distinct, n_grams) <= broadcast_entries:
+        tables = _arrays(tokens, "n", n_distinct), _arrays(scores, "v", n_grams)
+        made = _scored_by_arrays(source, kind, tables, depth, space)
     else:
         made = _scored_by_joins(source, kind, tokens, scores, depth, space)
     return made.select(
@@ -346,17 +367,18 @@ def score(
     )
 
 
-def _scored_by_arrays(spark, source, kind, tokens, scores, depth, space) -> DataFrame:
-    known, logs = _arrays(spark, tokens, "n"), _arrays(spark, scores, "v")
+def _scored_by_arrays(source, kind, tables, depth, space) -> DataFrame:
+    known, logs = tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, keys, places, codes, spots, n in _pieces(batch, depth):
                 rows = end - first
-                c = _looked_up(keys, known.value)
+                met, place = np.unique(keys, return_inverse=True)
+                c = _looked_up(met, known)[place]
                 base = np.bincount(places, np.log10(c + 1) - space, minlength=rows)
                 met, place = np.unique(codes, return_inverse=True)
-                total = np.bincount(spots, _looked_up(met, logs.value)[place], minlength=rows)
+                total = np.bincount(spots, _looked_up(met, logs)[place], minlength=rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(i).slice(first, rows) for i in (0, 1)],
