@@ -53,12 +53,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/linescope/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Drop every table that :func:`materialise` wrote in this process so far.
+
+    For owners of a job, once its result stands in a table of its own; nothing lazy may still read them.
+    """
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage with files that outlive any executor.
     """
     path = fresh_path(df.sparkSession, name)
+    _scratch.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
