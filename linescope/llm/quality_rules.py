@@ -42,13 +42,14 @@ def _repeated_words(words: Column) -> Column:
 
     def windows(hashes: Column) -> Column:
         at = F.when(F.size(hashes) >= 3, F.sequence(F.lit(0), F.size(hashes) - 3)).otherwise(F.array().cast("array<int>"))
-        made = F.transform(
-            at,
-            lambda i: F.struct(
-                F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.alias("i")
-            ),
+        return bind(counted, F.transform(at, lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2))))
+
+    def counted(made: Column) -> Column:
+        # Most texts repeat no window: a hash set tells, and only the others are sorted.
+        placed = F.transform(made, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(made)) < F.size(made), bind(repeated, F.array_sort(placed))).otherwise(
+            F.lit(0).cast("bigint")
         )
-        return bind(repeated, F.array_sort(made))
 
     def repeated(ordered: Column) -> Column:
         twice = F.filter(
@@ -78,10 +79,10 @@ def measures(text: Column) -> Column:
         return F.struct(
             n.alias("n_words"),
             _without(body, WORD_BREAK).alias("word_chars"),
-            (F.length(body) - _without(body, SYMBOL)).cast("bigint").alias("n_symbols"),
+            F.regexp_count(body, F.lit(SYMBOL)).cast("bigint").alias("n_symbols"),
             (n_lines - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
             _repeated_words(words).alias("n_repeat_words"),
-            _without(body, "[^A-Z]").alias("n_capitals"),
+            F.regexp_count(body, F.lit("[A-Z]")).cast("bigint").alias("n_capitals"),
             n_lines.cast("bigint").alias("n_lines"),
         )
 
@@ -119,7 +120,7 @@ def _fences(sketches: DataFrame, level: tuple[str, ...]) -> DataFrame:
         out.append((high + reach).alias(f"hi_{x}"))
         if x in TWO_SIDED:
             out.append((low - reach).alias(f"lo_{x}"))
-    return grouped.select(*level, "_rows", F.struct(*out).alias("_fence"))
+    return grouped.where("_rows > 0").select(*level, "_rows", F.struct(*out).alias("_fence"))
 
 
 def thresholds(measured: DataFrame, column: str, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -144,12 +145,15 @@ def thresholds(measured: DataFrame, column: str, lang: str = "lang", source: str
     lang_rows = _fences(sketches, ("_lang",)).select(
         F.col("_lang").alias("_l"), F.col("_rows").alias("_n_lang"), F.col("_fence").alias("_by_lang")
     )
-    whole = _fences(sketches, ()).select(F.col("_fence").alias("_all"), F.lit(1).alias("_one"))
-    joined = own.join(lang_rows, own["_lang"].eqNullSafe(lang_rows["_l"])).withColumn("_one", F.lit(1)).join(whole, "_one")
+    joined = own.join(lang_rows, own["_lang"].eqNullSafe(lang_rows["_l"]))
+    # One row for the whole table; no row, no group.
+    whole = _fences(sketches, ()).select("_fence.*")
+    values = whole.first() or [None] * len(whole.columns)
+    every = F.struct(*[F.lit(v).cast("double").alias(x) for x, v in zip(whole.columns, values, strict=True)])
     fence = (
         F.when(F.col("_n") >= GROUP_ROWS, F.col("_own"))
         .when(F.col("_n_lang") >= GROUP_ROWS, F.col("_by_lang"))
-        .otherwise(F.col("_all"))
+        .otherwise(every)
     )
     return joined.select("_lang", "_source", fence.alias("_fence"))
 
@@ -205,14 +209,15 @@ def verdicts(
 def kept_rows(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only.
 
-    Cases are treated as in :func:`verdicts`. Texts are measured in both passes instead of being shuffled.
+    Cases are treated as in :func:`verdicts`. Rows are measured once and written with their measures; no text
+    is shuffled.
     """
     column = _free_name(docs, "_measures")
     if clash := {"_broken", "_kept", "_fence", "_lang", "_source"} & set(docs.columns):
         renamed = docs.select(*[F.col(f"`{c}`").alias(f"_in_{c}" if c in clash else c) for c in docs.columns])
         out = kept_rows(renamed, text, lang, source)
         return out.select(*[F.col(f"`_in_{c}`" if c in clash else f"`{c}`").alias(c) for c in docs.columns])
-    measured = docs.withColumn(column, measures(F.col(text).cast("string")))
+    measured = materialise(docs.withColumn(column, measures(F.col(text).cast("string"))), "measured")
     bounds = thresholds(measured.select(lang, source, column), column, lang, source)
     return judged(measured, bounds, column, lang, source).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
