@@ -28,17 +28,23 @@ HEADLINE = [
     "d04_code_term_counts",
     "d06_weights_config2",
     "d08_char_ngrams",
+    "d09_subword_features",
     "d13_mean_pooling",
+    "d15_change_features",
     "e03_words",
     "e05_token_weights",
     "e07_statement_weights",
     "e09_statement_ranking",
+    "e13_simplify_token",
+    "f06_neighbours_uniform_l2",
     "f09_macro_metrics",
     "f13_average_results",
     "f15_best_parameters",
     "g01_multitask_to_long",
     "g04_run_timing",
     "g05_mann_whitney",
+    "g06_wilcoxon",
+    "g08_compare",
     "g09_prediction_distance",
 ]
 

@@ -14,11 +14,3 @@ def parse_vector(text: Column) -> Column:
 def argmax(values: Column) -> Column:
     """0-based position of the first maximum."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
-
-
-def distance(a: Column, b: Column, norm: int = 2) -> Column:
-    """Minkowski distance of two arrays for norm 1 or 2."""
-    if norm == 1:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))

@@ -7,9 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import kinds, normal
+from linescope.plans.catalog import ORACLES, QUERIES
 
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
 # Training runs; their pieces are tested on their own.
 SLOW = {"d12_word2vec"}
 
@@ -41,6 +40,7 @@ def test_query_without_oracle_has_rows(spark, sf, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
