@@ -40,7 +40,7 @@ def _lines(text: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, text: str, site: str) -> DataFrame:
-    """(site, t0, t1, a, b, context): each distinct line of a row once, with the lines around its first place."""
+    """(site, t0, t1, a, b, context): every line that is not blank, with its site, text and the lines around it."""
 
     def placed(hashes: Column) -> Column:
         def one(h: Column, i: Column) -> Column:

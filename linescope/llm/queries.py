@@ -12,6 +12,7 @@ from linescope.llm import (
     lines,
     minhash,
     neighbour_quality,
+    oracles,
     pieces,
     quality_rules,
     secrets,
@@ -22,19 +23,19 @@ from linescope.llm.registry import ORACLES, QUERIES, query, table
 __all__ = ["ORACLES", "QUERIES"]
 
 
-@query("op1_minhash_near_dedup")
+@query("op1_minhash_near_dedup", oracles.NEAR_DEDUP)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-@query("op2_line_dedup")
+@query("op2_line_dedup", oracles.LINE_DEDUP)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = lines.without_boilerplate(docs, removed="n_removed")
     return out.select("doc_id", "text", "n_removed", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", oracles.QUALITY_RULES)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -45,7 +46,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"), held_out=held)
 
 
-@query("op9_benchmark_decontamination")
+@query("op9_benchmark_decontamination", oracles.LEAKS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

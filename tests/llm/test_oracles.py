@@ -1,0 +1,26 @@
+"""Every query of this subpackage against its SQL on small tables."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from check import kinds, normal
+from linescope.llm.queries import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    for f in Path(sf).glob("*.parquet"):
+        con.execute(f"create view {f.stem} as select * from '{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_oracle(spark, sf, duck, name):
+    got, want = QUERIES[name](spark, sf).toPandas(), duck.execute(ORACLES[name]).df()
+    assert kinds(got) == kinds(want)
+    left, right = normal(got), normal(want)
+    assert left.equals(right), left.compare(right).head().to_string()
