@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linescope.llm import lines, quality_rules
+from linescope.llm import lines, quality_rules, url_filter
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAK = "[\\x20\\x09-\\x0D]+"
@@ -100,3 +100,44 @@ met as (select win.doc_id, win.item_id, win.l, win.start, count(*) as n, count(i
 sim as (select met.*, shared / (met.n + sizes.n - shared)::double as similarity from met join sizes on sizes.item_id = met.item_id)
 select doc_id, item_id, similarity, start, l as n_words from sim where similarity * 100 >= 80
 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1"""
+
+
+def url_verdicts(rules: list[tuple[str, str, str]]) -> str:
+    def level(k: int) -> str:
+        return f"""c{k} as (select host, prefix, segs[{k}] as seg, count(*) as n from r{k - 1} where segs[{k}] is not null group by all),
+v{k} as (select host, prefix from c{k} group by all having count(*) > {url_filter.CHILDREN} and sum(n) < count(*) * {url_filter.CHILD_ROWS}),
+r{k} as (select r.page_id, r.host, r.path, r.label, r.segs, case when segs[{k}] is null then r.parent else r.prefix end as parent,
+  case when segs[{k}] is null then r.prefix else r.prefix || '/' || case when v.host is null then segs[{k}] else '*' end end as prefix
+  from r{k - 1} r left join v{k} v on v.host = r.host and v.prefix = r.prefix)"""
+
+    last = url_filter.LEVELS
+    values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+    w, z = url_filter.WEIGHT, url_filter.Z
+    return f"""with named as (select page_id, coalesce(url, '') as u,
+    try_cast(regexp_extract(url, '([0-9]+)[^0-9/?#]*/?(?:[?#].*)?$', 1) as bigint) as doc from pages),
+good as (select doc_id, avg(quality) as label from labels group by doc_id),
+cut as (select page_id, translate(regexp_extract(u, '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{UPPER.lower()}') as host,
+    regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1, 's') as path, label from named left join good on good.doc_id = named.doc),
+parts as (select *, string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '*', 'g'), '/') as p from cut),
+r0 as (select page_id, host, path, label, case when path = '' then [] when len(p) <= {last} then p
+    else list_concat(p[1:{last - 1}], [array_to_string(p[{last}:], '/')]) end as segs, '' as parent, '' as prefix from parts),
+{", ".join(level(k) for k in range(1, last + 1))},
+leaves as (select host, parent, prefix, sum(coalesce(label, 0e0)) as k, count(label)::double as n from r{last} group by all),
+hosts as (select host, sum(k) as k, sum(n) as n from leaves group by host),
+whole as (select (coalesce(sum(k), 0) + 1e0) / (coalesce(sum(n), 0) + 2e0) as share from leaves),
+parents as (select host, parent, sum(k) as k, sum(n) as n from leaves group by all),
+placed as (select l.*, p.k as k_all, p.n as n_all, p.k - l.k as k_rest, p.n - l.n as n_rest from leaves l join parents p using (host, parent)),
+tested as (select *, case when n > 0 and n_rest > 0 then coalesce(not (abs(k / n - k_rest / n_rest)
+      > sqrt(k_all / n_all * (1 - k_all / n_all) * (1 / n + 1 / n_rest)) * {z}e0
+      and sqrt(k_all / n_all * (1 - k_all / n_all) * (1 / n + 1 / n_rest)) > 0), true) else true end as merged from placed),
+joint as (select host, parent, sum(k) as k, sum(n) as n from tested where merged group by all),
+shares as (select t.host, t.parent, t.prefix, case when merged then j.k else t.k end as k, case when merged then j.n else t.n end as n,
+    (t.k_all + (h.k + {w}e0 * whole.share) / (h.n + {w}e0) * {w}e0) / (t.n_all + {w}e0) as above
+  from tested t join hosts h on h.host = t.host cross join whole left join joint j on j.host = t.host and j.parent = t.parent),
+pure as (select host, parent, prefix, (k + above * {w}e0) / (n + {w}e0) as purity from shares),
+rules as (select * from (values {values}) x(verdict, host, start)),
+fit as (select r.page_id, arg_max(rules.host || start, length(rules.host || start)) as rule, arg_max(verdict, length(rules.host || start)) as verdict
+  from r{last} r join rules on (r.host = rules.host or ends_with(r.host, '.' || rules.host)) and starts_with(r.path, start) group by r.page_id)
+select r.page_id, r.host, r.path, fit.rule, coalesce(fit.verdict, case when purity < {url_filter.PURITY}e0 then 'block' else 'allow' end) as verdict,
+  r.prefix as template, purity
+from r{last} r left join pure on pure.host = r.host and pure.parent = r.parent and pure.prefix = r.prefix left join fit on fit.page_id = r.page_id"""

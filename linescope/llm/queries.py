@@ -74,7 +74,7 @@ URL_RULES = [
 ]
 
 
-@query("op8_url_filters")
+@query("op8_url_filters", oracles.url_verdicts(URL_RULES))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A page is labelled by the quality of the document that the last number of its path names.
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
