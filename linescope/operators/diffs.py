@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linescope.functions.rows import exploded
 from linescope.functions.text import bind, line_key, split_lines
 
+NEAR = 64  # lines looked at before the rest is searched
 HUNK = "^@@ -(\\d+)(?:,\\d+)? \\+(\\d+)"
 
 
@@ -22,17 +23,23 @@ def _matched(diff_lines: Column, code_lines: Column, sign: str) -> Column:
 
     def walk(keys: Column) -> Column:
         def step(state: Column, key: Column) -> Column:
-            rest = F.slice(keys, state["cursor"] + 1, F.size(keys))
-            return bind(
-                lambda at: F.when(
+            here = state["cursor"] + 1
+
+            def found(near: Column) -> Column:
+                # Most lines stand close behind the last hit; only a miss there looks through the rest.
+                rest = F.array_position(F.slice(keys, here, F.size(keys)), key).cast("int")
+                return bind(moved, F.when(near > 0, near).otherwise(rest))
+
+            def moved(at: Column) -> Column:
+                return F.when(
                     at > 0,
                     F.struct(
                         (state["cursor"] + at).alias("cursor"),
                         F.array_append(state["hits"], state["cursor"] + at).alias("hits"),
                     ),
-                ).otherwise(state),
-                F.array_position(rest, key).cast("int"),
-            )
+                ).otherwise(state)
+
+            return bind(found, F.array_position(F.slice(keys, here, F.lit(NEAR)), key).cast("int"))
 
         return F.aggregate(wanted, start, step, lambda s: s["hits"])
 

@@ -18,6 +18,8 @@ from linescope.operators.ranking import value_rank
 from linescope.session import materialise
 
 MAX_FEATURES = 10_000
+MIN_CHAR_DOCUMENTS = 10
+PIECE = 1 << 16  # characters of a text that one row of n-grams comes from
 
 
 def term_counts(df: DataFrame, terms: Column, key: str = "key") -> DataFrame:
@@ -158,14 +160,27 @@ def char_terms(min_n: int, max_n: int, code: str = "code") -> Column:
     return T.char_ngrams(T.fold_text(F.col(code)), min_n, max_n)
 
 
-def char_vocabulary(df: DataFrame, min_n: int = 3, max_n: int = 6, min_count: int = 10, code: str = "code") -> DataFrame:
+def char_vocabulary(df: DataFrame, min_n: int = 3, max_n: int = 6, min_count: int = MIN_CHAR_DOCUMENTS, code: str = "code") -> DataFrame:
     """(term, df) of character n-grams found in at least ``min_count`` documents."""
     return frequent_terms(document_frequency(df, char_terms(min_n, max_n, code)), min_count=min_count)
 
 
 def char_counts(df: DataFrame, min_n: int, max_n: int, key: str = "key", code: str = "code") -> DataFrame:
-    """Character n-gram counts per document over the whole folded text."""
-    return term_counts(df, char_terms(min_n, max_n, code), key)
+    """(key, term, tf): character n-gram counts per document over the whole folded text.
+
+    The text is cut into overlapping pieces, one row each, so no row holds the n-grams of a long text; they are counted
+    with map-side combine. An n-gram belongs to the piece that it starts in.
+    """
+
+    def pieces(t: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(t) / PIECE).cast("int") - 1, F.lit(0)))
+        return F.transform(at, lambda i: F.substr(t, i * PIECE + 1, F.lit(PIECE + max_n - 1)))
+
+    rows = exploded(df, [F.col(key).alias("key")], bind(pieces, T.fold_text(F.col(code))), "piece")
+    grams = F.concat(
+        *[T.char_ngrams(F.substr("piece", F.lit(1), F.lit(PIECE + n - 1)), n, n) for n in range(min_n, max_n + 1)]
+    )
+    return exploded(rows, ["key"], grams, "term").groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def subword_vocabulary(char_vocab: DataFrame) -> DataFrame:
@@ -191,11 +206,15 @@ def subword_features(df: DataFrame, key: str = "key", code: str = "code", fit_on
     train = df if fit_on is None else fit_on
     words = term_counts(df, T.code_tokens(F.col(code)), key)
     train_words = words if fit_on is None else term_counts(train, T.code_tokens(F.col(code)), key)
-    sub = subword_vocabulary(char_vocabulary(train, code=code))
+    # Counts of lengths 2..6 serve the vocabulary, which takes lengths 3..6, and the features.
+    chars = materialise(char_counts(df, 2, 6, key, code), "char-counts")
+    train_chars = chars if fit_on is None else char_counts(train, 2, 6, key, code)
+    long_enough = train_chars.where(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sub = subword_vocabulary(frequent_terms(long_enough, min_count=MIN_CHAR_DOCUMENTS))
     word_vocab = minus_terms(top_vocabulary(train_words).select("term"), sub)
     word_rows = use_vocabulary(words, word_vocab, MAX_FEATURES).select("key", F.lit("word").alias("block"), "term", "tf")
     # Lengths 2..6 are exactly the lengths a kept sub-word can have.
-    char_rows = use_vocabulary(char_counts(df, 2, 6, key, code), sub).select(
+    char_rows = use_vocabulary(chars, sub).select(
         "key", F.lit("char").alias("block"), "term", "tf"
     )
     return word_rows.unionByName(char_rows)

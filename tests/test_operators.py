@@ -372,6 +372,25 @@ def test_mann_whitney(spark):
     assert stats.mann_whitney(two_sides(spark, a, b), "two-sided").first()["p"] <= 1.0
 
 
+def test_character_pieces_count_every_ngram_once(spark, monkeypatch):
+    from linescope.operators import features as X
+
+    df = spark.createDataFrame([(1, "abcabcabcd" * 3), (2, ""), (3, "x"), (4, None), (5, "ab  cd")], "key long, code string")
+    whole = rows(X.term_counts(df, X.char_terms(2, 4)), "key", "term", "tf")
+    for piece in (1, 7, 30):
+        monkeypatch.setattr(X, "PIECE", piece)
+        assert rows(X.char_counts(df, 2, 4), "key", "term", "tf") == whole
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    from linescope.operators import features as X
+
+    df = spark.createDataFrame([(1, ["b", "a", "b", None]), (2, []), (3, None), (4, ["z"])], "key long, t array<string>")
+    got = X.term_counts(df, F.col("t"))
+    assert rows(got, "key", "term", "tf") == [(1, "a", 1), (1, "b", 2), (4, "z", 1)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact_method_counts_arrangements(spark):
     from itertools import combinations, product
 
