@@ -56,12 +56,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _scratch: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Drop every table that :func:`materialise` wrote in this process so far.
+def mark() -> int:
+    """Place in the list of intermediate tables, for :func:`release`."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Drop the tables that :func:`materialise` wrote after ``since = mark()``.
 
     For owners of a job, once its result stands in a table of its own; nothing lazy may still read them.
     """
-    while _scratch:
+    while len(_scratch) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
