@@ -1,14 +1,15 @@
 """Removal of lines that spread over many sites.
 
 Line hashes are counted first: a line in fewer rows than the threshold, or in one site, cannot reach it. The others
-get HyperLogLog sketches of their sites and of their contexts (the lines around them) by one aggregation. Lines whose
-estimate lies near a threshold are counted exactly. A line that reaches both thresholds is boilerplate: it stands on
-many sites, beside different lines. Lines of copied documents stand beside the same lines each time and stay.
+get HyperLogLog sketches of their sites by one aggregation; lines whose estimate lies near the threshold are counted
+exactly. A line that reaches it is boilerplate if it stands beside different lines in enough of its documents, or if it
+is part of a block that does: neighbouring lines that all spread are one block, with the lines around the block as its
+context. Blank lines are no neighbours. Lines of copied documents stand beside the same lines each time and stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linescope.functions.rows import inlined
@@ -16,7 +17,7 @@ from linescope.functions.text import bind
 from linescope.session import materialise
 
 MIN_SITES = 5
-#: Distinct contexts for each row that holds the line, at least.
+#: Distinct contexts for each document that holds the line or block, at least.
 CONTEXT_SHARE = 0.2
 SKETCH_LG_K = 12
 #: Relative distance from a threshold within which an estimate is replaced by the exact count: five standard errors.
@@ -40,19 +41,22 @@ def _lines(text: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, text: str, site: str) -> DataFrame:
-    """(site, t0, t1, a, b, context): every line that is not blank, with its site, text and the lines around it."""
+    """(site, t0, t1, place, a, b, before, after): every line that is not blank, with its site, text, number among the
+    lines that are not blank, and the lines around it (0 at an end)."""
 
     def placed(hashes: Column) -> Column:
         def one(h: Column, i: Column) -> Column:
             before = F.when(i > 0, F.get(hashes, i - 1)["a"])
             after = F.get(hashes, i + 1)["a"]
             return F.struct(
+                i.alias("place"),
                 h["a"].alias("a"),
                 h["b"].alias("b"),
-                F.xxhash64(F.coalesce(before, F.lit(0)), F.coalesce(after, F.lit(0))).alias("context"),
+                F.coalesce(before, F.lit(0)).alias("before"),
+                F.coalesce(after, F.lit(0)).alias("after"),
             )
 
-        return F.filter(F.transform(hashes, one), lambda x: x["a"].isNotNull())
+        return F.transform(hashes, one)
 
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keep = [
@@ -60,7 +64,8 @@ def _occurrences(docs: DataFrame, text: str, site: str) -> DataFrame:
         F.xxhash64(whole).alias("t0"),
         F.xxhash64(F.lit(1), whole).alias("t1"),
     ]
-    return inlined(docs, keep, bind(placed, F.transform(_lines(whole), _line_hash)), "a")
+    hashes = F.filter(F.transform(_lines(whole), _line_hash), lambda h: h.isNotNull())
+    return inlined(docs, keep, bind(placed, hashes), "a")
 
 
 def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -68,38 +73,69 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_s
     return _spread(materialise(_occurrences(docs, text, site), "lines"), min_sites)
 
 
-def _spread(found: DataFrame, min_sites: int) -> DataFrame:
+def _wide(found: DataFrame, min_sites: int) -> DataFrame:
+    """(a, b, n_rows, n_sites): lines on enough sites."""
     counted = found.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("site").alias("lo"), F.max("site").alias("hi")
     )
-    wide = counted.where((F.col("n_rows") >= min_sites) & (F.col("lo") != F.col("hi"))).select("a", "b", "n_rows")
-    held = found.join(wide.select("a", "b"), ["a", "b"], "left_semi")
-    sketched = held.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_LG_K)).alias("n_sites"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("context", SKETCH_LG_K)).alias("n_contexts"),
+    wide = counted.where((F.col("n_rows") >= min_sites) & (F.col("lo") != F.col("hi"))).select("a", "b")
+    sketched = found.join(wide, ["a", "b"], "left_semi").groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_LG_K)).alias("n_sites")
     )
-    needed = F.greatest(F.col("n_rows") * CONTEXT_SHARE, F.lit(2.0))
     estimates = materialise(
-        sketched.where(
-            (F.col("n_sites") >= min_sites * (1 - NEAR)) & (F.col("n_contexts") >= needed * (1 - NEAR))
-        ).withColumn(
-            "near",
-            (F.abs(F.col("n_sites") - min_sites) <= NEAR * min_sites) | (F.abs(F.col("n_contexts") - needed) <= NEAR * needed),
+        sketched.where(F.col("n_sites") >= min_sites * (1 - NEAR)).withColumn(
+            "near", F.abs(F.col("n_sites") - min_sites) <= NEAR * min_sites
         ),
+        "sites",
+    )
+    again = found.join(estimates.where("near").select("a", "b"), ["a", "b"], "left_semi")
+    exact = again.groupBy("a", "b", "site").agg(F.count(F.lit(1)).alias("n")).groupBy("a", "b").agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_sites")
+    )
+    sure = estimates.where(~F.col("near")).select("a", "b", "n_rows", "n_sites")
+    return sure.union(exact).where(F.col("n_sites") >= min_sites)
+
+
+def _varied(units: DataFrame, copies: DataFrame, a: str, b: str, least: int) -> DataFrame:
+    """(a, b): units with enough distinct contexts for their documents; a document gives a unit one context."""
+    once = units.groupBy(a, b, "t0", "t1").agg(F.min(F.xxhash64("before", "after")).alias("context"))
+    contexts = once.join(copies, ["t0", "t1"]).groupBy(a, b, "context").agg(F.sum("n").alias("n"))
+    counted = contexts.groupBy(a, b).agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_contexts"))
+    return counted.where(F.col("n_contexts") >= F.greatest(F.col("n_docs") * CONTEXT_SHARE, F.lit(float(least)))).select(a, b)
+
+
+def _spread(found: DataFrame, min_sites: int) -> DataFrame:
+    wide = materialise(_wide(found, min_sites), "wide")
+    # Equal texts have equal rows here; their documents are counted at their first lines.
+    held = materialise(
+        found.join(wide.select("a", "b"), ["a", "b"], "left_semi").select("t0", "t1", "place", "a", "b", "before", "after").distinct(),
         "spread",
     )
-    close = estimates.where("near").select("a", "b")
-    again = found.join(close, ["a", "b"], "left_semi")
-    sites = again.groupBy("a", "b", "site").agg(F.count(F.lit(1)).alias("n")).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n_sites"), F.sum("n").alias("n_rows")
+    firsts = found.where("place = 0")
+    copies = firsts.groupBy("t0", "t1").agg(F.count(F.lit(1)).alias("n"))
+    lines = _varied(held, copies, "a", "b", 2)
+
+    # Blocks: runs of spread lines within a text.
+    order = Window.partitionBy("t0", "t1").orderBy("place")
+    runs = held.withColumn("run", F.col("place") - F.row_number().over(order)).groupBy("t0", "t1", "run").agg(
+        F.array_sort(F.collect_list(F.struct("place", "a", "b", "before", "after"))).alias("rows")
     )
-    contexts = again.select("a", "b", "context").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_contexts"))
-    exact = sites.join(contexts, ["a", "b"]).select("a", "b", "n_rows", "n_sites", "n_contexts")
-    sure = estimates.where(~F.col("near")).select("a", "b", "n_rows", "n_sites", "n_contexts")
-    return sure.union(exact).where((F.col("n_sites") >= min_sites) & (F.col("n_contexts") >= needed)).select(
-        "a", "b", "n_rows", "n_sites"
+    blocks = materialise(
+        runs.select(
+            "t0",
+            "t1",
+            F.transform("rows", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))).alias("lines"),
+            F.get("rows", F.lit(0))["before"].alias("before"),
+            F.element_at("rows", -1)["after"].alias("after"),
+        ).withColumns({"p": F.xxhash64("lines"), "q": F.xxhash64(F.lit(1), "lines")}),
+        "blocks",
     )
+    # A block is on enough sites, beside different lines on as many; near copies give it few contexts.
+    on = blocks.select("p", "q", "t0", "t1").distinct().join(firsts.select("t0", "t1", "site").distinct(), ["t0", "t1"])
+    sites = on.select("p", "q", "site").distinct().groupBy("p", "q").agg(F.count(F.lit(1)).alias("n_sites"))
+    good = _varied(blocks, copies, "p", "q", min_sites).join(sites.where(F.col("n_sites") >= min_sites), ["p", "q"], "left_semi")
+    parts = blocks.join(good, ["p", "q"], "left_semi").select(F.inline("lines"))
+    return wide.join(lines.union(parts).distinct(), ["a", "b"], "left_semi")
 
 
 def without_boilerplate(
@@ -109,7 +145,7 @@ def without_boilerplate(
 
     ``removed`` names an optional column for the number of lines taken out. A null text stays null; a text that loses
     all lines is empty. Blank lines are never boilerplate. A null site is one site. Repeated rows and copies count for
-    the sites they stand on but give one context. Lines are compared without white space at their ends, whole.
+    the sites they stand on but give one context; a line that a document repeats counts once. Lines are compared without white space at their ends, whole.
     An empty table gives an empty table. Extra columns may have any name.
     """
     found = materialise(_occurrences(docs, text, site), "lines")

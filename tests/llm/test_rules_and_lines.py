@@ -62,6 +62,29 @@ def test_copies_keep_their_lines(spark):
     assert got[3] == body and got[23] == "own 3\nmore 3"
 
 
+def kept_texts(spark, texts):
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    return [r["text"] for r in lines.without_boilerplate(docs).orderBy("doc_id").collect()]
+
+
+def test_blank_lines_are_no_neighbours(spark):
+    got = kept_texts(spark, [f"own {i}\n\nAll rights reserved.\n \nmore {i}" for i in range(12)])
+    assert got == [f"own {i}\n\n \nmore {i}" for i in range(12)]
+
+
+def test_blocks_of_lines_go_whole(spark):
+    footer = "\n".join(f"footer {k}" for k in range(5))
+    copy = "copied one\ncopied two\ncopied three"
+    texts = [f"own {i}\n{footer}" for i in range(12)] + [f"{footer}\n\nown {i}" for i in range(12, 15)] + [copy] * 12
+    assert kept_texts(spark, texts) == [f"own {i}" for i in range(12)] + [f"\nown {i}" for i in range(12, 15)] + [copy] * 12
+
+
+def test_a_line_repeated_in_a_document_counts_once(spark):
+    shared = "All rights reserved."
+    texts = [f"own {i}\n{shared}\nmore {i}" for i in range(12)] + ["\n".join([shared] * 500)]
+    assert kept_texts(spark, texts) == [f"own {i}\nmore {i}" for i in range(12)] + [""]
+
+
 @pytest.mark.parametrize("sites", [4, 5])
 def test_threshold_is_exact(spark, sites):
     rows = [(i, f"own {i}\nshared\nmore {i}", f"s{i % sites}") for i in range(20)]
