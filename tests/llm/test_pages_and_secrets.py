@@ -96,6 +96,25 @@ def test_runs_covered_equal_all_repeated_substrings():
     assert [html_text.unique_runs([t], repeated) for t in pages] == [["g h"], ["x y"], ["p q r s t u"]]
 
 
+def test_article_text_of_unmarked_pages_stays(spark):
+    def words(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    menu, phrase, copied = words("menu", 25), "five words that two share", words("story", 30)
+    rows = [[f"<div>{menu}</div>", "<div>short note</div>", f"<div>{words(f'own{i}x', 12)}</div>"] for i in range(40)]
+    for i in (3, 4):
+        rows[i] += ["<h2>A heading</h2>", f"<div>{words(f'a{i}x', 6)} {phrase} {words(f'b{i}x', 6)}</div>"]
+    docs = spark.createDataFrame([(i, "http://a.org/", "".join(r)) for i, r in enumerate(rows)], PAGES)
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract(docs).collect()}
+    assert got[0] == [words("own0x", 12)]
+    assert got[3] == [words("own3x", 12), "A heading", f"{words('a3x', 6)} {phrase} {words('b3x', 6)}"]
+    # Three near copies on a host of eight pages.
+    rows = [f"<div>{menu}</div><div>{words(f'own{i}x', 12)}</div>" + f"<div>{copied}</div>" * (i < 3) for i in range(8)]
+    docs = spark.createDataFrame([(i, "http://b.org/", r) for i, r in enumerate(rows)], PAGES)
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract(docs).collect()}
+    assert got[1] == [words("own1x", 12), copied] and got[5] == [words("own5x", 12)]
+
+
 # URLs -------------------------------------------------------------------------------------
 
 
