@@ -1,4 +1,4 @@
-"""Secret scans: candidate strings by pattern, false positives removed by a random forest.
+"""Secret scans: candidate strings by pattern and by context, false positives removed by a random forest.
 
 Candidates, features and scores are DataFrame expressions and MLlib stages; no Python runs on the rows. A candidate is
 judged by its length, its character classes and their transitions, the share of it that dictionary words cover, the
@@ -21,6 +21,22 @@ WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 #: A candidate: so many characters of keys, digests and encodings, with a digit or inner capitals.
 CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
 MIXED = "[0-9]|[a-z][A-Z]"
+#: Candidates by context, of any length and characters: what a credential's name is assigned (quoted, with spaces, or up
+#: to white space), the password of a URL, a block of a private key.
+_NAME = (
+    "(?i:token|secret|passw|passphrase|passcode|pass(?![A-Za-z])|pwd|api[_.-]?key|bearer|credential|private[_.-]?key|access[_.-]?key|auth(?!or|en))"
+    "[A-Za-z0-9_.-]*[\"'`]?[ \\t]*(?:=>|[:=]{1,3})[ \\t]*"
+)
+_USER = "[A-Za-z][A-Za-z0-9+.-]*://[^\\s/:@]*:"
+_KEY_BLOCK = "-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----"
+HEAD = f"^(?:{_NAME}[\"'`]?|{_USER})"
+CONTEXT = (
+    f"{_KEY_BLOCK}[\\s\\S]*?(?:-----END [A-Z0-9 ]*-----|\\z)"
+    f"|{_NAME}(?:\"[^\\n]+?(?<!\\\\)\"|'[^\\n]+?(?<!\\\\)'|`[^\\n]+?`|\\S*[^\\s,;\"'`])"
+    f"|{_USER}[^\\s/]+(?=@)"
+)
+#: Ends of a prefix, and starts of a value, that tell a secret as an assigned name does.
+IN_URL = "://[^\\s/:@]*:$"
 #: Names that credentials are assigned to.
 NAMES = "(?i)(?:token|secret|passw|passwd|pwd|api.?key|apikey|auth|bearer|credential|private|access.?key)"
 ASSIGNED = "[=:]"
@@ -39,9 +55,71 @@ SEED = 7
 
 
 def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
-    """(key, path, place, value, before, name, after): every candidate; ``place`` is the word's number from 0."""
+    """(key, path, place, part, value, prefix, before, name, after): every candidate; ``place`` is the number, from 0, of
+    the word it starts in, ``part`` its number in the word, or below 0 for a candidate that only its context shows.
+
+    A candidate by pattern that is part of one by context is left to it.
+    """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
 
+    def breaks(x: Column) -> Column:
+        return F.regexp_count(x, F.lit(WORD_BREAK))
+
+    def by_context(words: Column, body: Column) -> Column:
+        """Structs as of the pattern beside ``last``, the word that the value ends in."""
+
+        def listed(parts: Column, matches: Column) -> Column:
+            # White space never lies across the ends of a match, so its runs count the words before it.
+            runs = F.transform(matches, lambda m, k: breaks(F.get(parts, k)) + breaks(m))
+            lead = F.when(body.rlike(f"^{WORD_BREAK}"), 1).otherwise(0)
+
+            def one(m: Column, k: Column) -> Column:
+                def made(head: Column) -> Column:
+                    quote = F.regexp_extract(head, "[\"'`]$", 0)
+                    rest = F.substr(m, F.length(head) + 1)
+                    value = F.when((quote != "") & F.endswith(rest, quote), F.substr(rest, F.lit(1), F.length(rest) - 1)).otherwise(rest)
+                    before = F.aggregate(F.slice(runs, F.lit(1), k), F.lit(0), lambda a, x: a + x)
+                    return bind(placed, before + breaks(F.get(parts, k)) + breaks(head) - lead, value, head)
+
+                def placed(place: Column, value: Column, head: Column) -> Column:
+                    def near(i: Column) -> Column:
+                        return F.when(i >= 0, F.get(words, F.greatest(i, F.lit(0))))
+
+                    last = place + breaks(value)
+                    return F.struct(
+                        place.alias("place"),
+                        (-1 - k).alias("part"),
+                        value.alias("value"),
+                        F.regexp_extract(head, "[^\\x20\\x09-\\x0D]*$", 0).alias("prefix"),
+                        near(place - 1).alias("before"),
+                        near(place - 2).alias("name"),
+                        near(last + 1).alias("after"),
+                        last.alias("last"),
+                    )
+
+                return bind(made, F.regexp_extract(m, HEAD, 0))
+
+            return F.filter(F.transform(matches, one), lambda c: c["value"] != "")
+
+        return bind(listed, F.split(body, CONTEXT, -1), F.regexp_extract_all(body, F.lit(f"({CONTEXT})"), F.lit(1)))
+
+    def joined(pattern: Column, context: Column) -> Column:
+        def inner(p: Column) -> Column:
+            return F.exists(
+                context,
+                lambda c: (p["place"] >= c["place"]) & (p["place"] <= c["last"]) & (c["value"] != p["value"]) & F.contains(c["value"], p["value"]),
+            )
+
+        def known(c: Column) -> Column:
+            return F.exists(pattern, lambda p: (p["place"] == c["place"]) & (p["value"] == c["value"]))
+
+        fields = ("place", "part", "value", "prefix", "before", "name", "after")
+        more = F.transform(F.filter(context, lambda c: ~known(c)), lambda c: F.struct(*[c[x].alias(x) for x in fields]))
+        return F.when(F.size(context) == 0, pattern).otherwise(F.concat(F.filter(pattern, lambda p: ~inner(p)), more))
+
+    def every(words: Column, body: Column) -> Column:
+        return bind(joined, marked(words), by_context(words, body))
+
     def marked(words: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
             def near(d: int) -> Column:
@@ -64,11 +142,11 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
         return F.flatten(F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
                                               lambda x: x["w"].rlike(CANDIDATE)), lambda x: one(x["w"], x["i"])))
 
-    # Most texts hold no candidate: one pass of the pattern leaves them out.
-    some = docs.where(whole.rlike(CANDIDATE))
+    # Most texts hold no candidate: one pass of the patterns leaves them out.
+    some = docs.where(whole.rlike(f"{CANDIDATE}|{CONTEXT}"))
     words = F.filter(F.split(whole, WORD_BREAK, -1), lambda w: w != "")
     place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    return inlined(some, [F.col(key).alias("key"), place.alias("path")], bind(marked, words), "place")
+    return inlined(some, [F.col(key).alias("key"), place.alias("path")], bind(every, words, whole), "place")
 
 
 def dictionary(docs: DataFrame, text: str, rows: int = DICTIONARY_ROWS) -> DataFrame:
@@ -77,6 +155,11 @@ def dictionary(docs: DataFrame, text: str, rows: int = DICTIONARY_ROWS) -> DataF
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rows).select("word")
 
 
+def told(value: Column) -> Column:
+    """Whether the candidate is a URL's password or a block of a private key."""
+    return F.col("prefix").rlike(IN_URL) | value.rlike(f"^{_KEY_BLOCK}")
+
+
 def features(found: DataFrame, known: DataFrame) -> DataFrame:
     """``found`` with one ``x_`` column per feature."""
     value = F.col("value")
@@ -88,7 +171,7 @@ def features(found: DataFrame, known: DataFrame) -> DataFrame:
             out[f"x_{name}_{other}"] = F.regexp_count(value, F.lit(f"{chars}(?={next_})")) / size
     out["x_distinct"] = F.size(F.array_distinct(F.split(value, ""))) / size
     near = F.concat_ws(" ", "name", "before", "prefix")
-    out["x_named"] = near.rlike(NAMES).cast("double")
+    out["x_named"] = (near.rlike(NAMES) | (F.col("part") < 0)).cast("double")
     out["x_assigned"] = F.concat_ws(" ", "before", "prefix").rlike(ASSIGNED).cast("double")
     out["x_quoted"] = F.col("prefix").rlike("[\"'`]$").cast("double")
     for name in ("name", "after"):
@@ -110,13 +193,13 @@ def features(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """``found`` with ``label`` by form and context: 1 for digests and keys that a credential's name is assigned, 0 for
-    plain numbers and words, null where neither is sure."""
+    """``found`` with ``label`` by form and context: 1 for digests and keys that a credential's name is assigned, for
+    passwords in URLs and key blocks, 0 for plain numbers and words, null where neither is sure."""
     value = F.col("value")
-    named = F.concat_ws(" ", "name", "before", "prefix").rlike(f"{NAMES}[A-Za-z_]*[^A-Za-z]*{ASSIGNED}")
+    named = F.concat_ws(" ", "name", "before", "prefix").rlike(f"{NAMES}[A-Za-z_]*[^A-Za-z]*{ASSIGNED}") | (F.col("part") < 0)
     dense = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     plain = value.rlike("^[0-9]+$") | ~value.rlike("[0-9]")
-    return found.withColumn("label", F.when(named & dense, 1.0).when(plain & ~named, 0.0))
+    return found.withColumn("label", F.when((named & dense) | told(value), 1.0).when(plain & ~named, 0.0))
 
 
 def scan(
