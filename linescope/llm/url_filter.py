@@ -1,6 +1,6 @@
 """URL verdicts by host rules and by a path-template tree with smoothed labelled purity.
 
-Each path is walked down a tree of its host, one segment a level. Digits of a segment become a wildcard at once; a node
+Each path is walked down a tree of its host to its end, one segment a level. Digits of a segment become a wildcard at once; a node
 with many different children becomes a wildcard node. Sibling templates whose labels do not differ significantly from
 those of the rest of their parent are merged with it. A template is blocked where the share of good labels, smoothed by
 its parent, its host and the whole table, is below ``PURITY``. Counts come from combinable aggregates per host and
@@ -18,7 +18,7 @@ from linescope.session import materialise
 #: (verdict, host, start of the path).
 Rule = tuple[str, str, str]
 
-#: Levels of the tree; the rest of a longer path is one segment.
+#: Levels that the SQL writes out, which holds for paths up to them; the tree here has no last level.
 LEVELS = 4
 #: A node with more children than this is variable if its children have fewer than ``CHILD_ROWS`` rows on average.
 CHILDREN = 16
@@ -45,36 +45,57 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    """Segments with digits generalised; behind ``LEVELS`` - 1 of them the rest is one."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "*"), "/", LEVELS)
+    """Segments with digits generalised."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "*"), "/", -1)
     return F.when(path == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def templates(pages: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
-    """``pages`` with ``_parent`` and ``_template``: the path in its host's tree."""
-    rows = pages.withColumn("_segments", _segments(F.col(path))).withColumn("_prefix", F.lit(""))
-    for level in range(LEVELS):
+    """``pages`` with ``_parent`` and ``_template``: the path in its host's tree.
+
+    A node with at most ``CHILDREN`` rows has no variable node in or below it, so its rows go to their ends at once; a
+    level walks only the rows of larger nodes, and levels go on until no row has a segment left.
+    """
+    rows = pages.withColumns({"_segments": _segments(F.col(path)), "_prefix": F.lit("")})
+    level, walked = 0, []
+    while True:
         rows = rows.withColumn("_segment", F.get("_segments", F.lit(level)))
         children = rows.where(F.col("_segment").isNotNull()).groupBy(host, "_prefix", "_segment").agg(F.count(F.lit(1)).alias("_rows"))
         nodes = children.groupBy(host, "_prefix").agg(F.count(F.lit(1)).alias("_children"), F.sum("_rows").alias("_rows"))
-        variable = nodes.where((F.col("_children") > CHILDREN) & (F.col("_rows") < F.col("_children") * CHILD_ROWS)).select(
-            F.col(host).alias("_h"), F.col("_prefix").alias("_p")
+        large = nodes.where(F.col("_rows") > CHILDREN).select(
+            F.col(host).alias("_h"),
+            F.col("_prefix").alias("_p"),
+            ((F.col("_children") > CHILDREN) & (F.col("_rows") < F.col("_children") * CHILD_ROWS)).alias("_variable"),
         )
-        joined = rows.join(variable, (rows[host] == F.col("_h")) & (rows["_prefix"] == F.col("_p")), "left")
-        step = F.when(F.col("_h").isNotNull(), F.lit("*")).otherwise(F.col("_segment"))
-        walked = F.concat("_prefix", F.lit("/"), step)
+        joined = rows.join(large, (rows[host] == F.col("_h")) & (rows["_prefix"] == F.col("_p")), "left")
+        left = F.size("_segments") - level
+        step = F.concat("_prefix", F.lit("/"), F.when(F.col("_variable"), F.lit("*")).otherwise(F.col("_segment")))
+
+        def literal(n: Column, at: int = level) -> Column:
+            return F.when(n > 0, F.concat("_prefix", F.lit("/"), F.array_join(F.slice("_segments", F.lit(at + 1), n), "/"))).otherwise(
+                F.col("_prefix")
+            )
+
+        walks = F.col("_variable").isNotNull() & F.col("_segment").isNotNull()
         rows = materialise(
             joined.withColumns(
                 {
-                    "_parent": F.when(F.col("_segment").isNotNull(), F.col("_prefix")).otherwise(
-                        F.col("_parent") if level else F.lit("")
-                    ),
-                    "_prefix": F.when(F.col("_segment").isNotNull(), walked).otherwise(F.col("_prefix")),
+                    "_parent": F.when(walks, F.col("_prefix")).otherwise(literal(F.greatest(left - 1, F.lit(0)))),
+                    "_prefix": F.when(walks, step).otherwise(literal(left)),
+                    "_open": walks & (left > 1),
                 }
-            ).drop("_h", "_p", "_segment"),
+            ).drop("_h", "_p", "_segment", "_variable"),
             "tree",
         )
-    return rows.withColumnRenamed("_prefix", "_template").drop("_segments")
+        walked.append(rows.where(~F.col("_open")))
+        rows = rows.where("_open").drop("_parent", "_open")
+        if rows.isEmpty():
+            break
+        level += 1
+    done = walked[0]
+    for more in walked[1:]:
+        done = done.unionByName(more)
+    return done.withColumnRenamed("_prefix", "_template").drop("_segments", "_open")
 
 
 def purity(rows: DataFrame, host: str, label: str) -> DataFrame:

@@ -172,6 +172,17 @@ def test_templates_generalise_and_bad_ones_are_blocked(spark):
     assert got[105]["verdict"] == got[205]["verdict"] == got[301]["verdict"] == "allow"
 
 
+def test_paths_are_walked_to_their_ends(spark):
+    slugs = [f"{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(5)]
+    rows = [(f"http://h.net/2024/05/{1 + k % 28}/{part}/{x}", good) for part, good in (("spam", 0.0), ("news", 1.0)) for k, x in enumerate(slugs)]
+    rows += [("http://h.net/" + "/".join("abcdefghij"), 1.0), ("http://h.net/a/b/", None), ("http://h.net", None)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, label double")
+    out = url_filter.verdicts(docs, []).orderBy("page_id").collect()
+    assert {(r["template"], r["verdict"]) for r in out[:40]} == {("/*/*/*/spam/*", "block")}
+    assert {(r["template"], r["verdict"]) for r in out[40:80]} == {("/*/*/*/news/*", "allow")}
+    assert [r["template"] for r in out[80:]] == ["/a/b/c/d/e/f/g/h/i/j", "/a/b/", ""] and all(r["purity"] for r in out)
+
+
 def test_alike_siblings_share_their_purity(spark):
     rows = [(i, f"http://h.net/a/{i}", float(i % 3 > 0)) for i in range(30)] + [(50 + i, f"http://h.net/b/{i}", float(i % 3 > 0)) for i in range(3)]
     got = {r["page_id"]: r["purity"] for r in url_filter.verdicts(spark.createDataFrame(rows, "page_id long, url string, label double"), []).collect()}
