@@ -141,3 +141,31 @@ fit as (select r.page_id, arg_max(rules.host || start, length(rules.host || star
 select r.page_id, r.host, r.path, fit.rule, coalesce(fit.verdict, case when purity < {url_filter.PURITY}e0 then 'block' else 'allow' end) as verdict,
   r.prefix as template, purity
 from r{last} r left join pure on pure.host = r.host and pure.parent = r.parent and pure.prefix = r.prefix left join fit on fit.page_id = r.page_id"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a short ASCII text, eight shifts a character."""
+    byte = f"list_prepend(4294967295::bigint, list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::bigint))"
+    step = "case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
+    return f"xor(4294967295, list_reduce({byte}, lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: {step})))"
+
+
+def periodic_runs(least: int, power: int) -> str:
+    return f"""with w as (select doc_id, {crc32("doc_id::varchar")} as h, {_words("coalesce(text, '')")} as ws from documents),
+c as (select doc_id, ws, len(ws) as n, h % 10 = 0 and len(ws) > 0 as edited, h // 10 as g from w),
+e as (select *, case when edited then g % n else n end as a, case when edited then 1 + (n - g % n) // (3 + g % 8) else 1 end as p from c),
+d as (select doc_id, n, list_transform(range(0, n), lambda i: ws[1 + case when i >= a then a + (i - a) % p else i end]) as ws from e),
+pos as (select doc_id, n, i, ws[i + 1] as w from (select *, unnest(range(0, n)) as i from d)),
+pairs as (select x.doc_id, x.i, y.i - x.i as q from pos x join pos y on x.doc_id = y.doc_id and x.w = y.w and y.i > x.i
+  where (y.i - x.i) * {power} <= x.n),
+isles as (select *, i - row_number() over (partition by doc_id, q order by i) as isle from pairs),
+far as (select doc_id, min(i) as s, count(*) + q as l, q from isles group by doc_id, q, isle
+  having count(*) >= greatest({least} - q, {power - 1} * q)),
+runs as (select * from far f where not exists (select 1 from far o where o.doc_id = f.doc_id and o.q < f.q and o.s <= f.s and o.s + o.l >= f.s + f.l)),
+best as (select * from runs qualify row_number() over (partition by doc_id order by l::double / q desc, s, q) = 1),
+told as (select doc_id, count(*) as n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as rs from runs group by doc_id),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) as i from runs),
+left_over as (select p.doc_id, string_agg(p.w, ' ' order by p.i) as t from pos p anti join gone g on g.doc_id = p.doc_id and g.i = p.i group by p.doc_id)
+select d.doc_id, coalesce(told.n_runs, 0) as n_runs, best.s as start, best.l as length, best.q as period, 1000 * best.l // best.q as exponent_milli,
+  sha256(coalesce(rs, '')) as runs_sha256, sha256(coalesce(left_over.t, '')) as collapsed_sha256
+from d left join told on told.doc_id = d.doc_id left join best on best.doc_id = d.doc_id left join left_over on left_over.doc_id = d.doc_id"""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linescope.functions.text import bind
 from linescope.llm import (
     context_tree,
     decontaminate,
@@ -15,6 +16,7 @@ from linescope.llm import (
     oracles,
     pieces,
     quality_rules,
+    runs,
     secrets,
     url_filter,
 )
@@ -91,3 +93,44 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_secret_scans")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def planted_period(key: Column, text: Column) -> Column:
+    """The contract's texts: where crc32(key) ends in 0, the words behind a start drawn from it repeat with a drawn period."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def cyclic(h: Column, ws: Column) -> Column:
+        n, g = F.size(ws), F.floor(h / 10)
+        a = g % n
+
+        def at(i: Column) -> Column:
+            period = F.floor((n - a) / (3 + g % 8)) + 1
+            return F.get(ws, F.when(i >= a, a + (i - a) % period).otherwise(i).cast("int"))
+
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), at), " ")).otherwise("")
+
+    crc = F.crc32(key.cast("string"))
+    return F.when(crc % 10 == 0, bind(cyclic, crc, words)).otherwise(text)
+
+
+@query("op13_periodic_runs", oracles.periodic_runs(runs.LEAST, runs.POWER))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_period(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.periodic_runs(docs)
+    # The greatest exponent compares as a whole number: length / period = quotient + rest / period.
+    best = F.array_sort(
+        "runs",
+        lambda x, y: F.when(x["length"] * y["period"] != y["length"] * x["period"], F.when(x["length"] * y["period"] > y["length"] * x["period"], -1).otherwise(1))
+        .when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1))
+        .otherwise(F.when(x["period"] < y["period"], -1).when(x["period"] > y["period"], 1).otherwise(0)),
+    )
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    held = found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), told.alias("told"), F.get(best, F.lit(0)).alias("best"))
+    return held.select(
+        "doc_id",
+        "n_runs",
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("told", lambda t: F.concat(t, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
