@@ -169,3 +169,27 @@ left_over as (select p.doc_id, string_agg(p.w, ' ' order by p.i) as t from pos p
 select d.doc_id, coalesce(told.n_runs, 0) as n_runs, best.s as start, best.l as length, best.q as period, 1000 * best.l // best.q as exponent_milli,
   sha256(coalesce(rs, '')) as runs_sha256, sha256(coalesce(left_over.t, '')) as collapsed_sha256
 from d left join told on told.doc_id = d.doc_id left join best on best.doc_id = d.doc_id left join left_over on left_over.doc_id = d.doc_id"""
+
+
+def divergence(min_docs: int, top_terms: int) -> str:
+    low = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+    return f"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all({low}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts from documents),
+occ as (select r, lang, source, unnest(ts) as t from d),
+vocab as materialized (select lang, t from (select distinct r, lang, t from occ) group by all having count(*) >= {min_docs}),
+cnt as materialized (select lang, source, t, count(*) as n from occ join vocab using (lang, t) group by all),
+sizes as (select lang, count(*) as v from vocab group by lang),
+totals as (select lang, source, sum(n) as total from cnt group by all),
+groups as materialized (select lang, source, coalesce(total, 0)::hugeint as total, coalesce(v, 0)::hugeint as v from (select distinct lang, source from d)
+  left join totals using (lang, source) left join sizes using (lang)),
+dense as materialized (select g.lang, g.source, vocab.t, coalesce(n, 0) as n, (1 + (coalesce(n, 0) + 1) * 1000000000 // (total + g.v))::bigint as p
+  from groups g join vocab on vocab.lang = g.lang left join cnt on cnt.lang = g.lang and cnt.source = g.source and cnt.t = vocab.t),
+sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value
+  from dense a join dense b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from groups a
+  join groups b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+spoken as (select lang, t, (1 + (sum(n) + 1) * 1000000000::hugeint // (any_value(g.total) + any_value(g.v)))::bigint as q from cnt
+  join (select lang, sum(total) as total, max(v) as v from groups group by lang) g using (lang) group by lang, t),
+terms as (select lang, source, 'term' as part, t as item, (p - q) * (p - q) // q as value from dense join spoken using (lang, t) where n > 0 and p > q)
+select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from pairs union all select * from terms)
+qualify part = 'pair' or rank <= {top_terms}"""

@@ -9,12 +9,14 @@ from linescope.functions.text import bind
 from linescope.llm import (
     context_tree,
     decontaminate,
+    divergence,
     html_text,
     lines,
     minhash,
     neighbour_quality,
     oracles,
     pieces,
+    private,
     quality_rules,
     runs,
     secrets,
@@ -134,3 +136,22 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("told", lambda t: F.concat(t, F.lit("\n"))), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op11_source_divergence", oracles.divergence(divergence.MIN_DOCS, divergence.TOP_TERMS))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_personal_data")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def told(spans: Column | str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in private.KINDS], F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"))
