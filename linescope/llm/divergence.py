@@ -31,7 +31,7 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
 #: Terms of one transducer, and bytes of the transducers that are sent to the workers at a time.
-SHARD_TERMS = 1 << 17
+SHARD_TERMS = 1 << 14
 PACK_BYTES = 64 << 20
 #: Rows that a task gathers before it hands them on.
 GATHER = 1 << 20
