@@ -66,10 +66,14 @@ def c03(spark, sf):
     return diffs.annotate_changed_lines(I.versions(spark, sf)).select("key", "add_lines", "delete_lines")
 
 
-@query("c04_hunk_headers", f"""with {I.LINES}
-select key, cast(1 as int) as diff_line_no, cast(1 as int) as start_before, cast(1 as int) as start_after from x0 group by key""")
+@query("c04_hunk_headers", f"""with {I.LINES},
+c as (select *, count(*) filter ({I.CHANGED}) over (partition by key order by line_no rows between unbounded preceding and 1 preceding) as before
+  from x0)
+select key, cast((line_no - 1) / {I.HUNK_LINES} + line_no + 2 * before as int) as diff_line_no, cast(line_no as int) as start_before,
+  cast(line_no + before as int) as start_after
+from c where (line_no - 1) % {I.HUNK_LINES} = 0""")
 def c04(spark, sf):
-    return diffs.hunks(I.versions(spark, sf))
+    return diffs.hunks(I.hunked(spark, sf))
 
 
 @query("c05_clean_lines", f"""with {I.COMMENTED}

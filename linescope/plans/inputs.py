@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.functions.text import split_lines
+from linescope.functions.text import bind, split_lines
 from linescope.session import spread
 
 
@@ -103,3 +103,23 @@ def versions(spark: SparkSession, sf: str) -> DataFrame:
     return base.withColumn("func", F.array_join(after, "\n")).withColumn(
         "diff_func", F.concat(head, F.array_join(diff, "\n"))
     )
+
+
+HUNK_LINES = 10
+
+
+def hunked(spark: SparkSession, sf: str) -> DataFrame:
+    """(key, diff_func): a hunk for every ``HUNK_LINES`` lines; a changed line becomes two, so later hunks move down."""
+
+    def body(lines):
+        def part(line, i):
+            before = F.size(F.filter(F.slice(lines, 1, i), _changed))
+            n = F.least(F.lit(HUNK_LINES), F.size(lines) - i)
+            more = F.size(F.filter(F.slice(lines, i + 1, n), _changed))
+            head = F.format_string("@@ -%d,%d +%d,%d @@ more\n", i + 1, n, i + 1 + before, n + more)
+            own = F.when(_changed(line), F.concat(F.lit("-"), line, F.lit("\n+"), line, F.lit(" NEW\n+"), line, F.lit(" MORE")))
+            return F.concat(F.when(i % HUNK_LINES == 0, head).otherwise(""), own.otherwise(F.concat(F.lit(" "), line)))
+
+        return F.array_join(F.transform(lines, part), "\n")
+
+    return documents(spark, sf).select("key", bind(body, split_lines(F.col("code"), "newline")).alias("diff_func"))

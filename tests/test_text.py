@@ -207,3 +207,32 @@ def test_alignment_equals_brute_force(spark, lines, diff):
     got, _ = align(spark, "\n".join(lines), "", "\n".join(diff))
     assert [int(x) for x in got.split()] == want
     assert want == sorted(set(want))
+
+
+def test_long_diff_with_far_lines_ends_soon(spark):
+    """50 000 changed lines; half of them are found only far behind the cursor or not at all."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    after = [f"line {rng.randrange(9000)}" for _ in range(120_000)]
+    diff, at = [], 0
+    while len(diff) < 50_000:
+        if rng.random() < 0.3:
+            diff.append(f"+gone {len(diff)}")
+            continue
+        at = min(at + rng.choice([1, 1, 1, 1, 90]), len(after) - 1)
+        diff.append("+" + after[at])
+    df = spark.createDataFrame([("\n".join(after), "\n".join(after), "\n".join(diff))], ["func_before", "func", "diff_func"])
+    begun = time.time()
+    got = diffs.annotate_changed_lines(df).first()["add_lines"].split(" ")
+    assert time.time() - begun < 60
+    places, cursor, want = {}, 0, []
+    for i, line in enumerate(after):
+        places.setdefault(line, []).append(i)
+    for line in diff:
+        found = next((p for p in places.get(line[1:], ()) if p >= cursor), None)
+        if found is not None:
+            want.append(str(found + 1))
+            cursor = found + 1
+    assert got == want and len(want) > 5_000
