@@ -214,3 +214,16 @@ def test_quality_of_odd_rows(spark, odd, odd_rows, none):
     untaught = neighbour_quality.score(odd, labels.where("false"), F.lit(True)).collect()
     assert {r["score"] for r in untaught} == {0.5}
     assert neighbour_quality.score(none, labels, F.lit(True)).count() == 0
+
+
+def test_nbest_of_long_segments_ends_soon(vocabulary):
+    import random
+    import time
+
+    rng, begun = random.Random(3), time.time()
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "a" * 20_000, "=" * 20_000):
+        found = pieces.nbest(text, vocabulary)
+        scores = [s for s, _ in found]
+        assert len(found) == pieces.NBEST == len({ids for _, ids in found}) and scores == sorted(scores, reverse=True)
+        assert abs(scores[0] - pieces.forward(text, vocabulary)[0][-1]) < 1e-6 * abs(scores[0])
+    assert time.time() - begun < 60
