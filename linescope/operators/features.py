@@ -15,7 +15,7 @@ from linescope.functions import text as T
 from linescope.functions.rows import exploded, inlined
 from linescope.functions.text import bind
 from linescope.operators.ranking import value_rank
-from linescope.session import materialise
+from linescope.session import materialise, small_side
 
 MAX_FEATURES = 10_000
 MIN_CHAR_DOCUMENTS = 10
@@ -89,10 +89,10 @@ def with_term_ids(vocab: DataFrame, offset: int = 0) -> DataFrame:
 def use_vocabulary(counts: DataFrame, vocab: DataFrame, limit: int | None = None) -> DataFrame:
     """Keep terms of a fitted vocabulary and add its columns.
 
-    A vocabulary of at most ``limit`` terms is broadcast, and cut there; any other join is left to the optimizer, which
-    broadcasts by measured size only.
+    With a ``limit`` the vocabulary is written once and broadcast if it was counted to be small; all its terms are kept in
+    any case. Without one the join is left to the optimizer, which broadcasts by measured size only.
     """
-    side = F.broadcast(vocab.limit(limit)) if limit is not None and limit <= MAX_FEATURES else vocab
+    side = small_side(vocab, "vocabulary") if limit is not None else vocab
     return counts.join(side, "term")
 
 
