@@ -31,7 +31,7 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
 #: Terms of one transducer, and bytes of the transducers that are sent to the workers at a time.
-SHARD_TERMS = 1 << 14
+SHARD_TERMS = 1 << 15
 PACK_BYTES = 64 << 20
 #: Rows that a task gathers before it hands them on.
 GATHER = 1 << 20
@@ -146,6 +146,7 @@ def _prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def _recounted(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns of a batch: language, group, text. A group is of one language."""
     shards: dict[str, list[tuple[int, int, int, Transducer]]] = {}
     for lang, offset, low, high, body in sent.value:
         shards.setdefault(lang, []).append((offset, _prefix(low), _prefix(high), Transducer(*pickle.loads(body))))
@@ -153,15 +154,16 @@ def _recounted(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     def tables() -> Iterator[pa.Table]:
         for batch in batches:
             kind, langs = numbered(batch.column(0))
-            origin, sources = numbered(batch.column(1))
+            origin, groups = numbered(batch.column(1))
             names = langs.to_pylist()
             for begin, end, row, number, terms in _Slices(batch.column(2)):
                 n = len(terms)
                 if not n:
                     continue
-                group = kind[begin:end] * len(sources) + origin[begin:end]
-                cell, count = np.unique(group[row] * n + number, return_counts=True)
-                cell_kind = cell // n // len(sources)
+                of_group = np.zeros(len(groups), np.int64)
+                of_group[origin] = kind
+                cell, count = np.unique(origin[begin:end][row] * n + number, return_counts=True)
+                cell_kind = of_group[cell // n]
                 _, offsets, raw = terms.buffers()
                 at = np.frombuffer(offsets, np.int64)[terms.offset : terms.offset + n + 1]
                 data = np.frombuffer(raw, np.uint8)
@@ -177,36 +179,45 @@ def _recounted(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                         ordinal[near[found >= 0]] = found[found >= 0] + offset
                     told = ordinal[cell[mine] % n]
                     mine, told = mine[told >= 0], told[told >= 0]
-                    yield pa.table(
-                        {
-                            "lang": langs.take(pa.array(np.full(len(mine), k))),
-                            "source": sources.take(pa.array(cell[mine] // n % len(sources))),
-                            "ordinal": told,
-                            "n": count[mine].astype(np.int64),
-                        }
-                    )
+                    yield pa.table({"group": groups.take(pa.array(cell[mine] // n)), "ordinal": told, "n": count[mine].astype(np.int64)})
+
+    yield from _gathered(tables(), ["group", "ordinal"])
+
+
+def _group(salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), "lang", F.lit(0), "source")
 
-    yield from _gathered(tables(), ["lang", "source", "ordinal"])
+
+def group_salt(names: DataFrame) -> int:
+    """Smallest salt that gives all (lang, source) rows different numbers."""
+    salt = 0
+    while names.groupBy(_group(salt)).count().where("count > 1").limit(1).count():
+        salt += 1
+    return salt
 
 
 def recount(
     docs: DataFrame,
     automata: DataFrame,
+    salt: int,
     text: str = "text",
     lang: str = "lang",
     source: str = "source",
     pack_bytes: int = PACK_BYTES,
 ) -> DataFrame:
-    """(lang, source, ordinal, n): occurrences of every term in every group that has some. Written in the shared folder."""
-    spark, schema = docs.sparkSession, "lang string, source string, ordinal long, n long"
-    parts = _parts(docs, text, lang, source)
+    """(group, ordinal, n): occurrences of every term in every group that has some. Written in the shared folder.
+
+    Groups are the numbers that ``salt`` gives to (lang, source); ordinals count within the language.
+    """
+    spark, schema = docs.sparkSession, "group long, ordinal long, n long"
+    parts = _parts(docs, text, lang, source).select("lang", _group(salt).alias("group"), "text")
     written: list[DataFrame] = []
 
     def count(pack: list) -> None:
         sent = spark.sparkContext.broadcast(pack)
         mine = parts.where(F.col("lang").isin(sorted({p[0] for p in pack})))
         found = mine.mapInArrow(lambda batches: _recounted(sent, batches), schema)
-        written.append(materialise(found.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")), "recount"))
+        written.append(materialise(found.groupBy("group", "ordinal").agg(F.sum("n").alias("n")), "recount"))
         sent.destroy()
 
     pack, size = [], 0
@@ -294,28 +305,25 @@ def audit(
     pairs and no terms; a language without kept terms has pairs of value 0; a source alone in its language has no pairs.
     Repeated rows are documents of their own. An empty table gives an empty result. Extra columns are not read.
     """
-    parts = _parts(docs, text, lang, source)
     vocab = vocabulary(docs, text, lang, min_docs)
-    counts = recount(docs, transducers(vocab, shard_terms), text, lang, source, pack_bytes)
+    names = materialise(_parts(docs, text, lang, source).select("lang", "source").distinct(), "groups")
+    salt = group_salt(names)
+    counts = recount(docs, transducers(vocab, shard_terms), salt, text, lang, source, pack_bytes)
     sizes = vocab.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    named = materialise(
-        parts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "size"]),
-        "groups",
-    )
+    totals = counts.groupBy("group").agg(F.sum("n").alias("total"))
+    named = names.withColumn("group", _group(salt)).join(totals, "group", "left").join(sizes, "lang", "left").na.fill(0, ["total", "size"])
     whole = F.col("total") + F.col("size")
-    groups = materialise(
-        value_rank(named, "source", part=["lang"], rank="sid").withColumn("none", F.when(whole > 0, _share(F.lit(0), whole))), "groups"
-    )
+    ranked = value_rank(materialise(named, "groups"), "source", part=["lang"], rank="sid")
+    groups = materialise(ranked.withColumn("none", F.when(whole > 0, _share(F.lit(0), whole))), "groups")
     cells = materialise(
-        counts.join(groups.select("lang", "source", "sid", "total", "size"), ["lang", "source"])
+        counts.join(groups.select("group", "lang", "source", "sid", "total", "size"), "group")
         .withColumn("p", _share(F.col("n"), whole))
         .select("lang", "source", "sid", "ordinal", "n", "p", "size"),
         "cells",
     )
 
-    names = groups.select("lang", F.col("source").alias("item"), F.col("sid").alias("b"))
-    skeleton = groups.select("lang", "source", F.col("sid").alias("a")).join(names, "lang").where("a <> b")
+    others = groups.select("lang", F.col("source").alias("item"), F.col("sid").alias("b"))
+    skeleton = groups.select("lang", "source", F.col("sid").alias("a")).join(others, "lang").where("a <> b")
     pairs = skeleton.join(_pairs(groups, cells), ["lang", "a", "b"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
     by_item = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by_item).alias("rank"))
