@@ -1,7 +1,8 @@
 """Exact k nearest neighbours.
 
-The labelled train rows are bounded and sent to every worker once; test rows stream through and never move. A batch is
-compared with all train rows by blocked difference tensors.
+The labelled train rows are sent to every worker in blocks of bounded size, in the order of their keys; test rows stream
+past each block and never move. What is near in one block meets what is near in the others, at most k rows a block for
+each test row. One block is the usual case, and any number gives the same rows.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Train rows that may be broadcast; more are refused.
-TRAIN_ROWS = 200_000
+#: Bytes of train vectors that are sent at a time, and rows that one packet of them holds.
+BLOCK_BYTES = 64 << 20
+PACKET_ROWS = 1024
 #: Numbers in one difference tensor.
 BLOCK = 1 << 22
 DIGITS = 9
@@ -35,26 +38,67 @@ def _closest(far: np.ndarray, k: int) -> np.ndarray:
     return near[np.argsort(far[near], kind="stable")][:k]
 
 
+def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys, labels and the vectors' bytes of up to ``PACKET_ROWS`` rows as one row."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, PACKET_ROWS):
+            part = batch.slice(first, PACKET_ROWS)
+            values = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c) for c in (pa.concat_arrays([part.column(i)]) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([values.tobytes()], pa.binary())], ["keys", "labels", "values"])
+
+
+def _blocks(packets: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(points, keys, labels) of about ``size`` bytes."""
+    held, total = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = np.array([k for r in held for k in r["keys"]], object)
+        points = np.frombuffer(b"".join(bytes(r["values"]) for r in held)).reshape(len(keys), -1)
+        return points, keys, np.concatenate([np.array(r["labels"]) for r in held])
+
+    for r in packets.toLocalIterator():
+        if held and total + len(r["values"]) > size:
+            yield joined()
+            held, total = [], 0
+        held.append(r)
+        total += len(r["values"])
+    if held:
+        yield joined()
+
+
 def nearest(
-    train: DataFrame, test: DataFrame, k: int, norm: int = 2, train_rows: int = TRAIN_ROWS, block: int = BLOCK
+    train: DataFrame, test: DataFrame, k: int, norm: int = 2, block_bytes: int = BLOCK_BYTES, block: int = BLOCK
 ) -> DataFrame:
     """(key, neighbour, label, distance, place) for train ``(key, label, vector)``, test ``(key, vector)``.
 
-    Distances are compared at nine digits, ties go to the smaller train key. More than ``train_rows`` train rows raise
-    an error. Keys may have any type; without train rows nothing is near.
+    Distances are compared at nine digits, ties go to the smaller train key. Keys may have any type; without train rows
+    nothing is near. Blocks of ``block_bytes`` pass through the driver one at a time.
     """
+    spark = train.sparkSession
     held = train.select("key", F.col("label").cast("int").alias("label"), F.col("vector").cast("array<double>").alias("vector"))
-    known = held.orderBy("key").limit(train_rows + 1).toPandas()
-    if len(known) > train_rows:
-        raise ValueError(f"more than {train_rows} train rows")
-    points = np.stack(known["vector"].to_list()) if len(known) else np.zeros((0, 0))
-    sent = train.sparkSession.sparkContext.broadcast((points, known["key"].to_numpy(), known["label"].to_numpy()))
-
+    rows = test.select("key", F.col("vector").cast("array<double>").alias("vector"))
+    key, neighbour = (d.schema["key"].dataType.simpleString() for d in (test, train))
+    schema = f"key {key}, neighbour {neighbour}, label int, distance double, place int"
+    packets = held.orderBy("key").mapInArrow(_packets, f"keys array<{neighbour}>, labels array<int>, values binary")
+    parts = [rows.mapInPandas(_near(spark.sparkContext.broadcast(sent), k, norm, block), schema) for sent in _blocks(packets, block_bytes)]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    if len(parts) == 1:
+        return parts[0]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    order = Window.partitionBy("key").orderBy("distance", "neighbour")
+    return every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def _near(sent, k: int, norm: int, block: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places, names, labels = sent.value
         step = max(1, block // max(1, places.size))
         for batch in batches:
-            for first in range(0, len(batch) if len(places) else 0, step):
+            for first in range(0, len(batch), step):
                 part = batch.iloc[first : first + step]
                 far = _distances(places, np.stack(part["vector"].to_list()), norm)
                 best = [_closest(row, k) for row in far]
@@ -70,9 +114,7 @@ def nearest(
                     }
                 )
 
-    rows = test.select("key", F.col("vector").cast("array<double>").alias("vector"))
-    key, neighbour = (d.schema["key"].dataType.simpleString() for d in (test, train))
-    return rows.mapInPandas(run, f"key {key}, neighbour {neighbour}, label int, distance double, place int")
+    return run
 
 
 def classify(neighbours: DataFrame, weights: str = "uniform") -> DataFrame:

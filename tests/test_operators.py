@@ -478,14 +478,15 @@ def test_prediction_distance(spark):
 # --- neighbours and models -----------------------------------------------------------------
 
 
-@pytest.mark.parametrize("norm, weights", [(1, "uniform"), (2, "uniform"), (1, "distance"), (2, "distance")])
-def test_neighbours_equal_brute_force(spark, norm, weights):
+@pytest.mark.parametrize("norm, weights, bytes_", [(1, "uniform", 1 << 20), (2, "uniform", 500), (1, "distance", 1), (2, "distance", 1 << 20)])
+def test_neighbours_equal_brute_force(spark, norm, weights, bytes_, monkeypatch):
+    monkeypatch.setattr(N, "PACKET_ROWS", 7)
     rng = np.random.default_rng(0)
     train = [(i, int(rng.integers(3)), [float(x) for x in rng.integers(0, 4, 3)]) for i in range(90)]
     test = [(1000 + i, [float(x) for x in rng.integers(0, 4, 3)]) for i in range(25)]
     a = spark.createDataFrame(train, "key long, label int, vector array<double>")
     b = spark.createDataFrame(test, "key long, vector array<double>")
-    got = {r["key"]: r["prediction"] for r in N.classify(N.nearest(a, b, 5, norm, block=400), weights).collect()}
+    got = {r["key"]: r["prediction"] for r in N.classify(N.nearest(a, b, 5, norm, bytes_, block=400), weights).collect()}
     for key, v in test:
         far = [(round(float(np.linalg.norm(np.array(v) - np.array(t[2]), ord=norm)), 9), t[0], t[1]) for t in train]
         near = sorted(far)[:5]
@@ -496,22 +497,21 @@ def test_neighbours_equal_brute_force(spark, norm, weights):
         assert got[key] == max(sorted(votes), key=lambda c: votes[c])
 
 
-def test_neighbours_take_text_keys_and_bound_the_train_rows(spark):
+def test_neighbours_take_text_keys_and_one_block_moves_nothing(spark):
     a = spark.createDataFrame([("x", 1, [0.0]), ("y", 2, [5.0])], "key string, label int, vector array<double>")
     b = spark.createDataFrame([("q", [1.0])], "key string, vector array<double>")
     near = N.nearest(a, b, 1)
     assert rows(near, "key", "neighbour", "label", "distance", "place") == [("q", "x", 1, 1.0, 1)]
     assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
     assert N.nearest(a.where("false"), b, 1).count() == 0
-    with pytest.raises(ValueError, match="train rows"):
-        N.nearest(a, b, 1, train_rows=1)
+    assert rows(N.nearest(a, b, 5, block_bytes=1), "neighbour", "place") == [("x", 1), ("y", 2)]
 
 
 def test_classifiers_fit(spark):
     rng = np.random.default_rng(1)
     data = [(i, i % 3, [float(i % 3 == j) * 3 + float(rng.random()) for j in range(3)]) for i in range(90)]
     df = C.dense(spark.createDataFrame(data, "key long, label int, vector array<double>"), "vector")
-    for alg, parameters in (("nb", ()), ("svm", ("1",)), ("lr", ("1",)), ("lr_ovr", ("1",)), ("rf", ("5", "10"))):
+    for alg, parameters in (("nb", ()), ("svm", ("1",)), ("lr", ("1",)), ("lr_ovr", ("1",)), ("rf", ("5", "10")), ("xgb", ("5", "8")), ("lgbm", ("30", "8"))):
         model = C.classifier(alg, *parameters, rows=90).fit(df)
         hits = model.transform(df).where(F.col("label") == F.col("prediction")).count()
         assert hits >= 85, alg
