@@ -41,5 +41,5 @@ def test_stages_keep_the_columns(spark, sf, documents):
 def test_registered(spark):
     names = entry.queries()
     assert "pipeline" in names
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert set(entry.oracle_sql()) <= set(names)
