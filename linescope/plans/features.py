@@ -83,6 +83,18 @@ def d05(spark, sf):
     return X.frequent_terms(X.document_frequency(docs, T.chunk_tokens(F.col("code"))), docs, X.MIN_SHARE)
 
 
+CUTTING_SHARE = 0.02
+
+
+@query("d05_df_vocabulary_common", f"""with {_grams(1)},
+df as (select term, count(distinct key) as df from grams group by term)
+select term, df from df where df >= {CUTTING_SHARE}e0 * (select count(*) from documents)""")
+def d05_common(spark, sf):
+    """A share that most terms do not reach."""
+    docs = I.documents(spark, sf)
+    return X.frequent_terms(X.document_frequency(docs, T.chunk_tokens(F.col("code"))), docs, CUTTING_SHARE)
+
+
 def _weights_sql(max_n: int, idf: bool) -> str:
     head = f"""with {_grams(max_n)}, counts as (select key, term, count(*) as tf from grams group by key, term),
 df as (select term, count(*) as df from counts group by term
@@ -119,6 +131,26 @@ def _per_doc(features):
     )
 
 
+@query("d06_weights_config3", _weights_sql(2, False) + _PER_DOC)
+def d06_3(spark, sf):
+    return _per_doc(X.configured_features(I.documents(spark, sf), 3))
+
+
+@query("d06_weights_config4", _weights_sql(3, False) + _PER_DOC)
+def d06_4(spark, sf):
+    return _per_doc(X.configured_features(I.documents(spark, sf), 4))
+
+
+@query("d06_weights_config6", _weights_sql(2, True) + _PER_DOC)
+def d06_6(spark, sf):
+    return _per_doc(X.configured_features(I.documents(spark, sf), 6))
+
+
+@query("d06_weights_config7", _weights_sql(3, True) + _PER_DOC)
+def d06_7(spark, sf):
+    return _per_doc(X.configured_features(I.documents(spark, sf), 7))
+
+
 @query("d06_weights_config5", _weights_sql(4, False) + _PER_DOC)
 def d06_5(spark, sf):
     return _per_doc(X.configured_features(I.documents(spark, sf), 5))
@@ -131,7 +163,7 @@ def d06_8(spark, sf):
 
 # Vocabulary fitted on labelled documents, applied to the others.
 _FIT = COUNTS + f""", fitted as (select term, cast(row_number() over (order by term) - 1 as int) as term_id from (
-  select term, sum(tf) as freq from counts where key in (select doc_id from labels) group by term
+  select term, sum(tf) as freq from counts semi join labels on doc_id = key group by term
   order by freq desc, term limit {X.MAX_FEATURES}))"""
 
 
@@ -142,7 +174,7 @@ def _labelled(spark, sf):
 
 
 @query("d07_fixed_vocabulary", f"""with {_FIT} select c.key, f.term_id, c.term, c.tf from counts c
-join fitted f on f.term = c.term where c.key not in (select doc_id from labels)""")
+join fitted f on f.term = c.term anti join labels l on l.doc_id = c.key""")
 def d07(spark, sf):
     _, train, rest = _labelled(spark, sf)
     tokens = T.code_tokens(F.col("code"))
@@ -151,7 +183,7 @@ def d07(spark, sf):
 
 
 @query("d17_saved_vocabulary", f"""with {_FIT} select c.key, f.term_id, c.term, c.tf from counts c
-join fitted f on f.term = c.term where c.key not in (select doc_id from labels)""")
+join fitted f on f.term = c.term anti join labels l on l.doc_id = c.key""")
 def d17(spark, sf):
     _, train, rest = _labelled(spark, sf)
     tokens = T.code_tokens(F.col("code"))
