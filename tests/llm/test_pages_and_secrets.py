@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 from html.parser import HTMLParser
 
@@ -63,6 +64,16 @@ def test_query_equals_a_standard_parser(spark, sf):
         ("<article><p>open", ["open"]),
         ("<article><p>cut off <a hre", ["cut off"]),
         ("<article><p>&nbsp; x &#233; &bogus; </p></article>", ["x é &bogus;"]),
+        # Removed inline elements are cut out of their block; names count as wholes, attributes by their names.
+        ('<article><p>Hello <span class="ad">BUY NOW</span> world</p></article>', ["Hello world"]),
+        ("<article>a <button>B</button><select><option>1</select>b<p>x</article>", ["a b", "x"]),
+        ('<article><h2 class="section-header">Head</h2><p title="the hidden truth">A</p><p hidden>B<p aria-hidden="true">C</article>', ["Head", "A"]),
+        ('<article><p class="related-work">x<p class="share-price">y<p class="cookie-notice">z<p class="ad-3">q</article>', ["x", "y"]),
+        ('<article class="comment">me too</article><article><p role="note">a<p role="alert">b<div id=comments-section>c</div></article>', ["a"]),
+        ("<article><p title=it's>Hello</p><p>World don't go</p><p>End</p></article>", ["Hello", "World don't go", "End"]),
+        ('<article><p title="open>Hello</p><p>World</article>', ["Hello", "World"]),
+        ("<article>&am<b>p;</b> &amp;lt;<ul><li class=ad>x<li>y</ul><svg><text>s</text></svg></article>", ["&amp; &lt;", "y"]),
+        ("<article>a<!-->b<!--->c<!-- x -- > y -->d</article>", ["abcd"]),
         ("<article><table><tr><td>1</td><td>2</td></tr></table><ul><li>3</ul></article>", ["1", "2", "3"]),
         ("", []),
     ],
@@ -71,6 +82,25 @@ def test_blocks(html, want):
     assert [t for r, t in html_text.blocks(html) if r == html_text.ARTICLE] == want
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<p title="' * 100_000,
+        "<p a='\"" * 100_000,
+        "<b>" * 100_000 + "<div></div>" * 50_000 + "</i>" * 50_000,
+        "<" * 1_000_000,
+        "<a " * 300_000,
+        "<!-" * 300_000,
+        "<a" + " a= " * 300_000,
+        "<svg>" * 200_000,
+    ],
+)
+def test_pages_of_broken_markup_take_time_in_proportion(page):
+    begun = time.monotonic()
+    html_text.blocks(page)
+    assert time.monotonic() - begun < 30
+
+
 def test_host_suffix_array_on_pages_without_article(spark, monkeypatch):
     notice = "this site uses very many cookies for you"
     rows = [(i, "https://a.org/x", f"<div>{notice}</div><div>{notice} p{i} q{i} r{i} s{i} t{i} u{i}</div><div>short</div>") for i in range(6)]
