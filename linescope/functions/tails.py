@@ -1,68 +1,81 @@
-"""Tail probabilities for the few rows of a test result."""
+"""Tail probabilities of rank tests as column expressions."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+#: Up to this distance from the mean the density's series is summed, beyond it a continued fraction is.
+NEAR = 3.0
+SERIES_TERMS = 60
+FRACTION_DEPTH = 80
 
-def _normal(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2.0))
 
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) of the standard normal distribution; null where ``z`` is null or not a number."""
+    distance = F.abs(z)
+    density = F.exp(-distance * distance / 2.0) / math.sqrt(2.0 * math.pi)
+    near, far = F.least(distance, F.lit(NEAR)), F.greatest(distance, F.lit(NEAR))
 
-def _rank_sum_tail(u: int, n_a: int, n_b: int) -> float:
-    """P(U >= u) without ties, by counting arrangements."""
-    small, large = sorted((n_a, n_b))
-    ways = np.zeros((small + 1, n_a * n_b + 1))
-    ways[0, 0] = 1.0
-    # Choose which of the ranks 1..n belong to the smaller side; k chosen ranks sum to s + k(k+1)/2.
-    for rank in range(1, small + large + 1):
-        for k in range(min(rank, small), 0, -1):
-            shift = rank - k
-            if shift <= n_a * n_b:
-                ways[k, shift:] += ways[k - 1, : n_a * n_b + 1 - shift]
-    return float(ways[small, u:].sum() / ways[small].sum())
+    def step(s: Column, k: Column) -> Column:
+        # Each term of the odd series has the square of z over the next odd number more than the one before.
+        term = s["term"] * near * near / (2.0 * k + 1.0)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
 
+    start = F.struct(near.alias("term"), near.alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(SERIES_TERMS)), start, step, lambda s: s["sum"])
+    fraction = F.aggregate(F.sequence(F.lit(FRACTION_DEPTH), F.lit(1), F.lit(-1)), far, lambda f, k: far + k / f)
+    upper = F.when(distance < NEAR, 0.5 - density * series).otherwise(density / fraction)
+    return F.when(~F.isnan(z), F.when(z < 0, 1.0 - upper).otherwise(upper))
 
-def _signed_tail(w: int, n: int) -> float:
-    """Two-sided probability of the smaller rank sum ``w`` without ties and zeros."""
-    ways = np.zeros(n * (n + 1) // 2 + 1)
-    ways[0] = 1.0
-    for rank in range(1, n + 1):
-        moved = ways[:-rank].copy()
-        ways[rank:] += moved
-    return min(1.0, float(2.0 * ways[: w + 1].sum() / ways.sum()))
 
+def _places(last: Column) -> Column:
+    return F.sequence(F.lit(0), last)
 
-@F.pandas_udf(DoubleType())
-def normal_tail(z: pd.Series) -> pd.Series:
-    """P(Z > z) of the standard normal distribution."""
-    return z.map(lambda v: None if pd.isna(v) else _normal(v))
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-@F.pandas_udf(DoubleType())
-def rank_sum_tail(z: pd.Series, u: pd.Series, n_a: pd.Series, n_b: pd.Series, ties: pd.Series) -> pd.Series:
-    """P(U >= u) by counting; ties have no such distribution and take the normal tail of ``z``."""
 
-    def tail(zv: float, uv: float, a: float, b: float, t: float) -> float | None:
-        if t == 0 and a * b > 0:
-            return _rank_sum_tail(int(uv), int(a), int(b))
-        return None if pd.isna(zv) else _normal(zv)
+def rank_sum_tail(z: Column, u: Column, n_a: Column, n_b: Column, ties: Column) -> Column:
+    """P(U >= u) by counting arrangements; ties have no such distribution and take the normal tail of ``z``.
 
-    return pd.Series([tail(*row) for row in zip(z, u, n_a, n_b, ties, strict=True)], dtype="float64")
+    Row k of the table holds in how many ways k of the ranks so far sum to s more than the least sum they can have. A
+    rank joins all rows at once, so a row works with n_a + n_b tables of the smaller size by n_a * n_b.
+    """
+    small, most, size = F.least(n_a, n_b).cast("int"), (n_a * n_b).cast("int"), (n_a + n_b).cast("int")
+    start = F.transform(_places(small), lambda k: F.transform(_places(most), lambda s: F.when((k == 0) & (s == 0), 1.0).otherwise(0.0)))
 
+    def join(ways: Column, rank: Column) -> Column:
+        def row(k: Column) -> Column:
+            def cell(s: Column) -> Column:
+                moved = F.when(s >= rank - k, F.get(F.get(ways, k - 1), s - (rank - k))).otherwise(0.0)
+                return F.get(F.get(ways, k), s) + moved
 
-@F.pandas_udf(DoubleType())
-def signed_rank_p(z: pd.Series, w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
-    """Two-sided p by counting; ties and zeros have no such distribution and take ``z``."""
+            return F.when((k == 0) | (k > rank), F.get(ways, k)).otherwise(F.transform(_places(most), cell))
 
-    def p(zv: float, wv: float, nv: float, t: float, zero: float) -> float | None:
-        if t == 0 and zero == 0 and nv > 0:
-            return _signed_tail(int(wv), int(nv))
-        return None if pd.isna(zv) else 2.0 * _normal(abs(zv))
+        return F.transform(_places(small), row)
 
-    return pd.Series([p(*row) for row in zip(z, w, n, ties, zeros, strict=True)], dtype="float64")
+    def share(ways: Column) -> Column:
+        last = F.get(ways, small)
+        return _total(F.slice(last, u.cast("int") + 1, most + 1)) / _total(last)
+
+    counted = F.aggregate(F.sequence(F.lit(1), size), start, join, share)
+    return F.when((ties == 0) & (n_a * n_b > 0), counted).otherwise(normal_tail(z))
+
+
+def signed_rank_p(z: Column, w: Column, n: Column, ties: Column, zeros: Column) -> Column:
+    """Two-sided p by counting signs; ties and zeros have no such distribution and take ``z``."""
+    most = (n * (n + 1) / 2).cast("int")
+    start = F.transform(_places(most), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+
+    def join(ways: Column, rank: Column) -> Column:
+        return F.transform(ways, lambda x, s: x + F.when(s >= rank, F.get(ways, s - rank)).otherwise(0.0))
+
+    def p(ways: Column) -> Column:
+        return F.least(2.0 * _total(F.slice(ways, F.lit(1), w.cast("int") + 1)) / _total(ways), F.lit(1.0))
+
+    counted = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, join, p)
+    return F.when((ties == 0) & (zeros == 0) & (n > 0), counted).otherwise(2.0 * normal_tail(F.abs(z)))

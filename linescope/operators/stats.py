@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linescope.functions.tails import normal_tail, rank_sum_tail, signed_rank_p
 from linescope.operators.ranking import hash_rank, running_distinct, value_rank
+from linescope.session import materialise
 
 # The compared tasks.
 TASKS = [
@@ -55,21 +56,23 @@ def group_moments(df: DataFrame) -> DataFrame:
     )
 
 
-def cohen_d(df: DataFrame) -> DataFrame:
+def cohen_d(df: DataFrame, moments: DataFrame | None = None) -> DataFrame:
     """(scenario, cohen_d): absolute mean difference over the pooled deviation."""
-    m = group_moments(df)
+    m = moments or group_moments(_measured(df))
     pooled = F.sqrt(
         ((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2)
     )
     return m.select("scenario", (F.abs(F.col("mean_a") - F.col("mean_b")) / pooled).alias("cohen_d"))
 
 
-def mann_whitney(df: DataFrame, override_alt: str | None = None, method: str = "asymptotic") -> DataFrame:
+def mann_whitney(
+    df: DataFrame, override_alt: str | None = None, method: str = "asymptotic", moments: DataFrame | None = None
+) -> DataFrame:
     """(scenario, alternative, u, z, p) of the Mann-Whitney test.
 
     ``p`` comes from the normal approximation with tie and continuity correction; with ``method="exact"`` the
     arrangements of scenarios without ties are counted. ``u`` belongs to side A. The alternative is ``greater`` where the
-    mean of A is smaller, else ``less``.
+    mean of A is smaller, else ``less``. ``moments`` are those of ``df``, where they are at hand.
     """
     _check(method)
     df = _measured(df)
@@ -83,7 +86,7 @@ def mann_whitney(df: DataFrame, override_alt: str | None = None, method: str = "
     sums = placed.groupBy("scenario").agg(
         F.sum(F.col("a") * rank).alias("r_a"), F.sum(t * t * t - t).alias("ties")
     )
-    joined = sums.join(group_moments(df), "scenario")
+    joined = sums.join(moments or group_moments(df), "scenario")
     n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = n_a + n_b
     u = F.col("r_a") - n_a * (n_a + 1.0) / 2.0
@@ -97,19 +100,20 @@ def mann_whitney(df: DataFrame, override_alt: str | None = None, method: str = "
         .otherwise(F.greatest(F.col("u"), other))
     )
     deviation = F.sqrt(product / 12.0 * (F.col("n") + 1.0 - F.col("ties") / (F.col("n") * (F.col("n") - 1.0))))
-    rows = rows.withColumn("tested", tested).withColumn("z", (F.col("tested") - product / 2.0 - 0.5) / deviation)
-    p = normal_tail("z") if method == "asymptotic" else rank_sum_tail("z", "tested", "na", "nb", "ties")
+    rows = rows.withColumn("tested", tested).withColumn("z", (F.col("tested") - product / 2.0 - 0.5) / F.nullif(deviation, F.lit(0.0)))
+    z = F.col("z")
+    p = normal_tail(z) if method == "asymptotic" else rank_sum_tail(z, *(F.col(c) for c in ("tested", "na", "nb", "ties")))
     p = F.when(F.col("alternative") == "two-sided", F.least(2.0 * p, F.lit(1.0))).otherwise(p)
     return rows.withColumn("p", p).select("scenario", "alternative", "u", "z", "p")
 
 
-def paired(df: DataFrame, seed: object = 42) -> DataFrame:
+def paired(df: DataFrame, seed: object = 42, moments: DataFrame | None = None) -> DataFrame:
     """(scenario, a, b): sides cut to equal size and paired by position.
 
     The larger side is sampled in md5 order; a side that is not larger keeps its key order.
     """
     df = _measured(df)
-    sizes = group_moments(df).select("scenario", "n_a", "n_b")
+    sizes = (moments or group_moments(df)).select("scenario", "n_a", "n_b")
     own = F.when(_is("A"), F.col("n_a")).otherwise(F.col("n_b"))
     other = F.when(_is("A"), F.col("n_b")).otherwise(F.col("n_a"))
     sized = df.join(sizes, "scenario").withColumn("_larger", own > other)
@@ -122,14 +126,14 @@ def paired(df: DataFrame, seed: object = 42) -> DataFrame:
     )
 
 
-def wilcoxon(df: DataFrame, seed: object = 42, method: str = "asymptotic") -> DataFrame:
+def wilcoxon(df: DataFrame, seed: object = 42, method: str = "asymptotic", moments: DataFrame | None = None) -> DataFrame:
     """(scenario, n, w, z, p) of the signed-rank test, two-sided, zero differences dropped.
 
     ``p`` is the normal approximation; with ``method="exact"`` scenarios without ties and zeros are counted.
     """
     _check(method)
     d = F.col("a") - F.col("b")
-    differences = paired(df, seed).select("scenario", d.alias("d"))
+    differences = paired(df, seed, moments).select("scenario", d.alias("d"))
     zero = F.col("size") == 0
     # Zero differences have the smallest size, so giving them no weight leaves the ranks above them whole.
     counted = differences.groupBy("scenario", F.abs("d").alias("size")).agg(
@@ -153,21 +157,56 @@ def wilcoxon(df: DataFrame, seed: object = 42, method: str = "asymptotic") -> Da
     deviation = F.sqrt((n * (n + 1.0) * (2.0 * n + 1.0) - 0.5 * F.col("ties")) / 24.0)
     z = (w - n * (n + 1.0) / 4.0) / F.nullif(deviation, F.lit(0.0))
     rows = sums.select("scenario", "n", w.alias("w"), z.alias("z"), "ties", "zeros")
-    p = 2.0 * normal_tail(F.abs("z")) if method == "asymptotic" else signed_rank_p("z", "w", "n", "ties", "zeros")
+    columns = [F.col(c) for c in ("z", "w", "n", "ties", "zeros")]
+    p = 2.0 * normal_tail(F.abs("z")) if method == "asymptotic" else signed_rank_p(*columns)
     return rows.withColumn("p", p).drop("ties", "zeros")
 
 
+def _tests(rows: DataFrame, override_alt: str | None) -> DataFrame:
+    """(scenario, mean_a, mean_b, mwyu, cohen_d, wilcoxon, n_a, n_b); the moments are taken once, a row a scenario."""
+    rows = _measured(rows)
+    moments = materialise(group_moments(rows), "moments")
+    u = mann_whitney(rows, override_alt, moments=moments).select("scenario", F.col("p").alias("mwyu"))
+    w = wilcoxon(rows, moments=moments).select("scenario", F.col("p").alias("wilcoxon"))
+    joined = moments.join(u, "scenario", "left").join(cohen_d(rows, moments), "scenario", "left").join(w, "scenario", "left")
+    return joined.select("scenario", "mean_a", "mean_b", "mwyu", "cohen_d", "wilcoxon", "n_a", "n_b")
+
+
 def compare(df: DataFrame, a: str = "A", b: str = "B", extra_tasks: tuple[str, ...] = (), override_alt: str | None = None) -> DataFrame:
     """One row per task and ``overall``: means, lengths, rank tests and effect size of one metric.
 
     The raw values stay in the input, which is their long form; they are never collected.
     """
     tasks = [*TASKS, *extra_tasks, "overall"]
-    rows = with_overall(df).where(F.col("scenario").isin(tasks))
-    u = mann_whitney(rows, override_alt).select("scenario", F.col("p").alias("mwyu"))
-    w = wilcoxon(rows).select("scenario", F.col("p").alias("wilcoxon"))
-    means = group_moments(rows).select("scenario", "mean_a", "mean_b", "n_a", "n_b")
-    joined = means.join(u, "scenario", "left").join(cohen_d(rows), "scenario", "left").join(w, "scenario", "left")
-    return joined.select(
+    tested = _tests(with_overall(df).where(F.col("scenario").isin(tasks)), override_alt)
+    return tested.select(
         "scenario", F.lit(a).alias("A"), F.lit(b).alias("B"), "mean_a", "mean_b", "mwyu", "cohen_d", "wilcoxon", "n_a", "n_b"
     )
+
+
+def compare_metrics(
+    df: DataFrame,
+    metrics: tuple[str, ...] = ("mcc", "f1"),
+    a: str = "A",
+    b: str = "B",
+    extra_tasks: tuple[str, ...] = (),
+    override_alt: str | None = None,
+) -> DataFrame:
+    """One row per task and ``overall``, with the columns of ``compare`` once for each metric and named after it.
+
+    ``df`` is (scenario, side, key) with one column a metric. Every metric of a task is a group of its own, so all are
+    tested in the same jobs; a task without a value of one metric has nulls there.
+    """
+    tasks = [*TASKS, *extra_tasks, "overall"]
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    long = with_overall(df).where(F.col("scenario").isin(tasks)).select("scenario", "side", "key", F.inline(values))
+    tested = _tests(long.withColumn("scenario", F.to_json(F.array("metric", "scenario"))).drop("metric"), override_alt)
+    parts = F.from_json("scenario", "array<string>")
+    named = {
+        "mean_A": "mean_a", "mean_B": "mean_b", "mwyu": "mwyu", "cohend": "cohen_d", "wilcoxon": "wilcoxon", "n_A": "n_a", "n_B": "n_b",
+    }
+    return (
+        tested.select("*", parts[0].alias("metric"), parts[1].alias("task"))
+        .groupBy(F.col("task").alias("scenario"), F.lit(a).alias("A"), F.lit(b).alias("B"))
+        .agg(*[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{out}_{m}") for m in metrics for out, c in named.items()])
+    )

@@ -311,9 +311,19 @@ mwz as (select scenario, alternative, u, ((case when alternative = 'greater' the
     / sqrt(na * nb / 12 * (n + 1 - ties / (n * (n - 1)))) as z from mw2)"""
 
 
-@query("g05_mann_whitney", f"with {SIDES}, {_MW.format('sides')} select scenario, alternative, u, round(z, 6) as z from mwz")
+def _tail(z: str) -> str:
+    """P(Z > z): the odd series of the normal density, its terms by logarithms."""
+    far = f"greatest(abs({z}), 1e-300)"
+    terms = f"[exp((2 * k + 1) * ln({far}) - lgamma(2e0 * k + 2) + k * ln(2e0) + lgamma(k + 1e0)) for k in range(120)]"
+    upper = f"(0.5e0 - exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum({terms}))"
+    return f"(case when {z} < 0 then 1 - {upper} else {upper} end)"
+
+
+@query("g05_mann_whitney", f"""with {SIDES}, {_MW.format('sides')}
+select scenario, alternative, u, round(z, 6) as z, round({_tail('z')}, 9) as p from mwz""")
 def g05(spark, sf):
-    return stats.mann_whitney(sides(spark, sf)).select("scenario", "alternative", "u", F.round("z", 6).alias("z"))
+    tested = stats.mann_whitney(sides(spark, sf))
+    return tested.select("scenario", "alternative", "u", F.round("z", 6).alias("z"), F.round("p", 9).alias("p"))
 
 
 _WILCOXON = """pos as (select *, row_number() over (partition by scenario, side order by key) as plain,
@@ -330,9 +340,10 @@ wz as (select scenario, n, least(up, down) as w, (least(up, down) - n * (n + 1e0
     / sqrt((n * (n + 1e0) * (2e0 * n + 1) - 0.5e0 * ties) / 24) as z from ws)"""
 
 
-@query("g06_wilcoxon", f"with {SIDES}, {_WILCOXON.format('sides')} select scenario, n, w, round(z, 6) as z from wz")
+@query("g06_wilcoxon", f"""with {SIDES}, {_WILCOXON.format('sides')}
+select scenario, n, w, round(z, 6) as z, round(2 * {_tail('abs(z)')}, 9) as p from wz""")
 def g06(spark, sf):
-    return stats.wilcoxon(sides(spark, sf)).select("scenario", "n", "w", F.round("z", 6).alias("z"))
+    return stats.wilcoxon(sides(spark, sf)).select("scenario", "n", "w", F.round("z", 6).alias("z"), F.round("p", 9).alias("p"))
 
 
 _COHEN = """moments as (select scenario, count(case when side = 'A' then value end) as na, count(case when side = 'B' then value end) as nb,
@@ -346,18 +357,61 @@ def g07(spark, sf):
     return rounded(stats.cohen_d(sides(spark, sf)), "scenario")
 
 
-@query("g08_compare", f"""with {SIDES}, every as (select * from sides union all select 'overall', side, key, value from sides),
+_EVERY = "every as (select * from sides union all select 'overall', side, key, value from sides)"
+
+
+_COMPARED = f"""with {SIDES}, {_EVERY},
 {_MW.format('every')}, {_COHEN.format('every')}, {_WILCOXON.format('every')}
 select c.scenario, 'old' as "A", 'new' as "B", c.na as n_a, c.nb as n_b, round(c.ma, 6) as mean_a, round(c.mb, 6) as mean_b,
-  round(c.cohen_d, 6) as cohen_d from cohen c join mwz on mwz.scenario = c.scenario join wz on wz.scenario = c.scenario""")
+  round(c.cohen_d, 6) as cohen_d, round({_tail('mwz.z')}, 6) as mwyu, round(2 * {_tail('abs(wz.z)')}, 6) as wilcoxon
+from cohen c join mwz on mwz.scenario = c.scenario join wz on wz.scenario = c.scenario"""
+
+
+@query("g08_compare", _COMPARED)
 def g08(spark, sf):
-    out = stats.compare(sides(spark, sf), "old", "new")
-    return rounded(out.drop("mwyu", "wilcoxon"), "scenario", "A", "B", "n_a", "n_b")
+    return rounded(stats.compare(sides(spark, sf), "old", "new"), "scenario", "A", "B", "n_a", "n_b")
 
 
-@query("g08_compare_p_values")
+@query("g08_compare_p_values", f"select scenario, mwyu, wilcoxon from ({_COMPARED})")
 def g08_p(spark, sf):
-    return stats.compare(sides(spark, sf), "old", "new")
+    return rounded(stats.compare(sides(spark, sf), "old", "new").select("scenario", "mwyu", "wilcoxon"), "scenario")
+
+
+_METRICS = {"mcc": "l_discount * 10e0 - l_tax", "f1": "l_tax * 5e0 + l_discount"}
+
+
+def _g08_metrics_sql() -> str:
+    # Every metric of a task is a group of its own; the groups are then laid side by side.
+    rows = " union all ".join(
+        f"select '{m}:' || s.scenario as scenario, side, key, {value} as value from wide s" for m, value in _METRICS.items()
+    )
+    cols = []
+    for m in _METRICS:
+        for out, c in {
+            "mean_A": "c.ma", "mean_B": "c.mb", "cohend": "c.cohen_d", "mwyu": _tail("mwz.z"), "wilcoxon": f"2 * {_tail('abs(wz.z)')}",
+        }.items():
+            cols.append(f"max(case when c.scenario like '{m}:%' then round({c}, 6) end) as {out}_{m}")
+        cols += [f"max(case when c.scenario like '{m}:%' then c.n{x} end) as n_{x.upper()}_{m}" for x in "ab"]
+    return f"""with base as (select [{_TASKS}][l_linenumber] as scenario, case l_returnflag when 'A' then 'A' else 'B' end as side,
+  concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as key, l_discount, l_tax from lineitem),
+wide as (select * from base union all select 'overall', side, key, l_discount, l_tax from base), every as ({rows}),
+{_MW.format('every')}, {_COHEN.format('every')}, {_WILCOXON.format('every')}
+select split_part(c.scenario, ':', 2) as scenario, 'old' as "A", 'new' as "B", {', '.join(cols)}
+from cohen c join mwz on mwz.scenario = c.scenario join wz on wz.scenario = c.scenario group by 1"""
+
+
+@query("g08_compare_metrics", _g08_metrics_sql())
+def g08_metrics(spark, sf):
+    task = F.get(F.array(*[F.lit(t) for t in stats.TASKS]), F.col("l_linenumber") - 1)
+    rows = I.table(spark, sf, "lineitem").select(
+        task.alias("scenario"),
+        F.when(F.col("l_returnflag") == "A", "A").otherwise("B").alias("side"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"),
+        (F.col("l_discount") * 10.0 - F.col("l_tax")).alias("mcc"),
+        (F.col("l_tax") * 5.0 + F.col("l_discount")).alias("f1"),
+    )
+    counts = [f"n_{x}_{m}" for m in _METRICS for x in "AB"]
+    return rounded(stats.compare_metrics(rows, tuple(_METRICS), "old", "new"), "scenario", "A", "B", *counts)
 
 
 # Seven tasks; the last value of each list is the unknown mark.

@@ -405,6 +405,59 @@ def test_exact_method_counts_arrangements(spark):
     assert got["w"] == 4 and got["p"] == pytest.approx(min(1.0, 2 * sum(v <= 4 for v in sums) / 16))
 
 
+def test_tails_equal_the_error_function_and_enumeration(spark):
+    from itertools import combinations, product
+
+    from linescope.functions import tails
+
+    zs = [0.0, 1e-9, 0.5, 1.7, 2.999, 3.0, 3.001, 5.0, 9.0, 30.0, 60.0]
+    df = spark.createDataFrame([(z,) for z in [*zs, *(-z for z in zs)]] + [(None,), (float("nan"),)], "z double")
+    for r in df.select("z", tails.normal_tail(F.col("z")).alias("p")).collect():
+        if r["z"] is None or math.isnan(r["z"]):
+            assert r["p"] is None
+        else:
+            assert r["p"] == pytest.approx(0.5 * math.erfc(r["z"] / math.sqrt(2.0)), rel=1e-11, abs=1e-300)
+    cases, want = [], []
+    for a, b in [(1, 1), (1, 4), (3, 2), (4, 4), (2, 6)]:
+        n = set(range(a + b))
+        us = [sum(x > y for x in pick for y in n - set(pick)) for pick in combinations(range(a + b), a)]
+        for u in range(a * b + 1):
+            cases.append((len(cases), 0.3, float(u), float(a), float(b), 0.0))
+            want.append(sum(v >= u for v in us) / len(us))
+    cases += [(len(cases), 0.0, 1.0, 2.0, 2.0, 6.0), (len(cases) + 1, None, 0.0, 0.0, 3.0, 0.0)]
+    df = spark.createDataFrame(cases, "i int, z double, u double, a double, b double, t double")
+    got = df.select("i", tails.rank_sum_tail(*(F.col(c) for c in "zuabt")).alias("p")).orderBy("i").collect()
+    assert [r["p"] for r in got[:-2]] == pytest.approx(want) and got[-2]["p"] == pytest.approx(0.5) and got[-1]["p"] is None
+    cases, want = [], []
+    for n in range(1, 7):
+        sums = [sum(r + 1 for r, s in enumerate(signs) if s) for signs in product((0, 1), repeat=n)]
+        for w in range(n * (n + 1) // 2 + 1):
+            cases.append((len(cases), 0.3, float(w), float(n), 0.0, 0))
+            want.append(min(1.0, 2 * sum(v <= w for v in sums) / len(sums)))
+    cases += [(len(cases), 0.0, 0.0, 0.0, 0.0, 0), (len(cases) + 1, 0.0, 1.0, 2.0, 0.0, 1)]
+    df = spark.createDataFrame(cases, "i int, z double, w double, n double, t double, zeros int")
+    got = df.select("i", tails.signed_rank_p(*(F.col(c) for c in ("z", "w", "n", "t", "zeros"))).alias("p")).orderBy("i").collect()
+    assert [r["p"] for r in got] == pytest.approx([*want, 1.0, 1.0])
+
+
+def test_several_metrics_equal_one_comparison_each(spark):
+    draw = random.Random(5)
+    data = [
+        (stats.TASKS[i % 2], "AB"[i % 3 == 0], f"k{i}", draw.random(), None if i % 7 == 0 else draw.choice([0.1, 0.2, 0.4]), "kept out")
+        for i in range(60)
+    ]
+    df = spark.createDataFrame(data, "scenario string, side string, key string, mcc double, f1 double, value string")
+    got = {r["scenario"]: r for r in stats.compare_metrics(df, ("mcc", "f1"), "old", "new").collect()}
+    assert set(got) == {*stats.TASKS[:2], "overall"}
+    for m in ("mcc", "f1"):
+        for one in stats.compare(df.drop("value").withColumn("value", F.col(m)), "old", "new").collect():
+            r = got[one["scenario"]]
+            assert (r["A"], r["B"], r[f"n_A_{m}"], r[f"n_B_{m}"]) == ("old", "new", one["n_a"], one["n_b"])
+            for mine, its in {"mean_A": "mean_a", "mwyu": "mwyu", "cohend": "cohen_d", "wilcoxon": "wilcoxon"}.items():
+                assert r[f"{mine}_{m}"] == pytest.approx(one[its])
+    assert stats.compare_metrics(df.where("false")).count() == 0
+
+
 def test_missing_values_leave_the_rank_tests(spark):
     plain = two_sides(spark, [1.0, 4.0, 6.0], [2.0, 3.0, 5.0])
     holes = plain.unionByName(spark.createDataFrame([("s", side, 900 + i, v) for i, (side, v) in enumerate(
