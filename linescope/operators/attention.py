@@ -240,17 +240,12 @@ def statement_weights(df: DataFrame, weights: DataFrame, local_share: float = LO
     """(func_id, stmt_id, span_start, tokens, weight) of every statement.
 
     ``weight`` is the mean over the first run of ``local_share * local + (1 - local_share) * global``.
-    The global part is summed per statement from distinct tokens, so the lookup moves small rows;
+    The global part is summed per statement from rows of one token, so the lookup moves small rows;
     the token list stays on the statement row.
     """
     spans = statement_spans(df).withColumn("tokens", F.transform("span_tokens", bare_token))
     tokens = exploded(spans, ["func_id", "stmt_id"], F.col("tokens"), "token")
-    once = tokens.groupBy("func_id", "stmt_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    summed = (
-        lookup(once, weights)
-        .groupBy("func_id", "stmt_id")
-        .agg(F.sum(F.col("n") * F.col("global_weight")).alias("_global"))
-    )
+    summed = lookup(tokens, weights).groupBy("func_id", "stmt_id").agg(F.sum("global_weight").alias("_global"))
     local = F.aggregate("span_weights", F.lit(0.0), lambda a, x: a + x)
     total = F.lit(local_share) * local + F.lit(1.0 - local_share) * F.col("_global")
     return spans.join(summed, ["func_id", "stmt_id"]).select(

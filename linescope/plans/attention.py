@@ -287,7 +287,8 @@ sw as (select b.func_id, b.stmt_id, count(*) as n, avg(0.7e0 * b.w + (1e0 - 0.7e
 
 
 def weighted_statements(spark, sf):
-    rows = A.layer_mean(statements(spark, sf))
+    # Words and spans both read the parsed statements, so a text is parsed once.
+    rows = session.materialise(A.layer_mean(statements(spark, sf)), "statements")
     return A.statement_weights(rows, A.token_weights(A.words(rows)))
 
 
@@ -376,8 +377,8 @@ _KEPT = """ select func_id, cast(stmt_id as int) as stmt_id, count(*) as kept, c
 
 
 def _simplified(spark, sf, strategy):
-    rows = A.layer_mean(statements(spark, sf))
-    # Both tables feed several branches, so they are written once.
+    # The tables feed several branches, so they are written once.
+    rows = session.materialise(A.layer_mean(statements(spark, sf)), "statements")
     tokens = session.materialise(A.token_weights(A.words(rows)), "token-table")
     ranked = session.materialise(rounded(A.statement_weights(rows, tokens)), "statement-weights")
     tokens = rounded(tokens)
