@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linescope.functions import text as T
 from linescope.functions.rows import exploded
-from linescope.operators import diffs, scopes
+from linescope.operators import diffs, scopes, slices
 from linescope.plans import inputs as I
 from linescope.plans.registry import query
 
@@ -181,3 +181,23 @@ def c13_legacy(spark, sf):
 def c14(spark, sf):
     df = I.documents(spark, sf).withColumn("code", F.replace("code", F.lit(".\n"), F.lit(".##<END>##\n")))
     return df.select("key", T.clean_changes(F.col("code")).alias("code"))
+
+
+_BARE = f"regexp_replace(regexp_replace(line, '{slices.SHIFT}', '+=', 'g'), '{slices.COMPARISON}', ' ', 'g')"
+
+
+@query("c15_program_slice", f"""with recursive {I.ASSIGNED},
+b as materialized (select key, line_no, {_BARE} as line from x0),
+def as materialized (select distinct key, line_no, unnest(list_concat(regexp_extract_all(line, '{slices.DEFINED}', 1),
+  regexp_extract_all(line, '{slices.STEPPED}', 1))) as name from b),
+used as (select distinct key, line_no, unnest(regexp_extract_all(regexp_replace(line, '{slices.PLAIN}', ' ', 'g'), '{slices.NAME}')) as name from b),
+edges as materialized (select distinct u.key, u.line_no as below, d.line_no as above
+  from used u asof join def d on u.key = d.key and u.name = d.name and u.line_no > d.line_no),
+reached as (select key, line_no from x0 where {I.CHANGED}
+  union select e.key, e.above from reached r join edges e on e.key = r.key and e.below = r.line_no),
+cut as (select x.key, string_agg(x.line, chr(10) order by x.line_no) as code
+  from x0 x join reached r on r.key = x.key and r.line_no = x.line_no group by x.key)
+select d.doc_id as key, cast(length(d.lang) as int) as severity, coalesce(c.code, '') as code
+from documents d left join cut c on c.key = d.doc_id""")
+def c15(spark, sf):
+    return slices.cut_slice(I.assigned(spark, sf))

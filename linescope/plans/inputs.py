@@ -68,6 +68,21 @@ vul as (select key, line_no from x0 where {CHANGED}),
 n_lines as (select key, max(line_no) as n from x0 group by key)"""
 
 
+def assigned(spark: SparkSession, sf: str) -> DataFrame:
+    """(key, severity, func_before, vul_line): every sentence is a line that assigns its other words to its first one;
+    lines with a digit or under 24 characters are marked."""
+    docs = table(spark, sf, "documents")
+    sentences = F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n", -1)
+    lines = F.transform(sentences, lambda x: F.regexp_replace(x, "^([^ ]+) ", "$1 = "))
+    rows = docs.select(F.col("doc_id").alias("key"), F.length("lang").alias("severity"), lines.alias("lines"))
+    marks = F.array_compact(F.transform("lines", lambda x, i: F.when(x.rlike("[0-9]") | (F.length(x) < 24), (i + 1).cast("string"))))
+    return spread(rows, "key").select("key", "severity", F.array_join("lines", "\n").alias("func_before"), F.array_join(marks, " ").alias("vul_line"))
+
+
+ASSIGNED = """s0 as (select doc_id as key, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) as ls from documents),
+x0 as (select key, generate_subscripts(ls, 1) as line_no, regexp_replace(unnest(ls), '^([^ ]+) ', '\\1 = ') as line from s0)"""
+
+
 def commented(spark: SparkSession, sf: str) -> DataFrame:
     """(key, code): the texts with a comment form behind the lines, by line position."""
 
