@@ -54,11 +54,55 @@ DEPTH = 6
 SEED = 7
 
 
+#: Numbers that are summed at once, so that a sum of all before a place does not start at the first one.
+BLOCK = 256
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def _sums_before(numbers: Column) -> Column:
+    """The sum of all numbers before each place, by blocks."""
+
+    def placed(numbers: Column, starts: Column) -> Column:
+        def one(_: Column, k: Column) -> Column:
+            block = F.floor(k / BLOCK).cast("int")
+            return F.get(starts, block) + _sum(F.slice(numbers, block * BLOCK + 1, k - block * BLOCK))
+
+        return F.transform(numbers, one)
+
+    def started(numbers: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.size(numbers) / BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda b: _sum(F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK))))
+        starts = bind(lambda x: F.transform(x, lambda _, b: _sum(F.slice(x, F.lit(1), b))), sums)
+        return bind(placed, numbers, starts)
+
+    return bind(started, numbers)
+
+
+def _first_from(rows: Column, field: str, least: Column) -> Column:
+    """Place, from 0, of the first row whose ascending field is at least so much; the row count if none is."""
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        below = F.get(rows, middle)[field] < least
+        return F.struct(
+            F.when((s["low"] < s["high"]) & below, middle + 1).otherwise(s["low"]).alias("low"),
+            F.when((s["low"] < s["high"]) & ~below, middle).otherwise(s["high"]).alias("high"),
+        )
+
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(rows) + 1.0)).cast("int"))
+    return F.aggregate(halvings, F.struct(F.lit(0).alias("low"), F.size(rows).alias("high")), step, lambda s: s["low"])
+
+
 def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
     """(key, path, place, part, value, prefix, before, name, after): every candidate; ``place`` is the number, from 0, of
     the word it starts in, ``part`` its number in the word, or below 0 for a candidate that only its context shows.
 
-    A candidate by pattern that is part of one by context is left to it.
+    A candidate by pattern that is part of one by context, with the name or user before it, is left to it. Both kinds are
+    in the order of the text, so each looks the other up by its word; the time grows with the candidates, not their pairs,
+    but for those inside one word.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
 
@@ -66,11 +110,14 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
         return F.regexp_count(x, F.lit(WORD_BREAK))
 
     def by_context(words: Column, body: Column) -> Column:
-        """Structs as of the pattern beside ``last``, the word that the value ends in."""
+        """Structs as of the pattern beside ``last``, the word that the value ends in, and ``whole``, the match."""
 
-        def listed(parts: Column, matches: Column) -> Column:
+        def counted(parts: Column, matches: Column) -> Column:
             # White space never lies across the ends of a match, so its runs count the words before it.
             runs = F.transform(matches, lambda m, k: breaks(F.get(parts, k)) + breaks(m))
+            return bind(listed, parts, matches, _sums_before(runs))
+
+        def listed(parts: Column, matches: Column, sums: Column) -> Column:
             lead = F.when(body.rlike(f"^{WORD_BREAK}"), 1).otherwise(0)
 
             def one(m: Column, k: Column) -> Column:
@@ -78,8 +125,7 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
                     quote = F.regexp_extract(head, "[\"'`]$", 0)
                     rest = F.substr(m, F.length(head) + 1)
                     value = F.when((quote != "") & F.endswith(rest, quote), F.substr(rest, F.lit(1), F.length(rest) - 1)).otherwise(rest)
-                    before = F.aggregate(F.slice(runs, F.lit(1), k), F.lit(0), lambda a, x: a + x)
-                    return bind(placed, before + breaks(F.get(parts, k)) + breaks(head) - lead, value, head)
+                    return bind(placed, F.get(sums, k) + breaks(F.get(parts, k)) + breaks(head) - lead, value, head)
 
                 def placed(place: Column, value: Column, head: Column) -> Column:
                     def near(i: Column) -> Column:
@@ -95,23 +141,26 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFr
                         near(place - 2).alias("name"),
                         near(last + 1).alias("after"),
                         last.alias("last"),
+                        m.alias("whole"),
                     )
 
                 return bind(made, F.regexp_extract(m, HEAD, 0))
 
             return F.filter(F.transform(matches, one), lambda c: c["value"] != "")
 
-        return bind(listed, F.split(body, CONTEXT, -1), F.regexp_extract_all(body, F.lit(f"({CONTEXT})"), F.lit(1)))
+        return bind(counted, F.split(body, CONTEXT, -1), F.regexp_extract_all(body, F.lit(f"({CONTEXT})"), F.lit(1)))
 
     def joined(pattern: Column, context: Column) -> Column:
+        def between(rows: Column, low: Column, high: Column) -> Column:
+            return bind(lambda a, b: F.slice(rows, a + 1, F.greatest(b - a, F.lit(0))), low, high)
+
         def inner(p: Column) -> Column:
-            return F.exists(
-                context,
-                lambda c: (p["place"] >= c["place"]) & (p["place"] <= c["last"]) & (c["value"] != p["value"]) & F.contains(c["value"], p["value"]),
-            )
+            near = between(context, _first_from(context, "last", p["place"]), _first_from(context, "place", p["place"] + 1))
+            return F.exists(near, lambda c: (c["value"] != p["value"]) & F.contains(c["whole"], p["value"]))
 
         def known(c: Column) -> Column:
-            return F.exists(pattern, lambda p: (p["place"] == c["place"]) & (p["value"] == c["value"]))
+            near = between(pattern, _first_from(pattern, "place", c["place"]), _first_from(pattern, "place", c["place"] + 1))
+            return F.exists(near, lambda p: p["value"] == c["value"])
 
         fields = ("place", "part", "value", "prefix", "before", "name", "after")
         more = F.transform(F.filter(context, lambda c: ~known(c)), lambda c: F.struct(*[c[x].alias(x) for x in fields]))
