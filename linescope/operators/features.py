@@ -22,6 +22,14 @@ MIN_CHAR_DOCUMENTS = 10
 PIECE = 1 << 16  # characters of a text that one row of n-grams comes from
 
 
+def by_repetition(df: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """Rows whose key stands on one row, and the others; only keys move to find them. NULL is a key as well."""
+    again = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_again"))
+    held = small_side(again, "repeated-keys")
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    return df.join(held, same, "left_anti"), df.join(held, same, "left_semi")
+
+
 def term_counts(df: DataFrame, terms: Column, key: str = "key") -> DataFrame:
     """(key, term, tf) from an array of terms per row: runs of the sorted terms, a projection."""
 
@@ -45,6 +53,43 @@ def term_counts(df: DataFrame, terms: Column, key: str = "key") -> DataFrame:
     return inlined(df, [F.col(key).alias("key")], bind(runs, held), "term")
 
 
+def ngram_profile(df: DataFrame, words: Column, max_n: int, key: str = "key") -> DataFrame:
+    """(key, n, grams, distinct_grams, first_gram, last_gram) of the word n-grams of every key, by length.
+
+    A key on one row is profiled inside that row; the n-grams of other keys are counted together.
+    """
+    single, shared = by_repetition(df, key)
+
+    def profile(n: int) -> Column:
+        return bind(
+            lambda terms: F.struct(
+                F.lit(n).alias("n"),
+                F.size(terms).cast("bigint").alias("grams"),
+                F.size(F.array_distinct(terms)).cast("bigint").alias("distinct_grams"),
+                F.array_min(terms).alias("first_gram"),
+                F.array_max(terms).alias("last_gram"),
+            ),
+            T.word_ngrams(F.col("_words"), n, n),
+        )
+
+    def worded(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(key).alias("key"), words.alias("_words"))
+
+    inside = inlined(worded(single), ["key"], F.array(*[profile(n) for n in range(1, max_n + 1)]), "first_gram")
+    sized = F.array(
+        *[F.struct(F.lit(n).alias("n"), T.word_ngrams(F.col("_words"), n, n).alias("terms")) for n in range(1, max_n + 1)]
+    )
+    rows = exploded(inlined(worded(shared), ["key"], sized, "n"), ["key", "n"], F.col("terms"), "term")
+    once = rows.groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    together = once.groupBy("key", "n").agg(
+        F.sum("tf").alias("grams"),
+        F.count(F.lit(1)).alias("distinct_grams"),
+        F.min("term").alias("first_gram"),
+        F.max("term").alias("last_gram"),
+    )
+    return inside.unionByName(together)
+
+
 def corpus_frequency(df: DataFrame, terms: Column) -> DataFrame:
     """(term, freq) over the whole corpus."""
     return exploded(df, [], terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))

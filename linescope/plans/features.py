@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linescope import session
 from linescope.functions import text as T
-from linescope.functions.rows import exploded, inlined
+from linescope.functions.rows import exploded
 from linescope.functions.vectors import parse_vector
 from linescope.operators import embeddings as E
 from linescope.operators import features as X
@@ -50,18 +50,7 @@ def d02(spark, sf):
 select key, n, count(*) as grams, count(distinct term) as distinct_grams, min(term) as first_gram, max(term) as last_gram
 from grams group by key, n""")
 def d03(spark, sf):
-    docs = I.documents(spark, sf).select("key", T.chunk_tokens(F.col("code")).alias("toks"))
-    sized = F.array(
-        *[F.struct(F.lit(n).alias("n"), T.word_ngrams(F.col("toks"), n, n).alias("terms")) for n in range(1, 5)]
-    )
-    rows = exploded(inlined(docs, ["key"], sized, "n"), ["key", "n"], F.col("terms"), "term")
-    once = rows.groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return once.groupBy("key", "n").agg(
-        F.sum("tf").alias("grams"),
-        F.count(F.lit(1)).alias("distinct_grams"),
-        F.min("term").alias("first_gram"),
-        F.max("term").alias("last_gram"),
-    )
+    return X.ngram_profile(I.documents(spark, sf), T.chunk_tokens(F.col("code")), 4)
 
 
 def _counts(spark, sf):
