@@ -45,3 +45,38 @@ def test_ngram_profile_of_single_rows_moves_no_ngram(spark):
     df = spark.createDataFrame(docs(), "key long, code string")
     out = X.ngram_profile(df, T.chunk_tokens(F.col("code")), 4)
     assert "Exchange hashpartitioning" not in final_plan(out)
+
+
+@pytest.mark.parametrize("block", [7, 250_000])
+def test_frequent_ngrams_lose_nothing(spark, monkeypatch, block):
+    monkeypatch.setattr(X, "BLOCK_TERMS", block)
+    data = docs()
+    df = spark.createDataFrame(data, "key long, code string")
+    seen = Counter(g for _, t in data for g in {g for n in (1, 2, 3, 4) for g in grams(t.split(), n)})
+    for low in (1, 3, 4.5):
+        found = X.frequent_ngrams(df, T.chunk_tokens(F.col("code")), 4, low)
+        assert {r["term"]: r["df"] for part in found for r in part.collect()} == {g: c for g, c in seen.items() if c >= low}
+
+
+@pytest.mark.parametrize("config", [5, 8])
+def test_weights_look_up_terms_where_they_are(spark, monkeypatch, config):
+    monkeypatch.setattr(X, "MIN_SHARE", 0.1)
+    data = [*docs(), (None, "wax wax"), (7, "wax wbx")]
+    df = spark.createDataFrame(data, "key long, code string")
+    per_row = [(k, Counter(g for n in (1, 2, 3, 4) for g in grams(t.split(), n))) for k, t in data]
+    seen = Counter(g for _, c in per_row for g in c)
+    kept = {g: math.log((len(data) + 1) / (c + 1)) + 1 for g, c in seen.items() if c >= 0.1 * len(data)}
+    raw = [(k, g, tf * (kept[g] if config == 8 else 1)) for k, c in per_row for g, tf in c.items() if g in kept]
+    square = Counter()
+    for k, _, w in raw:
+        square[k] += w * w
+    want = sorted((k, g, round(w / math.sqrt(square[k]), 9)) for k, g, w in raw if k is not None) if config == 8 else raw
+    for block in (5, 250_000):
+        monkeypatch.setattr(X, "BLOCK_TERMS", block)
+        out = X.configured_features(df, config)
+        got = [(r["key"], r["term"], r["weight"]) for r in out.collect()]
+        if config == 8:
+            assert sorted((k, g, round(w, 9)) for k, g, w in got) == want
+        else:
+            assert Counter(got) == Counter(want)
+        assert "hashpartitioning(term" not in final_plan(out)
