@@ -80,3 +80,20 @@ def test_weights_look_up_terms_where_they_are(spark, monkeypatch, config):
         else:
             assert Counter(got) == Counter(want)
         assert "hashpartitioning(term" not in final_plan(out)
+
+
+def test_subwords_of_repeated_keys_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(X, "MIN_CHAR_DOCUMENTS", 2)
+    data = [(1, "abcab abc"), (2, "abcx"), (2, "zabc"), (None, "qqq"), (None, "qqqab"), (5, "qqq " * 9), (6, None), (7, "")]
+    df = spark.createDataFrame(data, "key long, code string")
+    chars = Counter((k, t[i : i + n]) for k, t in data if t for n in range(2, 7) for i in range(len(t) - n + 1))
+    seen = Counter(g for k, g in chars if len(g) > 2)
+    sub = {g.strip() for g, c in seen.items() if c >= 2}
+    sub = {g for g in sub if len(g) > 1 and " " not in g}
+    want = {(k, g, c) for (k, g), c in chars.items() if g in sub}
+    for piece, block in ((1 << 16, 250_000), (6, 3)):
+        monkeypatch.setattr(X, "PIECE", piece)
+        monkeypatch.setattr(X, "BLOCK_TERMS", block)
+        out = X.subword_features(df).where("block = 'char'").select("key", "term", "tf")
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
