@@ -97,3 +97,12 @@ def test_subwords_of_repeated_keys_and_long_texts(spark, monkeypatch):
         out = X.subword_features(df).where("block = 'char'").select("key", "term", "tf")
         got = [tuple(r) for r in out.collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_pooling_is_a_plain_sum_per_dimension(spark):
+    counts = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (2, "zz", 4)], "key long, term string, tf long")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [5.0, 0.0])], "term string, vector array<double>")
+    out = E.mean_pool(spark.createDataFrame([(1,), (2,)], "key long"), counts, vectors, 2)
+    assert {r["key"]: r["vector"] for r in out.collect()} == {1: [2.0, 1.5], 2: [0.0, 0.0]}
+    plan = final_plan(out)
+    assert "ObjectHashAggregate" not in plan and "hashpartitioning(term" not in plan
