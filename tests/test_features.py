@@ -106,3 +106,15 @@ def test_pooling_is_a_plain_sum_per_dimension(spark):
     assert {r["key"]: r["vector"] for r in out.collect()} == {1: [2.0, 1.5], 2: [0.0, 0.0]}
     plan = final_plan(out)
     assert "ObjectHashAggregate" not in plan and "hashpartitioning(term" not in plan
+
+
+def test_terms_of_a_side_are_looked_up_where_they_are(spark):
+    df = spark.createDataFrame([(1, "ab ab cd", "cd"), (2, "", "zz")], "key long, prev_data string, cur_data string")
+    vocab = spark.createDataFrame([("ab", 0), ("cd", 1)], "term string, term_id int")
+    vectors = spark.createDataFrame([("ab", [1.0]), ("cd", [4.0])], "term string, vector array<double>")
+    out = E.change_features(df, vectors, vocab, 1, 2)
+    assert {tuple(r) for r in out.where("feature_id > 1").collect()} == {(1, 2, 2.0), (1, 3, 1.0), (1, 5, 1.0)}
+    assert "hashpartitioning(term" not in final_plan(out)
+    sides = E.side_counts(df, vocab)
+    assert {tuple(r) for r in sides.collect()} == {(1, "prev", "ab", 2), (1, "prev", "cd", 1), (1, "cur", "cd", 1), (2, "prev", None, None)}
+    assert "hashpartitioning(term" not in final_plan(sides)
