@@ -108,6 +108,13 @@ def test_pooling_is_a_plain_sum_per_dimension(spark):
     assert "ObjectHashAggregate" not in plan and "hashpartitioning(term" not in plan
 
 
+def test_null_vectors_count_as_zeros(spark):
+    counts = spark.createDataFrame([(1, "a", 3), (1, "n", 1), (2, "n", 4)], "key long, term string, tf long")
+    vectors = spark.createDataFrame([("a", [4.0, None]), ("n", None)], "term string, vector array<double>")
+    out = E.mean_pool(spark.createDataFrame([(1,), (2,)], "key long"), counts, vectors, 2)
+    assert {r["key"]: r["vector"] for r in out.collect()} == {1: [3.0, 0.0], 2: [0.0, 0.0]}
+
+
 def test_terms_of_a_side_are_looked_up_where_they_are(spark):
     df = spark.createDataFrame([(1, "ab ab cd", "cd"), (2, "", "zz")], "key long, prev_data string, cur_data string")
     vocab = spark.createDataFrame([("ab", 0), ("cd", 1)], "term string, term_id int")
