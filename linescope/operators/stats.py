@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linescope.functions.tails import normal_tail, rank_sum_tail, signed_rank_p
 from linescope.operators.ranking import hash_rank, running_distinct, value_rank
-from linescope.session import materialise
+from linescope.session import materialise, small_side
 
 # The compared tasks.
 TASKS = [
@@ -116,7 +116,7 @@ def paired(df: DataFrame, seed: object = 42, moments: DataFrame | None = None) -
     sizes = (moments or group_moments(df)).select("scenario", "n_a", "n_b")
     own = F.when(_is("A"), F.col("n_a")).otherwise(F.col("n_b"))
     other = F.when(_is("A"), F.col("n_b")).otherwise(F.col("n_a"))
-    sized = df.join(sizes, "scenario").withColumn("_larger", own > other)
+    sized = df.join(small_side(sizes, "sizes"), "scenario").withColumn("_larger", own > other)
     part = ["scenario", "side"]
     sampled = hash_rank(sized.where("_larger"), "key", seed, part=part, rank="at")
     plain = value_rank(sized.where("not _larger"), "key", part=part, rank="at")

@@ -38,3 +38,17 @@ def test_line_scopes_do_not_shuffle(spark, name):
     kind = {"c06": "whole", "c12": "surrounding_only", "c13": "random_context"}.get(name[:3])
     out = scopes.cut_scope(df, kind) if kind else diffs.annotate_changed_lines(df)
     assert "Exchange" not in plan(out)
+
+
+def test_sizes_of_sides_come_to_the_rows(spark):
+    """Rows of a comparison do not meet the sizes of their few scenarios by a shuffle on the scenario alone."""
+    import re
+
+    from linescope.operators import stats
+
+    rows = [("s", "AB"[i % 3 == 0], f"k{i:02d}", float(i)) for i in range(30)] + [("t", "A", "k", 1.0), (None, "B", "k", 2.0)]
+    df = spark.createDataFrame(rows, "scenario string, side string, key string, value double")
+    pairs = stats.paired(df)
+    assert "BroadcastHashJoin" in plan(pairs) and not re.search(r"hashpartitioning\(scenario#\d+, \d", plan(pairs))
+    got = pairs.where("scenario = 's'").collect()
+    assert sorted(r["b"] for r in got) == [float(i) for i in range(0, 30, 3)] and len({r["a"] for r in got}) == 10
