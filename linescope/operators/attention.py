@@ -119,22 +119,25 @@ def weight_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def first_weighted(weights: Column) -> Column:
+    """1-based place of the first non-zero weight, 0 if there is none; mostly the first one, and no other is looked at."""
+    return F.when(F.get(weights, F.lit(0)) != 0.0, 1).otherwise(
+        F.array_position(F.transform(weights, lambda x: x != 0.0), True).cast("int")
+    )
+
+
 def first_run(tokens: Column, weights: Column) -> Column:
     """Struct ``(offset, tokens, weights)`` of the first run of non-zero weights."""
 
-    def cut(t: Column, w: Column) -> Column:
-        first = F.array_position(F.transform(w, lambda x: x != 0.0), True).cast("int")
-
+    def cut(w: Column, first: Column) -> Column:
         def run(rest: Column) -> Column:
-            zero = F.array_position(F.transform(rest, lambda x: x == 0.0), True).cast("int")
+            zero = F.array_position(rest, F.lit(0.0)).cast("int")
             n = F.when(zero > 0, zero - 1).otherwise(F.size(rest))
-            return F.struct(
-                first.alias("offset"), F.slice(t, first, n).alias("tokens"), F.slice(rest, F.lit(1), n).alias("weights")
-            )
+            return F.struct(first.alias("offset"), F.slice(tokens, first, n).alias("tokens"), F.slice(rest, F.lit(1), n).alias("weights"))
 
-        return F.when(first > 0, bind(run, F.slice(w, first, F.size(w))))
+        return F.when(first > 0, bind(run, F.when(first == 1, w).otherwise(F.slice(w, first, F.size(w)))))
 
-    return bind(cut, tokens, weights)
+    return bind(cut, weights, first_weighted(weights))
 
 
 def statement_spans(df: DataFrame) -> DataFrame:
@@ -149,65 +152,75 @@ def statement_spans(df: DataFrame) -> DataFrame:
     )
 
 
-def word_array(tokens: Column, weights: Column, legacy_tail: bool = False) -> Column:
-    """Words of a statement with the mean weight of their pieces.
+def word_places(tokens: Column, weights: Column) -> Column:
+    """1-based places of the words of a statement in order; the place that ends the statement early is negative.
 
     A word runs until the next token begins with the space mark or a zero weight follows. A zero
     inside a word ends the word and is stepped over; a zero on a token with the space mark, or a
-    second zero, ends the statement. ``legacy_tail`` loses a word that reaches the row end.
+    second zero, ends the statement. What stands behind a negative place is no word.
     """
-    first = F.array_position(F.transform(weights, lambda x: x != 0.0), True).cast("int")
-
-    def from_first(t: Column, w: Column) -> Column:
-        n = F.size(w)
-
-        def zero(p: Column) -> Column:
-            return F.get(w, p - 1) == 0.0
-
-        def marked(p: Column) -> Column:
-            return F.get(t, p - 1).startswith(SPACE_MARK)
 
-        places = F.when(n >= 2, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-        stop = F.coalesce(
-            F.get(F.filter(places, lambda p: zero(p) & (zero(p - 1) | marked(p))), F.lit(0)), n + 1
-        )
+    def places(t: Column, w: Column, first: Column) -> Column:
+        def place(x: Column, i: Column) -> Column:
+            begins = F.get(t, i).startswith(SPACE_MARK) | (F.get(w, i - 1) == 0.0)
+            return F.when(x == 0.0, F.when((i >= first) & begins, -i - 1)).when(
+                (begins | (i + 1 == first)) & x.isNotNull(), i + 1
+            )
 
-        def words(end: Column) -> Column:
-            inner = F.filter(places, lambda p: (p < end) & ~zero(p) & (marked(p) | zero(p - 1)))
-            starts = F.concat(F.array(F.lit(1)), inner)
+        return F.when(first > 0, F.array_compact(F.transform(w, place)))
 
-            def build(begin: Column) -> Column:
-                def word(s: Column, k: Column) -> Column:
-                    after = F.coalesce(F.get(begin, k + 1), end)
-                    size = after - s - F.when(zero(after - 1), 1).otherwise(0)
-                    pieces = F.slice(w, s, size)
-                    return F.struct(
-                        F.regexp_replace(F.array_join(F.slice(t, s, size), ""), "^" + SPACE_MARK, "").alias("word"),
-                        (F.aggregate(pieces, F.lit(0.0), lambda a, x: a + x) / size).alias("weight"),
-                    )
+    return bind(places, tokens, weights, first_weighted(weights))
 
-                return F.transform(begin, word)
 
-            found = bind(build, starts)
-            if legacy_tail:
-                lost = (end == n + 1) & ~zero(n)
-                found = bind(
-                    lambda f, drop: F.when(drop, F.slice(f, F.lit(1), F.size(f) - 1)).otherwise(f), found, lost
-                )
-            return found
+def words(df: DataFrame, legacy_tail: bool = False) -> DataFrame:
+    """(func_id, stmt_id, word_no, word, weight), the weight the mean of the word's pieces.
 
-        return bind(words, stop)
+    ``legacy_tail`` loses a word that reaches the row end.
+    """
+    marked = df.select("func_id", "stmt_id", "tokens", "weights", word_places(F.col("tokens"), F.col("weights")).alias("_places"))
+    end = F.array_position(F.transform("_places", lambda p: p < 0), True).cast("int")
+    t, w, s = F.col("tokens"), F.col("weights"), F.col("_s")
 
-    rest = bind(lambda f: F.when(f > 0, F.struct(F.slice(tokens, f, F.size(tokens)).alias("t"), F.slice(weights, f, F.size(weights)).alias("w"))), first)
-    return bind(lambda r: F.when(r.isNotNull(), from_first(r["t"], r["w"])), rest)
+    def behind(k: Column) -> Column:
+        return F.abs(F.coalesce(F.get("_places", k + 1), F.size(w) + 1))
 
+    def long_sum(s: Column, k: Column) -> Column:
+        # A zero can only be the last of these, and adds nothing.
+        return F.when(behind(k) - s > 3, F.aggregate(F.slice(w, s, behind(k) - s), F.lit(0.0), lambda a, x: a + x))
 
-def words(df: DataFrame, legacy_tail: bool = False) -> DataFrame:
-    """(func_id, stmt_id, word_no, word, weight)."""
-    found = word_array(F.col("tokens"), F.col("weights"), legacy_tail)
-    return exploded(df, ["func_id", "stmt_id"], found, "w", "at").select(
-        "func_id", "stmt_id", (F.col("at") + 1).alias("word_no"), F.col("w.word").alias("word"), F.col("w.weight").alias("weight")
+    counted = marked.select(
+        "*",
+        end.alias("_end"),
+        F.transform("_places", lambda s, k: F.when(s > 0, long_sum(s, k))).alias("_sums"),
+    )
+    # A row is a place: behind this the words are put together by compiled code, which copies no array. A lambda there would.
+    placed = exploded(counted, ["func_id", "stmt_id", "tokens", "weights", "_places", "_end", "_sums"], F.col("_places"), "_s", "_k")
+    after = behind(F.col("_k"))
+    # No plain comparison: the optimizer would compute the places once more, to filter by them before.
+    inside = F.when(F.col("_end") > 0, F.col("_k") < F.col("_end") - 1).otherwise(True)
+    rows = placed.where(inside).withColumn("_size", after - s - F.when(F.get(w, after - 2) == 0.0, 1).otherwise(0))
+    if legacy_tail:
+        rows = rows.where(F.get("_places", F.col("_k") + 1).isNotNull() | (F.get(w, F.size(w) - 1) == 0.0))
+    size = F.col("_size")
+
+    def joined(*others: Column) -> Column:
+        return F.concat_ws("", bare_token(F.get(t, s - 1)), *others)
+
+    # A word of up to three pieces needs no slices.
+    one, two, three = F.get(w, s - 1), F.get(w, s), F.get(w, s + 1)
+    word = (
+        F.when(size == 1, joined())
+        .when(size == 2, joined(F.get(t, s)))
+        .when(size == 3, joined(F.get(t, s), F.get(t, s + 1)))
+        .otherwise(joined(F.slice(t, s + 1, size - 1)))
+    )
+    total = (
+        F.when(size == 1, one)
+        .when(size == 2, one + two)
+        .when(size == 3, one + two + three)
+        .otherwise(F.get("_sums", F.col("_k")))
     )
+    return rows.select("func_id", "stmt_id", (F.col("_k") + 1).alias("word_no"), word.alias("word"), (total / size).alias("weight"))
 
 
 def token_weights(word_rows: DataFrame) -> DataFrame:
@@ -223,7 +236,7 @@ def low_rated_tokens(weights: DataFrame, limit: int = LOW_RATED) -> DataFrame:
 
 def bare_token(token: Column) -> Column:
     """Token without one leading space mark."""
-    return F.regexp_replace(token, "^" + SPACE_MARK, "")
+    return F.when(token.startswith(SPACE_MARK), F.substr(token, F.lit(2))).otherwise(token)
 
 
 def lookup(df: DataFrame, weights: DataFrame, token: str = "token", out: str = "global_weight") -> DataFrame:

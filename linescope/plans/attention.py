@@ -21,47 +21,37 @@ def statements(spark, sf):
     Weights follow from the ids; every 23rd is zero, which makes gaps inside statements.
     """
 
-    def line_tokens(line):
-        marked = F.regexp_replace(line, "(^| )(?=[^ ])", T.SPACE_MARK)
-        return F.regexp_extract_all(marked, F.lit(f"{T.SPACE_MARK}?[^ {T.SPACE_MARK}]{{1,4}}"), F.lit(0))
-
-    docs = I.documents(spark, sf).select(
-        F.col("key").alias("func_id"),
-        F.filter(
-            F.transform(T.split_lines(F.col("code"), "newline"), lambda x, i: F.struct((i + 1).alias("no"), line_tokens(x).alias("t"))),
-            lambda s: F.size(s["t"]) > 0,
-        ).alias("lines"),
-    )
+    # Every word and every line begins with the mark; line ends stand among the tokens.
+    marked = F.concat(F.lit(T.SPACE_MARK), F.replace(F.replace("code", F.lit(" "), F.lit(T.SPACE_MARK)), F.lit("\n"), F.lit("\n" + T.SPACE_MARK)))
+    pattern = f"\n|{T.SPACE_MARK}?[^\n{T.SPACE_MARK}]{{1,4}}"
+    cut = I.documents(spark, sf).select(F.col("key").alias("func_id"), F.regexp_extract_all(marked, F.lit(pattern), F.lit(0)).alias("all"))
 
-    def placed(lines, starts):
-        """Each line with the place of its first token and the first token of the next line."""
-        return F.transform(
-            lines,
-            lambda s, i: F.struct(
-                s["no"].alias("stmt_id"),
-                (F.get(starts, i) + 1).alias("start"),
-                F.size(s["t"]).alias("n"),
-                F.concat(s["t"], F.slice(F.coalesce(F.get(lines, i + 1)["t"], F.array().cast("array<string>")), 1, 1)).alias("tokens"),
-            ),
-        )
+    def lines(ends):
+        """Number, first token and size of every line with a token, from the places of the line ends."""
 
-    def numbered(lines):
-        """The line of every token of the text; its changes are the starts, in one pass."""
-        return bind(
-            lambda own: bind(placed, lines, F.filter(F.transform(own, lambda _, i: i), lambda i: (i == 0) | (F.get(own, F.greatest(i - 1, F.lit(0))) != F.get(own, i)))),
-            F.flatten(F.transform(lines, lambda s, i: F.transform(s["t"], lambda _: i))),
-        )
+        def line(end, i):
+            before = F.coalesce(F.get(ends, i - 1), F.lit(-1))
+            return F.struct((i + 1).alias("stmt_id"), (before + 2 - i).alias("start"), (end - before - 1).alias("n"))
+
+        return F.filter(F.transform(ends, line), lambda s: s["n"] > 0)
 
-    rows = inlined(docs, ["func_id"], bind(numbered, F.col("lines")), "stmt_id")
+    ends = F.concat(F.array_compact(F.transform("all", lambda t, i: F.when(t == "\n", i))), F.array(F.size("all")))
+    docs = cut.select("func_id", F.array_remove("all", "\n").alias("own"), bind(lines, ends).alias("lines"))
+    # A slice holds the first token of the next line too.
+    tokens = F.slice("own", F.col("start"), F.col("n") + 1).alias("tokens")
+    rows = inlined(docs, ["func_id", "own"], F.col("lines"), "stmt_id").select("func_id", "stmt_id", "start", "n", tokens)
     layered = rows.withColumn("layer", F.explode(F.array(F.lit(10), F.lit(11))))
+    first = F.col("func_id") * 31 + F.col("stmt_id") * 7 + F.col("layer") * 13 + 17
+    numbers = F.sequence(first, first + (F.col("n") - 1) * 17, F.lit(17).cast("bigint"))
+    numbered = layered.select("*", numbers.alias("numbers"), (F.col("func_id") + F.col("stmt_id") + 1).alias("place"))
 
-    def weight(_, i):
-        p = i + 1
-        zero = (p > F.col("n")) | ((F.col("func_id") + F.col("stmt_id") + p) % 23 == 0)
-        value = (F.col("func_id") * 31 + F.col("stmt_id") * 7 + p * 17 + F.col("layer") * 13) % 97 + 1
-        return F.when(zero, F.lit(0.0)).otherwise(value / F.lit(997.0))
+    def weight(x, i):
+        return F.when((F.col("place") + i) % 23 == 0, F.lit(0.0)).otherwise((x % 97 + 1) / F.lit(997.0))
 
-    return layered.select("func_id", "layer", "stmt_id", "start", "tokens", F.transform("tokens", weight).alias("weights"))
+    # Without an id there are no weights; the token of the next line has none of this one.
+    own = F.coalesce(F.transform("numbers", weight), F.array_repeat(F.lit(None).cast("double"), F.col("n")))
+    weights = F.concat(own, F.array_repeat(F.lit(0.0), F.size("tokens") - F.col("n")))
+    return numbered.select("func_id", "layer", "stmt_id", "start", "tokens", weights.alias("weights"))
 
 
 STATEMENTS = I.LINES + f""",
