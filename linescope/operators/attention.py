@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linescope.functions.rows import exploded, inlined
+from linescope.functions.rows import exploded
 from linescope.functions.text import SPACE_MARK, bind, camel_pieces
 
 LAST_LAYER = 11
@@ -74,37 +74,38 @@ def layer_mean(df: DataFrame, layers: Sequence[int] = (LAST_LAYER,)) -> DataFram
         F.max(F.when(F.col("layer") == x, F.struct("start", "tokens", "weights"))).alias(f"l{x}") for x in layers
     ]
     rows = chosen.groupBy("func_id", "stmt_id").agg(*sides)
-    present = F.array_compact(F.array(*[F.col(f"l{x}") for x in layers]))
-
-    def merge(parts: Column) -> Column:
-        low = F.array_min(F.transform(parts, lambda p: p["start"]))
-        high = F.array_max(F.transform(parts, lambda p: p["start"] + F.size(p["weights"]) - 1))
-
-        def mean_at(p: Column) -> Column:
-            found = F.transform(
-                parts,
-                lambda s: F.when(
-                    (p >= s["start"]) & (p < s["start"] + F.size(s["weights"])),
-                    F.get(s["weights"], p - s["start"]),
-                ).otherwise(0.0),
-            )
-            return F.aggregate(found, F.lit(0.0), lambda a, x: a + x) / float(len(layers))
-
-        def token_at(p: Column) -> Column:
-            found = F.transform(
-                parts,
-                lambda s: F.when(
-                    (p >= s["start"]) & (p < s["start"] + F.size(s["tokens"])), F.get(s["tokens"], p - s["start"])
-                ),
-            )
-            return F.get(F.array_compact(found), F.lit(0))
-
-        places = F.sequence(low, high)
-        return F.struct(
-            low.alias("start"), F.transform(places, token_at).alias("tokens"), F.transform(places, mean_at).alias("weights")
-        )
-
-    return inlined(rows, ["func_id", "stmt_id"], F.array(bind(merge, present)), "start")
+    parts = [F.col(f"l{x}") for x in layers]
+    # The outer functions leave out the layers that a statement does not have.
+    low = F.least(*[p["start"] for p in parts])
+    high = F.greatest(*[p["start"] + F.size(p["weights"]) - 1 for p in parts])
+    ranged = rows.where(low.isNotNull()).select("*", low.alias("start"), (high - low + 1).alias("_n"))
+
+    def padded(p: Column) -> Column:
+        """Weights of a layer over the whole range, zeros where it has none."""
+        before = p["start"] - F.col("start")
+        after = F.col("_n") - before - F.size(p["weights"])
+        same = (before == 0) & (after == 0)
+        wide = F.concat(F.array_repeat(F.lit(0.0), before), p["weights"], F.array_repeat(F.lit(0.0), after))
+        return F.when(p.isNull(), F.array_repeat(F.lit(0.0), F.col("_n"))).when(same, p["weights"]).otherwise(wide)
+
+    total = padded(parts[0])
+    for p in parts[1:-1]:
+        total = F.zip_with(total, padded(p), lambda a, x: a + x)
+    mean = F.zip_with(total, padded(parts[-1]), lambda a, x: (a + x) / float(len(layers)))
+
+    def token_at(i: Column) -> Column:
+        return F.coalesce(*[F.get(p["tokens"], i + F.col("start") - p["start"]) for p in parts])
+
+    # Layers mostly hold the same tokens; only others are put together place by place.
+    equal = [p.isNotNull() & (p["start"] == F.col("start")) & (F.size(p["tokens"]) == F.col("_n")) for p in parts]
+    equal += [p["tokens"] == parts[0]["tokens"] for p in parts[1:]]
+    alike = equal[0]
+    for c in equal[1:]:
+        alike = alike & c
+    tokens = F.when(alike, parts[0]["tokens"]).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("_n") - 1), token_at)
+    )
+    return ranged.select("func_id", "stmt_id", "start", tokens.alias("tokens"), mean.alias("weights"))
 
 
 def weight_rows(df: DataFrame) -> DataFrame:

@@ -69,3 +69,15 @@ def test_words_are_put_together_outside_of_lambdas(spark):
 def test_lines_are_cut_outside_of_lambdas(spark, sf):
     text = plan(P.statements(spark, sf))
     assert "regexp_replace" not in text and not re.search(r"lambdafunction\([^\n]*slice\(", text)
+
+
+def test_layer_mean_of_layers_apart(spark):
+    rows = [
+        (1, 9, 1, 1, ["a", "b"], [0.5, 1.0]), (1, 10, 1, 1, ["a", "b"], [1.0, 0.0]), (1, 11, 1, 1, ["a", "b"], [1.5, 2.0]),
+        (2, 10, 1, 3, ["c"], [3.0]), (2, 11, 1, 5, ["e", "f"], [6.0, 9.0]), (3, 11, 1, 2, ["z"], [3.0]),
+    ]
+    got = A.layer_mean(spark.createDataFrame(rows, SCHEMA), (9, 10, 11))
+    assert "aggregate(" not in plan(got)
+    assert {r["func_id"]: (r["start"], r["tokens"], r["weights"]) for r in got.collect()} == {
+        1: (1, ["a", "b"], [1.0, 1.0]), 2: (3, ["c", None, "e", "f"], [1.0, 0.0, 2.0, 3.0]), 3: (2, ["z"], [1.0]),
+    }
