@@ -125,3 +125,39 @@ def test_terms_of_a_side_are_looked_up_where_they_are(spark):
     sides = E.side_counts(df, vocab)
     assert {tuple(r) for r in sides.collect()} == {(1, "prev", "ab", 2), (1, "prev", "cd", 1), (1, "cur", "cd", 1), (2, "prev", None, None)}
     assert "hashpartitioning(term" not in final_plan(sides)
+
+
+ODD = ["", "a", "abcabcab", "ab\0", "\0\0\0ab\0", "é中é中é中\U0001f600\U0001f600 é", "AbC  ab\n\nc", "x y " * 9, "ab\0", "\U0001f600" * 7]
+
+
+@pytest.mark.parametrize("limit", [1 << 62, 1])
+def test_grams_of_a_slice_are_exact(limit):
+    from linescope.functions import grams as G
+
+    got = Counter()
+    for terms, counts in G.distinct_grams(ODD, 1, 6, limit):
+        got.update(dict(zip(terms.to_pylist(), counts.tolist(), strict=True)))
+    assert got == Counter(g for t in ODD for g in {t[i : i + n] for n in range(1, 7) for i in range(len(t) - n + 1)})
+
+
+@pytest.mark.parametrize("size", [1, 12, 1 << 22])
+def test_slices_add_up_to_all_texts(size):
+    import pyarrow as pa
+
+    from linescope.functions import grams as G
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["t"]) for part in ([*ODD, None], ODD[5:7], [])]
+    got = Counter()
+    for batch in G.count_grams(3, 6, size)(iter(batches)):
+        got.update(dict(zip(*batch.to_pydict().values(), strict=True)))
+    assert got == Counter(g for t in [*ODD, *ODD[5:7]] for g in {t[i : i + n] for n in range(3, 7) for i in range(len(t) - n + 1)})
+
+
+def test_character_vocabulary_holds_no_strings_of_a_text(spark):
+    """The n-grams of a text are no column of the plan; the counts are those of the plain expressions."""
+    data = [(i, t) for i, t in enumerate([*ODD, None, *ODD] * 5)]
+    df = spark.createDataFrame(data, "key long, code string")
+    got = X.char_vocabulary(df)
+    want = X.document_frequency(df, X.char_terms(3, 6)).where("df >= 10")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
+    assert "regexp_extract_all" not in final_plan(got)
