@@ -19,7 +19,7 @@ from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linescope.llm.words import slices
@@ -233,7 +233,7 @@ class _Memory:
         self.ids: list[tuple[int, ...]] = []
         self.score: list[float] = []
         self.loss: list[float] = []
-        self.more: dict[int, np.ndarray] = {}
+        self.more: dict[int, tuple[np.ndarray, list[tuple[int, ...]], bool]] = {}
 
     def learn(self, parts: set[str]) -> None:
         """Take in new segments in sorted order: each goes on from the prefix that it shares with the one before."""
@@ -258,24 +258,36 @@ class _Memory:
         self.score.append(best)
         self.loss.append(best - second)
 
-    def losses(self, at: int, n: int) -> np.ndarray:
+    def nbest(self, at: int, n: int) -> tuple[np.ndarray, list[tuple[int, ...]], bool]:
+        """(losses, ids, whether they all stand for the same bytes) of the N best of a segment, the best one first."""
         found = self.more.get(at)
         if found is None:
             all_ = nbest(self.names[at], self.vocabulary, n)
-            found = self.more[at] = np.array([all_[0][0] - s for s, _ in all_])
+            # Among equal scores the search may meet another one first, or n others.
+            ids = [self.ids[at], *[x for _, x in all_ if x != self.ids[at]]][: len(all_)]
+            text = self.vocabulary.text
+            same = len({b"".join([text[i] for i in x]) for x in ids}) == 1
+            found = self.more[at] = np.array([all_[0][0] - s for s, _ in all_]), ids, same
         return found
 
 
-def _text_scores(memory: _Memory, places: np.ndarray, losses: np.ndarray, n: int) -> np.ndarray:
-    """What the ``n`` best segmentations of a text lose against the best, ascending."""
+def _text_nbest(memory: _Memory, places: np.ndarray, losses: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple]]:
+    """What the ``n`` best segmentations of a text lose against the best, ascending, and the (segment, rank) pairs in which
+    each differs from it."""
     m = min(n - 1, len(places))
     near = np.argpartition(losses, m - 1)[:m] if m and m < len(places) else range(len(places))
-    total = np.zeros(1)
+    total, picks = np.zeros(1), [()]
     for i in near:
         if losses[i] < np.inf:
             # The n smallest sums of two lists come from the n smallest of each.
-            total = np.sort((total[:, None] + memory.losses(int(places[i]), n)).ravel())[:n]
-    return total
+            found = memory.nbest(int(places[i]), n)[0]
+            sums = (total[:, None] + found).ravel()
+            order = sums.argsort(kind="stable")[:n]
+            total = sums[order]
+            picks = [picks[k // len(found)] + (((int(i), k % len(found)),) if k % len(found) else ()) for k in order.tolist()]
+    if picks[0]:
+        picks = [(), *filter(None, picks)][: len(picks)]  # equal up to rounding
+    return total, picks
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -283,6 +295,39 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
+class _Others:
+    """Segmentations of a slice of texts beside the best ones, as the runs of ids in which they differ from those."""
+
+    def __init__(self) -> None:
+        self.rows, self.edits, self.runs = [0], [0], [0]  # ends of the lists
+        self.segments: list[int] = []
+        self.ids: list[int] = []
+
+    def add(self, memory: _Memory, places: np.ndarray, begin: int, picks: list[tuple], n: int) -> bool:
+        """Take in those of the next text; whether all of them stand for its bytes."""
+        sound = True
+        for pick in picks:
+            for i, rank in sorted(pick):
+                _, ids, same = memory.nbest(int(places[begin + i]), n)
+                sound = sound and same
+                self.segments.append(begin + i)
+                self.ids.extend(ids[rank])
+                self.runs.append(len(self.ids))
+            self.edits.append(len(self.segments))
+        self.rows.append(len(self.edits) - 1)
+        return sound
+
+    def array(self, sizes: np.ndarray, row: np.ndarray, ids_at: np.ndarray) -> pa.Array:
+        """Lists of edits by text, from the ids that every segment has in the best segmentation."""
+        at = np.array(self.segments, np.int64)
+        starts = (np.cumsum(sizes) - sizes)[at] - ids_at[row[at]]
+        runs = pa.ListArray.from_arrays(pa.array(self.runs, pa.int32()), pa.array(self.ids, pa.int32()))
+        edits = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(sizes[at], pa.int32()), runs], ["at", "drop", "ids"])
+        return pa.ListArray.from_arrays(
+            pa.array(self.rows, pa.int32()), pa.ListArray.from_arrays(pa.array(self.edits, pa.int32()), edits)
+        )
+
+
 def _encoded(model: tuple, n: int):
     memory: list[_Memory] = []
 
@@ -308,10 +353,13 @@ def _encoded(model: tuple, n: int):
                 row = np.repeat(np.arange(rows), np.diff(parts_at))
                 totals = np.bincount(row, np.array(held.score)[places], minlength=rows)
                 losses = np.array(held.loss)[places]
-                scores = [
-                    totals[k] - _text_scores(held, places[parts_at[k] : parts_at[k + 1]], losses[parts_at[k] : parts_at[k + 1]], n)
-                    for k in range(rows)
-                ]
+                scores, sound = [], []
+                others = _Others()
+                for k in range(rows):
+                    begin, stop = parts_at[k], parts_at[k + 1]
+                    lost, picks = _text_nbest(held, places[begin:stop], losses[begin:stop], n)
+                    scores.append(totals[k] - lost)
+                    sound.append(others.add(held, places, int(begin), picks[1:], n))
                 # Ids of all segments side by side, then those of the slice.
                 sizes = np.array([len(x) for x in held.ids], np.int64)
                 stock = np.fromiter(chain.from_iterable(held.ids), np.int32, int(sizes.sum()))
@@ -322,7 +370,8 @@ def _encoded(model: tuple, n: int):
                 back = pool[_spans(starts[ids], size)]
                 back_at = np.concatenate([[0], np.cumsum(size)])[ids_at]
                 same = [
-                    bool(np.array_equal(back[back_at[k] + (ids_at[k] < ids_at[k + 1]) : back_at[k + 1]], data[at[k] : at[k + 1]]))
+                    sound[k]
+                    and bool(np.array_equal(back[back_at[k] + (ids_at[k] < ids_at[k + 1]) : back_at[k + 1]], data[at[k] : at[k + 1]]))
                     for k in range(rows)
                 ]
                 lists = pa.ListArray.from_arrays(
@@ -335,8 +384,9 @@ def _encoded(model: tuple, n: int):
                         pa.array(np.diff(ids_at)),
                         pa.array(scores, pa.list_(pa.float64())),
                         pa.array(same, pa.bool_()),
+                        others.array(sizes[places], row, ids_at),
                     ],
-                    names=["key", "ids", "n_ids", "scores", "round_trip"],
+                    names=["key", "ids", "n_ids", "scores", "round_trip", "alternatives"],
                 )
 
     return run
@@ -347,10 +397,12 @@ def _parts(vocabulary: Vocabulary) -> tuple:
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, n: int = NBEST) -> DataFrame:
-    """(key, ids, n_ids, scores, round_trip): one row per input row.
+    """(key, ids, n_ids, scores, round_trip, alternatives): one row per input row.
 
-    ``ids`` is the best segmentation, ``scores`` are those of the up to ``n`` best in descending order, ``round_trip``
-    says whether decoding gives the text back. A null text has null ids, an empty text none, both the score 0. Ties
+    ``ids`` is the best segmentation, ``scores`` are those of the up to ``n`` best in descending order. ``alternatives``
+    holds the others of the ``n`` best in the same order, each as its differences from ``ids``: from place ``at`` on (0 is
+    the first), ``drop`` ids are replaced by ``ids``; :func:`segmentations` writes them out. ``round_trip`` says whether
+    decoding each of them gives the text back. A null text has null ids, an empty text none, both the score 0. Ties
     between segmentations go to the longer first piece from the right. Repeated rows give repeated results; an empty
     table gives no rows. Other columns are ignored, whatever their names; texts are encoded whole.
     """
@@ -360,11 +412,22 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     kind = dict(source.dtypes)["key"]
     made = source.mapInArrow(
         _encoded(_parts(vocabulary), n),
-        f"key {kind}, ids array<int>, n_ids bigint, scores array<double>, round_trip boolean",
+        f"key {kind}, ids array<int>, n_ids bigint, scores array<double>, round_trip boolean, "
+        "alternatives array<array<struct<at:int,drop:int,ids:array<int>>>>",
     )
     return made.withColumnRenamed("key", key)
 
 
+def segmentations(ids: str = "ids", alternatives: str = "alternatives") -> Column:
+    """The ids of the N best segmentations, the best one first."""
+
+    def replaced(held: Column, edit: Column) -> Column:
+        return F.concat(F.slice(held, 1, edit["at"]), edit["ids"], F.slice(held, edit["at"] + edit["drop"] + 1, F.size(held)))
+
+    others = F.transform(alternatives, lambda edits: F.aggregate(F.reverse(edits), F.col(ids), replaced))
+    return F.concat(F.array(ids), others)
+
+
 def decode(rows: DataFrame, ids: str = "ids", text: str = "text", model: str = MODEL) -> DataFrame:
     """``rows`` with the text that the ids stand for, by expressions and one small Arrow function.
 

@@ -227,3 +227,22 @@ def test_nbest_of_long_segments_ends_soon(vocabulary):
         assert len(found) == pieces.NBEST == len({ids for _, ids in found}) and scores == sorted(scores, reverse=True)
         assert abs(scores[0] - pieces.forward(text, vocabulary)[0][-1]) < 1e-6 * abs(scores[0])
     assert time.time() - begun < 60
+
+
+def test_nbest_search_gives_the_ids_of_all_segmentations(spark, vocabulary):
+    texts = ["the an\nit is", "a", "", None, "aaaaaaaaaaaaaaaa", "x\u2581y \u4e2d zz", "one two three four five", "====== ======", "the an\nit is"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pieces.encode(docs).withColumn("all", pieces.segmentations())
+    for r in rows.collect():
+        text = texts[r["doc_id"]]
+        if text is None:
+            assert r["all"] is None or r["all"] == [None]
+            continue
+        want = pieces.text_nbest(text, vocabulary)
+        assert len(r["all"]) == len(r["scores"]) == len(want) == len({tuple(x) for x in r["all"]})
+        assert r["all"][0] == r["ids"] and r["round_trip"]
+        assert [vocabulary.decode(ids) for ids in r["all"]] == [text] * len(want)
+        if len({round(s, 6) for s, _ in want}) == len(want):
+            assert r["all"] == [ids for _, ids in want]
+        assert [round(s, 4) for s in r["scores"]] == [round(s, 4) for s, _ in want]
+    assert rows.where("size(alternatives) > 2").count() > 3
