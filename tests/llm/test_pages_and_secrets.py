@@ -126,6 +126,34 @@ def test_runs_covered_equal_all_repeated_substrings():
     assert [html_text.unique_runs([t], repeated) for t in pages] == [["g h"], ["x y"], ["p q r s t u"]]
 
 
+def test_suffix_array_is_ordered_and_finds_all_repeats(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    pieces = [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 60))) for _ in range(12)]
+    bodies = [(f"h{i % 2}", i // 2 % 20, [rng.choice(pieces), " ".join(rng.choice(pieces) for _ in range(2)), "menu"]) for i in range(60)]
+    where = defaultdict(set)
+    for host, body, blocks in bodies:
+        for tokens in map(str.split, blocks):
+            size = min(len(tokens), html_text.RUN)
+            for i in range(len(tokens) - size + 1):
+                where[host, " ".join(tokens[i : i + size])].add(body)
+    df = spark.createDataFrame(bodies, "host string, body bigint, rest array<string>").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        array = html_text.suffix_array(df)
+        ordered = [(r["host"], r["suffix"], r["body"]) for r in array.collect()]
+        assert ordered == sorted(ordered) and {x[:2] for x in ordered} == set(where)
+        assert array.rdd.getNumPartitions() > 1
+        parts = array.mapInArrow(html_text._intervals(2), "host string, start bigint, size int, unit bigint, n bigint")
+        got = parts.groupBy("host", "unit", "size", "start").agg({"n": "sum"}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hashed = html_text._hash
+    want = {(h, hashed(s.split()), s.count(" ") + 1, hashed(s.split()[: html_text.LONG]), len(on)) for (h, s), on in where.items() if len(on) > 1}
+    assert {tuple(r) for r in got if r["sum(n)"] > 1} == want and len(got) < len(where)
+
+
 def test_article_text_of_unmarked_pages_stays(spark):
     def words(name, n):
         return " ".join(f"{name}{k}" for k in range(n))
