@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ DEPTH = 5
 SHALLOW = 3
 #: Grams that one partition of the tree holds on average.
 PART_GRAMS = 400_000
-#: Tables up to this many entries (16 bytes each) are sent to every worker; larger ones are joined.
+#: Entries of a table (16 bytes each) that are sent to every worker at a time; larger ones take several passes over the texts.
 BROADCAST_ENTRIES = 8_000_000
 #: Entries that pass through the driver at a time.
 CHUNK = 1_000_000
@@ -279,27 +280,42 @@ def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
 # Scoring ---------------------------------------------------------------------------------
 
 
-def _arrays(table: DataFrame, value: str, entries: int):
-    """(cuts, broadcasts): the table on every worker as sorted arrays, one for each range of keys.
+def _packs(table: DataFrame, value: str, entries: int, most: int) -> Iterator[tuple]:
+    """Packs (low, high, cuts, broadcasts) of about ``most`` entries: a range of keys on every worker as sorted arrays.
 
-    The ranges hold about ``CHUNK`` entries, so the driver sees no more than that at a time.
+    A pack is made of ranges of about ``CHUNK`` entries, so the driver sees no more than that at a time. The packs cover
+    all keys; None is an open end.
     """
     spark = table.sparkSession
     parts = max(1, -(-entries // CHUNK))
     cuts = sorted({int(c) for c in table.approxQuantile("k", [i / parts for i in range(1, parts)], 0.002)}) if parts > 1 else []
+    ranges = list(zip([None, *cuts], [*cuts, None], strict=True))
     k = F.col("k")
-    sent = []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        held = table.where((k >= low if low is not None else F.lit(True)) & (k < high if high is not None else F.lit(True)))
-        rows = held.orderBy("k").select("k", value).toArrow()
-        sent.append(spark.sparkContext.broadcast((rows["k"].to_numpy(), rows[value].to_numpy())))
-        del rows
-    return np.array(cuts, np.int64), sent
-
-
-def _looked_up(keys: np.ndarray, table) -> np.ndarray:
+    size = max(1, most // CHUNK) if entries > most else len(ranges)
+    for first in range(0, len(ranges), size):
+        sent = []
+        for low, high in ranges[first : first + size]:
+            held = table.where((k >= low if low is not None else F.lit(True)) & (k < high if high is not None else F.lit(True)))
+            rows = held.orderBy("k").select("k", value).toArrow()
+            sent.append(spark.sparkContext.broadcast((rows["k"].to_numpy(), rows[value].to_numpy())))
+            del rows
+        some = ranges[first : first + size]
+        yield some[0][0], some[-1][1], np.array([low for low, _ in some[1:]], np.int64), sent
+
+
+def _within(keys: np.ndarray, pack) -> np.ndarray | slice:
+    """Places of the keys that a pack covers; all for a single pack, none without one."""
+    if pack is None:
+        return slice(0)
+    low, high = pack[:2]
+    if low is None and high is None:
+        return slice(None)
+    return (keys >= (low if low is not None else np.iinfo(np.int64).min)) & (True if high is None else keys < high)
+
+
+def _looked_up(keys: np.ndarray, pack) -> np.ndarray:
     """Values of sorted keys, 0 for unknown ones."""
-    cuts, sent = table
+    _, _, cuts, sent = pack
     edges = [0, *np.searchsorted(keys, cuts), len(keys)]
     out = np.zeros(len(keys))
     for part, low, high in zip(sent, edges[:-1], edges[1:], strict=True):
@@ -311,8 +327,16 @@ def _looked_up(keys: np.ndarray, table) -> np.ndarray:
     return out
 
 
+def _values(keys: np.ndarray, pack) -> np.ndarray:
+    """Values of keys in any order, 0 for unknown ones."""
+    if pack is None:
+        return np.zeros(len(keys))
+    met, place = np.unique(keys, return_inverse=True)
+    return _looked_up(met, pack)[place]
+
+
 def _pieces(batch: pa.RecordBatch, depth: int):
-    """(first row, end row, word keys, words' rows, grams, grams' rows, tokens) of each slice."""
+    """(first row, end row, word keys, words' rows, grams, grams' rows) of each slice."""
     for first, end, data, at in slices(batch.column(batch.num_columns - 1)):
         found = words(data, at)
         out, cuts = stream(found)
@@ -320,7 +344,7 @@ def _pieces(batch: pa.RecordBatch, depth: int):
         rows = np.arange(end - first)
         keys = np.concatenate([_signed(found.hashes), _signed(np.full(end - first, END_WORD))])
         places = np.concatenate([np.repeat(rows, count), rows])
-        yield first, end, keys, places, grams(out, cuts, depth), np.repeat(rows, np.diff(cuts)), count + 1
+        yield first, end, keys, places, grams(out, cuts, depth), np.repeat(rows, np.diff(cuts))
 
 
 def score(
@@ -351,10 +375,19 @@ def score(
     space = np.log10(n_all + n_distinct + 1)
     n_grams = scores.count()
     if max(n_distinct, n_grams) <= broadcast_entries:
-        tables = _arrays(tokens, "n", n_distinct), _arrays(scores, "v", n_grams)
-        made = _scored_by_arrays(source, kind, tables, depth, space)
+        packs = [next(_packs(t, v, n, broadcast_entries)) for t, v, n in ((tokens, "n", n_distinct), (scores, "v", n_grams))]
+        made = _passed(source, kind, *packs, depth, space)
     else:
-        made = _scored_by_joins(source, kind, tokens, scores, depth, space)
+        # Rows keep their number from pass to pass; only numbers and sums move, never the words of a text.
+        numbered = materialise(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+        texts, parts = numbered.select("row", "held", "text"), []
+        for pair in zip_longest(_packs(tokens, "n", n_distinct, broadcast_entries), _packs(scores, "v", n_grams, broadcast_entries)):
+            parts.append(materialise(_passed(texts, "bigint", *pair, depth, space).drop("held").withColumnRenamed("key", "row"), "pass"))
+            for _, _, _, sent in filter(None, pair):
+                for part in sent:
+                    part.unpersist()
+        sums = reduce(DataFrame.union, parts).groupBy("row").agg(*[F.sum(c).alias(c) for c in parts[0].columns[1:]])
+        made = numbered.select("row", "key", "held").join(sums, "row").drop("row")
     return made.select(
         F.col("key").alias(key),
         F.col("held").alias("held_out"),
@@ -367,25 +400,25 @@ def score(
     )
 
 
-def _scored_by_arrays(source, kind, tables, depth, space) -> DataFrame:
-    known, logs = tables
+def _passed(source: DataFrame, kind: str, known, logs, depth: int, space: float) -> DataFrame:
+    """Figures of every text (key, held, text) over its words and grams that these packs of the tables cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, keys, places, codes, spots, n in _pieces(batch, depth):
+            for first, end, keys, places, codes, spots in _pieces(batch, depth):
                 rows = end - first
-                met, place = np.unique(keys, return_inverse=True)
-                c = _looked_up(met, known)[place]
-                base = np.bincount(places, np.log10(c + 1) - space, minlength=rows)
-                met, place = np.unique(codes, return_inverse=True)
-                total = np.bincount(spots, _looked_up(met, logs)[place], minlength=rows)
+                here = _within(keys, known)
+                keys, places = keys[here], places[here]
+                c = _values(keys, known)
+                here = _within(codes, logs)
+                codes, spots = codes[here], spots[here]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(i).slice(first, rows) for i in (0, 1)],
-                        pa.array(n.astype(np.int64)),
+                        pa.array(np.bincount(places, minlength=rows).astype(np.int64)),
                         pa.array(np.bincount(places, c > 0, minlength=rows).astype(np.int64)),
-                        pa.array(base),
-                        pa.array(total),
+                        pa.array(np.bincount(places, np.log10(c + 1) - space, minlength=rows).astype(float)),
+                        pa.array(np.bincount(spots, _values(codes, logs), minlength=rows).astype(float)),
                         pa.array(np.bincount(spots, minlength=rows).astype(np.int64)),
                     ],
                     names=["key", "held", "n_tokens", "n_known", "base_score", "score", "n_bytes"],
@@ -394,37 +427,3 @@ def _scored_by_arrays(source, kind, tables, depth, space) -> DataFrame:
     return source.mapInArrow(
         run, f"key {kind}, held boolean, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint"
     )
-
-
-def _scored_by_joins(source, kind, tokens, scores, depth, space) -> DataFrame:
-    """The same figures where the tables are too large to send: distinct keys per text are joined with them."""
-    numbered = materialise(source.withColumn("row", F.monotonically_increasing_id()), "rows")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, end, keys, places, codes, spots, _ in _pieces(batch, depth):
-                for what, ks, rows in ((WORD, keys, places), (GRAM, codes, spots)):
-                    for i, part in enumerate(np.split(ks, np.searchsorted(rows, np.arange(1, end - first)))
-                                             if what == GRAM else [ks[rows == r] for r in range(end - first)]):
-                        found, n = np.unique(part, return_counts=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(found), ids[first + i])), pa.array(np.full(len(found), what, np.int8)),
-                             pa.array(found), pa.array(n.astype(np.int64))],
-                            names=["row", "kind", "k", "m"],
-                        )
-
-    held = numbered.select("row", "text").mapInArrow(run, "row bigint, kind tinyint, k bigint, m bigint")
-    named = tokens.select(F.lit(WORD).cast("tinyint").alias("kind"), "k", F.col("n").cast("double").alias("v")).union(
-        scores.select(F.lit(GRAM).cast("tinyint").alias("kind"), "k", "v")
-    )
-    value, m, word = F.coalesce("v", F.lit(0.0)), F.col("m"), F.col("kind") == WORD
-    zero = F.lit(0.0)
-    sums = held.join(named, ["kind", "k"], "left").groupBy("row").agg(
-        F.sum(F.when(word, m).otherwise(0)).alias("n_tokens"),
-        F.sum(F.when(word & (value > 0), m).otherwise(0)).alias("n_known"),
-        F.sum(F.when(word, (F.log10(value + 1) - float(space)) * m).otherwise(zero)).alias("base_score"),
-        F.sum(F.when(~word, value * m).otherwise(zero)).alias("score"),
-        F.sum(F.when(~word, m).otherwise(0)).alias("n_bytes"),
-    )
-    return numbered.select("row", "key", "held").join(sums, "row").drop("row")

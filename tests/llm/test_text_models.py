@@ -103,6 +103,19 @@ def test_tree_and_base_equal_brute_force(odd, odd_rows, broadcast):
         assert a[4:6] == pytest.approx(b[4:6], rel=1e-6)
 
 
+def test_tables_of_any_size_are_sent_in_packs(spark, monkeypatch):
+    rows = [(i % 9 or None, " ".join(f"w{(i * k) % 997}" for k in range(i % 40)) if i % 11 else None) for i in range(120)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, row int")
+    whole = context_tree.score(docs, depth=3).collect()
+    monkeypatch.setattr(context_tree, "CHUNK", 200)
+    made = context_tree.score(docs, depth=3, broadcast_entries=400)
+    assert "kind" not in made._jdf.queryExecution().optimizedPlan().toString()  # no join on words
+    order = lambda r: (str(r[0]), r["n_bytes"], r["n_known"], round(r["score"], 3))
+    for a, b in zip(sorted(made.collect(), key=order), sorted(whole, key=order), strict=True):
+        assert a[:5] == b[:5] and a["n_bytes"] == b["n_bytes"]
+        assert a[5:7] == pytest.approx(b[5:7], rel=1e-9)
+
+
 def test_probabilities_of_a_context_sum_to_one():
     codes = np.array([ord("a") | ord("b") << 8, ord("c") | ord("b") << 8, ord("a") | ord("x") << 8]) | (7 << 32)
     levels, _ = context_tree.deep_levels(codes, np.array([5, 2, 1]), 5, 0)
