@@ -173,6 +173,19 @@ def test_article_text_of_unmarked_pages_stays(spark):
     assert got[1] == [words("own1x", 12), copied] and got[5] == [words("own5x", 12)]
 
 
+def test_repeats_outside_of_articles_are_counted_where_every_page_marks_one(spark):
+    legal = " ".join(f"legal{k}" for k in range(25))
+    twice = "<footer>contact us here</footer>" * 2
+    rows = [f"<nav>home</nav><article><p>home legal0 own{i}</p></article><footer>{legal} year{i}</footer>{twice}" for i in range(8)]
+    rows += ["<article>other</article><div>new here</div>", rows[0], None]
+    docs = spark.createDataFrame([(i, "http://a.org/" if i < 10 else None, r) for i, r in enumerate(rows)], PAGES)
+    got = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html_text.extract(docs).collect()}
+    assert {i: got[i] for i in range(8)} == {i: (f"home legal0 own{i}", 1 + 25 + 3) for i in range(8)}
+    assert got[8] == ("other", 0) and got[9] == got[0] and got[10] == ("", 0)
+    alone = {r["page_id"]: r["n_repeated"] for r in html_text.extract(docs.where("page_id = 3")).collect()}
+    assert alone == {3: 0}
+
+
 # URLs -------------------------------------------------------------------------------------
 
 
