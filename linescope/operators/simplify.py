@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from linescope.functions.rows import exploded
 from linescope.operators.attention import low_rated_tokens
-from linescope.operators.ranking import hash_rank, running_totals
+from linescope.operators.ranking import hash_rank, running_distinct, running_totals
+from linescope.session import materialise
 
 STRATEGIES = ["slim", "token", "statement", "random", "frequency"]
 
@@ -47,6 +48,41 @@ def token_rows(statements: DataFrame) -> DataFrame:
     )
 
 
+def _with_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_id", F.concat_ws(":", "func_id", "stmt_id", "pos"))
+
+
+def drop_rare_tokens(statements: DataFrame, weights: DataFrame, ratio: float, seed: object = 42) -> DataFrame:
+    """(func_id, stmt_id, pos, token) of the ``ceil(ratio * tokens)`` most frequent tokens of every function.
+
+    Numbers of tokens by function and frequency say at which frequency the cut of a function falls; only the tokens of
+    that frequency are ordered, by hash. Tokens move without ids or hashes.
+    """
+    known = weights.select("token", F.col("frequency").cast("bigint").alias("_freq"))
+    rated = materialise(
+        token_rows(statements).join(known, "token", "left").withColumn("_freq", F.coalesce("_freq", F.lit(0))), "rated-tokens"
+    )
+    counts = rated.groupBy("func_id", "_freq").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_distinct(counts, "_freq", {"_n": "_before"}, ["func_id"]).join(_function_sizes(statements), "func_id")
+    gone = F.col("_size") - _keep_target(ratio) - F.col("_before")
+    split = (gone > 0) & (gone < F.col("_n"))
+    cuts = placed.groupBy("func_id").agg(
+        F.min(F.when(gone <= 0, F.col("_freq"))).alias("_least"),
+        F.max(F.when(split, F.col("_freq"))).alias("_split"),
+        F.max(F.when(split, gone)).alias("_gone"),
+    )
+    tied = F.coalesce(F.col("_freq") == F.col("_split"), F.lit(False))
+    near = materialise(
+        rated.join(cuts, "func_id")
+        .where(tied | (F.col("_freq") >= F.col("_least")))
+        .select("func_id", "stmt_id", "pos", "token", F.when(tied, F.col("_gone")).alias("_gone")),
+        "kept-tokens",
+    )
+    ranked = hash_rank(_with_id(near.where(F.col("_gone").isNotNull())), "_id", seed, part=["func_id"], rank="_rank")
+    columns = ["func_id", "stmt_id", "pos", "token"]
+    return near.where(F.col("_gone").isNull()).select(columns).unionByName(ranked.where(F.col("_rank") >= F.col("_gone")).select(columns))
+
+
 def simplify(
     statements: DataFrame, weights: DataFrame, strategy: str, ratio: float = 0.6, low: int = 5000, seed: object = 42
 ) -> DataFrame:
@@ -60,21 +96,12 @@ def simplify(
         return drop_tokens(statements, low_rated_tokens(weights, low))
     if strategy == "slim":
         return drop_tokens(drop_statements(statements, ratio), low_rated_tokens(weights, low))
-    rows = token_rows(statements).withColumn("_id", F.concat_ws(":", "func_id", "stmt_id", "pos"))
     if strategy == "random":
-        ranked = hash_rank(rows, "_id", seed, part=["func_id"], rank="_rank")
+        ranked = hash_rank(_with_id(token_rows(statements)), "_id", seed, part=["func_id"], rank="_rank")
         joined = ranked.join(_function_sizes(statements), "func_id")
         return joined.where(F.col("_rank") < _keep_target(ratio)).select("func_id", "stmt_id", "pos", "token")
     if strategy == "frequency":
-        known = weights.select("token", F.col("frequency").cast("bigint").alias("_freq"))
-        rated = rows.join(known, "token", "left").withColumn("_freq", F.coalesce("_freq", F.lit(0))).withColumn(
-            "_one", F.lit(1).cast("bigint")
-        )
-        ordered = running_totals(rated, "_freq", {"_one": "_rank"}, "_id", part=["func_id"])
-        joined = ordered.join(_function_sizes(statements), "func_id")
-        return joined.where(F.col("_rank") >= F.col("_size") - _keep_target(ratio)).select(
-            "func_id", "stmt_id", "pos", "token"
-        )
+        return drop_rare_tokens(statements, weights, ratio, seed)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 

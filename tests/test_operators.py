@@ -2,6 +2,7 @@
 
 import math
 import random
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -241,6 +242,29 @@ def test_simplify(spark):
         simplify.simplify(st, tw, "none")
 
 
+def test_tokens_are_ordered_at_the_cut_of_their_function_only(spark, monkeypatch):
+    rng = random.Random(5)
+    made = [(f, s, [rng.choice("abcdefgh") for _ in range(rng.randrange(9))], 1.0) for f in range(12) for s in range(4)]
+    freq = {t: n for t, n in zip("abcdefg", (5, 1, 3, 3, 1, 9, None), strict=True)}
+    st = spark.createDataFrame([*made, (None, 1, ["a"], 1.0)], "func_id int, stmt_id int, tokens array<string>, weight double")
+    tw = spark.createDataFrame([(t, 1.0, n) for t, n in freq.items()], "token string, weight double, frequency int")
+    ranked = []
+    hash_rank = simplify.hash_rank
+    monkeypatch.setattr(simplify, "hash_rank", lambda df, *a, **o: ranked.append(df.count()) or hash_rank(df, *a, **o))
+    for ratio in (0.0, 0.37, 0.6, 1.0):
+        want, tied = [], 0
+        for f in range(12):
+            all_ = [(freq.get(t) or 0, md5(f"42:{f}:{s}:{p}".encode()).hexdigest(), f"{f}:{s}:{p}", f, s, p, t) for g, s, ts, _ in made if g == f for p, t in enumerate(ts, 1)]
+            all_.sort()
+            gone = len(all_) - math.ceil(ratio * len(all_))
+            want += [x[3:] for x in all_[gone:]]
+            if 0 < gone < len(all_) and all_[gone - 1][0] == all_[gone][0]:
+                tied += sum(x[0] == all_[gone][0] for x in all_)
+        got = simplify.simplify(st, tw, "frequency", ratio).collect()
+        assert sorted(map(tuple, got)) == sorted(want) and ranked.pop() == tied
+
+
+
 # --- metrics and results -------------------------------------------------------------------
 
 
