@@ -38,6 +38,22 @@ def _closest(far: np.ndarray, k: int) -> np.ndarray:
     return near[np.argsort(far[near], kind="stable")][:k]
 
 
+def _near_rows(points: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarray]:
+    """For every row the places of all points that can be among its ``k`` nearest by Euclidean distance.
+
+    Squares of distances come from one matrix product; what lies within its rounding error and within the last digit that
+    is compared stays in.
+    """
+    own, other = (rows * rows).sum(axis=1), (points * points).sum(axis=1)
+    square = own[:, None] + other - 2 * (rows @ points.T)
+    if k >= len(points) or not np.isfinite(square).all():
+        return [np.arange(len(points))] * len(rows)
+    slip = 8 * (points.shape[1] + 8) * np.finfo(float).eps * (own + other.max())
+    last = np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0)
+    limit = (np.sqrt(last + slip) + 2 * 10.0**-DIGITS) ** 2 + slip
+    return [np.flatnonzero(far <= most) for far, most in zip(square, limit, strict=True)]
+
+
 def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys, labels and the vectors' bytes of up to ``PACKET_ROWS`` rows as one row."""
     for batch in batches:
@@ -96,12 +112,23 @@ def nearest(
 def _near(sent, k: int, norm: int, block: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places, names, labels = sent.value
-        step = max(1, block // max(1, places.size))
+        # The differences of all dimensions are held at once, of the product only the squares.
+        step = max(1, block // max(1, places.size if norm == 1 else len(places)))
         for batch in batches:
             for first in range(0, len(batch), step):
                 part = batch.iloc[first : first + step]
-                far = _distances(places, np.stack(part["vector"].to_list()), norm)
-                best = [_closest(row, k) for row in far]
+                rows = np.stack(part["vector"].to_list())
+                if norm == 1:
+                    far = _distances(places, rows, norm)
+                    best = [_closest(row, k) for row in far]
+                    gaps = [row[b] for row, b in zip(far, best, strict=True)]
+                else:
+                    best, gaps = [], []
+                    for row, near in zip(rows, _near_rows(places, rows, k), strict=True):
+                        far = _distances(places[near], row[None], norm)[0]
+                        found = _closest(far, k)
+                        best.append(near[found])
+                        gaps.append(far[found])
                 size = len(best[0])
                 flat = np.concatenate(best)
                 yield pd.DataFrame(
@@ -109,7 +136,7 @@ def _near(sent, k: int, norm: int, block: int):
                         "key": np.repeat(part["key"].to_numpy(), size),
                         "neighbour": names[flat],
                         "label": labels[flat],
-                        "distance": np.concatenate([row[b] for row, b in zip(far, best, strict=True)]),
+                        "distance": np.concatenate(gaps),
                         "place": np.tile(np.arange(1, size + 1), len(part)),
                     }
                 )

@@ -5,6 +5,7 @@ import random
 from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,28 @@ def test_simplify(spark):
         simplify.simplify(st, tw, "none")
 
 
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e4])
+def test_euclidean_neighbours_measure_few_differences(monkeypatch, scale):
+    rng = np.random.default_rng(3)
+    points = np.round(rng.normal(size=(400, 16)), 1) * scale + scale
+    points[50:90] = points[7]  # one common vector
+    rows = np.concatenate([points[:60], rng.normal(size=(40, 16)) * scale])
+    far = N._distances(points, rows, 2)
+    want = [N._closest(row, 5) for row in far]
+    held = N._near_rows(points, rows, 5)
+    assert all(set(w) <= set(h) for w, h in zip(want, held, strict=True))
+    if scale == 1.0:
+        assert sum(map(len, held)) < 3000  # of 40,000
+    measured = []
+    distances = N._distances
+    monkeypatch.setattr(N, "_distances", lambda p, r, n: measured.append(len(p) * len(r)) or distances(p, r, n))
+    sent = type("Sent", (), {"value": (points, np.arange(400).astype(object), np.zeros(400, int))})
+    frame = pd.DataFrame({"key": range(100), "vector": list(rows)})
+    got = next(N._near(sent, 5, 2, 1 << 22)([frame]))
+    assert got["neighbour"].tolist() == np.concatenate(want).tolist() and sum(measured) == sum(map(len, held))
+    assert got["distance"].tolist() == np.concatenate([r[w] for r, w in zip(far, want, strict=True)]).tolist()
+
+
 def test_tokens_are_ordered_at_the_cut_of_their_function_only(spark, monkeypatch):
     rng = random.Random(5)
     made = [(f, s, [rng.choice("abcdefgh") for _ in range(rng.randrange(9))], 1.0) for f in range(12) for s in range(4)]
