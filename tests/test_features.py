@@ -4,9 +4,11 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from linescope.functions import grams as G
 from linescope.functions import text as T
 from linescope.operators import embeddings as E
 from linescope.operators import features as X
@@ -161,3 +163,21 @@ def test_character_vocabulary_holds_no_strings_of_a_text(spark):
     want = X.document_frequency(df, X.char_terms(3, 6)).where("df >= 10")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
     assert "regexp_extract_all" not in final_plan(got)
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_runs_of_words_are_looked_at_where_shorter_runs_are_known(most):
+    texts = [t.split() for _, t in docs(9, 40)] + [[], ["wax"]]
+    lists = pa.array([*texts, None], pa.list_(pa.string()))
+    seen = Counter(g for t in texts for g in {g for n in (1, 2, 3) for g in grams(t, n)})
+    known = [pa.array([g for g, c in seen.items() if c >= 4 and g.count(" ") == n], pa.string()) for n in range(3)]
+    got, looked = Counter(), set()
+    for first, _, words, sizes in G.word_slices(lists, most):
+        for rows, ranks, terms in G.known_runs(words, sizes, known, 3):
+            looked.update(terms.to_pylist())
+            got.update((first + r, terms[k].as_py()) for r, k in zip(rows.tolist(), ranks.tolist(), strict=True))
+    want = Counter((i, g) for i, t in enumerate(texts) for n in (1, 2, 3) for g in grams(t, n) if seen[g] >= 4)
+    assert got == want and len(looked) < len(seen)
+    for _, _, words, sizes in G.word_slices(lists, most):
+        every = [len(rows) for rows, _, _ in G.known_runs(words, sizes, [None, None], 3)]
+        assert every == [int(sum(max(0, s - n) for s in sizes)) for n in range(3)]
